@@ -1,0 +1,163 @@
+"""Results tables as versioned parquet folders.
+
+A table is ``root/table/v=N``; the highest version that finished writing is current.
+Appends add files to it, deletes write the next version, so nothing that is being read is
+ever overwritten, and a job that dies halfway leaves the old version current.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyward.model import DATASETS, EXPERIMENT_RUNS, PIPELINE_RESULTS, STAGE_CHECKS
+from tallyward.sources.readers import ReadResult, read_full
+
+TABLES: dict[str, T.StructType] = {
+    "datasets": DATASETS,
+    "experiment_runs": EXPERIMENT_RUNS,
+    "pipeline_results": PIPELINE_RESULTS,
+    "stage_checks": STAGE_CHECKS,
+}
+# Tables of a run and the column that names it.
+_RUN_TABLES = {
+    "experiment_runs": "id",
+    "pipeline_results": "experiment_run_id",
+    "stage_checks": "experiment_run_id",
+}
+
+
+class Warehouse:
+    """The stored results under one root folder."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    def _version(self, table: str) -> int | None:
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return None
+        versions = [
+            int(s.getPath().getName()[2:])
+            for s in fs.listStatus(folder)
+            if s.getPath().getName().startswith("v=")
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+        ]
+        return max(versions, default=None)
+
+    def read(self, table: str) -> DataFrame:
+        version = self._version(table)
+        if version is None:
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v={version}")
+
+    def append(self, table: str, df: DataFrame) -> None:
+        """Add rows; missing columns become null and all are cast to the table's schema."""
+        out = df.select(
+            *[
+                (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in TABLES[table].fields
+            ]
+        )
+        version = self._version(table)
+        out.write.mode("append").parquet(f"{self.root}/{table}/v={version or 1}")
+
+    def append_rows(self, table: str, rows: Iterable[tuple]) -> None:
+        self.append(table, self.spark.createDataFrame(list(rows), TABLES[table]))
+
+    def _replace(self, table: str, df: DataFrame) -> None:
+        version = (self._version(table) or 0) + 1
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+            f"{self.root}/{table}/v={version}"
+        )
+
+    def next_id(self, table: str) -> int:
+        """One above the highest id. Runs are recorded by one driver at a time."""
+        return (self.read(table).agg(F.max("id")).first()[0] or 0) + 1
+
+    def delete_run(self, run_id: int) -> None:
+        """Remove a run, its results and its stage checks."""
+        for table, column in _RUN_TABLES.items():
+            rows = self.read(table)
+            self._replace(table, without_runs(rows, self._ids([run_id]), column))
+
+    def _ids(self, ids: list[int]) -> DataFrame:
+        return self.spark.createDataFrame([(i,) for i in ids], "id bigint")
+
+    # --- Dataset registry ---
+
+    def register_dataset(self, name: str, fmt: str, path: str, result: ReadResult, now) -> int:
+        """Record a dataset that was read; its row count comes from the accounting."""
+        dataset_id = self.next_id("datasets")
+        entry = result.accounting.select(
+            F.lit(dataset_id).alias("id"),
+            F.lit(name).alias("name"),
+            F.lit(fmt).alias("type"),
+            F.lit(now).alias("uploaded_at"),
+            F.col("rows_processed").alias("row_count"),
+            F.to_json(
+                F.struct(
+                    F.struct(*[F.lit(t).alias(c) for c, t in result.schema.items()]).alias("columns"),
+                    F.struct("*").alias("processing_info"),
+                )
+            ).alias("schema_json"),
+            F.lit(path).alias("file_path"),
+        )
+        self.append("datasets", entry)
+        return dataset_id
+
+    def datasets(self) -> DataFrame:
+        return self.read("datasets").select("id", "name", "type", "row_count", "uploaded_at")
+
+    def rescan_dataset(self, dataset_id: int) -> ReadResult:
+        """Read a registered file again without a cap and refresh its row count and schema."""
+        found = self.read("datasets").filter(F.col("id") == dataset_id).take(1)
+        if not found:
+            raise LookupError(f"no dataset with id {dataset_id}")
+        entry = found[0]
+        result = read_full(self.spark, entry.file_path, entry.type)
+        info = result.accounting.select(
+            F.col("rows_processed").alias("_rows"),
+            F.to_json(
+                F.struct(
+                    F.struct(*[F.lit(t).alias(c) for c, t in result.schema.items()]).alias("columns"),
+                    F.struct("*").alias("processing_info"),
+                )
+            ).alias("_json"),
+            F.lit(dataset_id).cast("bigint").alias("id"),
+        )
+        # ``info`` holds one row.
+        refreshed = self.read("datasets").join(F.broadcast(info), "id", "left")
+        self._replace(
+            "datasets",
+            refreshed.select(
+                "id", "name", "type", "uploaded_at",
+                F.coalesce("_rows", "row_count").alias("row_count"),
+                F.coalesce("_json", "schema_json").alias("schema_json"),
+                "file_path",
+            ),
+        )
+        return result
+
+    def table_counts(self) -> DataFrame:
+        return table_counts({name: self.read(name) for name in TABLES})
+
+
+def without_runs(rows: DataFrame, deleted: DataFrame, column: str) -> DataFrame:
+    """Rows whose run is not among the deleted ids."""
+    return rows.join(deleted.select(F.col("id").alias(column)), column, "left_anti").select(*rows.columns)
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows) for each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
