@@ -111,11 +111,11 @@ def missing(w: With, src: str, rate: float, name: str) -> str:
     return w.add(name, f"SELECT * FROM {src} WHERE NOT {sampled('drop', 'seq', rate)}")
 
 
-def duplicates(w: With, src: str, rate: float, name: str) -> str:
+def duplicates(w: With, src: str, rate: float, name: str, base: str = "") -> str:
     return w.add(
         name,
         f"""SELECT * FROM {src} UNION ALL
-        SELECT * REPLACE (seq + (SELECT max(seq) + 1 FROM {src}) AS seq,
+        SELECT * REPLACE (seq + (SELECT max(seq) + 1 FROM {base or src}) AS seq,
             list_append(faults, 'duplication') AS faults)
         FROM {src} WHERE {sampled('dup', 'seq', rate)}""",
     )
@@ -142,12 +142,12 @@ def drift(w: With, src: str, rate: float, name: str) -> str:
     )
 
 
-def out_of_order(w: With, src: str, rate: float, name: str) -> str:
+def out_of_order(w: With, src: str, rate: float, name: str, base: str = "") -> str:
     sample = sampled("ooo", "seq", min(1.0, 2 * rate))
     w.add(
         f"{name}_pick",
         f"""SELECT *, {h32('oooG', 'seq')} %
-            greatest(1, CAST(ceil((SELECT max(seq) + 1 FROM {src}) / 4096.0) AS BIGINT)) AS grp
+            greatest(1, CAST(ceil((SELECT max(seq) + 1 FROM {base or src}) / 4096.0) AS BIGINT)) AS grp
         FROM {src} WHERE {sample}""",
     )
     w.add(
@@ -179,9 +179,9 @@ def inject(w: With, scenario: str, src: str = "ev") -> str:
     if scenario == "out_of_order":
         return out_of_order(w, src, 0.2, "s_ooo")
     one = missing(w, src, 0.1, "m_missing")
-    two = duplicates(w, one, 0.1, "m_dup")
+    two = duplicates(w, one, 0.1, "m_dup", src)
     three = corruption(w, two, 0.1, "m_corrupt")
-    return out_of_order(w, three, 0.1, "s_mixed")
+    return out_of_order(w, three, 0.1, "s_mixed", src)
 
 
 def all_scenarios(w: With, names: Sequence[str] = NAMES, src: str = "ev") -> str:
@@ -585,7 +585,7 @@ def _row_checks(out: dict[str, str]) -> None:
     )
     w = With()
     src = nulled(w)
-    both = drift(w, src, 0.2, "drifted")
+    drifted = drift(w, src, 0.2, "drifted")
     out["validate_data_types"] = w.select(
         f"""SELECT CAST(0 AS BIGINT) AS event_id_violations,
         CAST(count_if(customer_id IS NULL) AS BIGINT) AS customer_id_violations,

@@ -190,7 +190,7 @@ def fault_negative_id(spark, sf):
 
 @query
 def scenario_mixed(spark, sf):
-    return _shown(scenarios.scenario("mixed").inject(_events(spark, sf)))
+    return _shown(scenarios.inject(_events(spark, sf), "mixed"))
 
 
 # --- Row checks -----------------------------------------------------------------
@@ -347,7 +347,7 @@ def duplicate_count(spark, sf):
 
 @query
 def duplicate_rows(spark, sf):
-    events = scenarios.scenario("mixed").inject(_events(spark, sf))
+    events = scenarios.inject(_events(spark, sf), "mixed")
     return integrity.duplicate_rows(events, ["event_id"], prefer=F.col("version").cast("int")).select(
         "seq", "event_id"
     )
@@ -355,7 +355,7 @@ def duplicate_rows(spark, sf):
 
 @query
 def dedupe_keep_first(spark, sf):
-    events = scenarios.scenario("mixed").inject(_events(spark, sf))
+    events = scenarios.inject(_events(spark, sf), "mixed")
     return _shown(integrity.dedupe_keep_first(events, ["event_id"], prefer=F.col("version").cast("int")))
 
 
@@ -414,7 +414,7 @@ def rule_violations(spark, sf):
 @query
 def reconcile_ids(spark, sf):
     events = _events(spark, sf)
-    received = scenarios.scenario("mixed").inject(events)
+    received = scenarios.inject(events, "mixed")
     return reconcile.reconcile_keys(events, received, ["event_id"])
 
 
@@ -454,7 +454,7 @@ def arrival_disorder_overall(spark, sf):
 @query
 def downstream_validation(spark, sf):
     events = _events(spark, sf)
-    stored = proposed.kept_rows(scenarios.scenario("mixed").inject(events), AS_OF)
+    stored = proposed.kept_rows(scenarios.inject(events, "mixed"), AS_OF)
     keys = reconcile.reconcile_keys(events, stored, ["event_id"])
     order = reconcile.positional_mismatch_rate(events, stored)
     return combine([keys, order], ()).select(
@@ -474,12 +474,12 @@ def consistency_orders_lineitem(spark, sf):
 
 @query
 def baseline_batch(spark, sf):
-    return baseline.metrics(baseline.transform(scenarios.scenario("mixed").inject(_events(spark, sf))))
+    return baseline.metrics(baseline.transform(scenarios.inject(_events(spark, sf), "mixed")))
 
 
 def _proposed(name: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return proposed.metrics(scenarios.scenario(name).inject(_events(spark, sf)), AS_OF)
+        return proposed.metrics(scenarios.inject(_events(spark, sf), name), AS_OF)
 
     return run
 
@@ -492,7 +492,7 @@ for _name in NAMES:
 def proposed_against_source(spark, sf):
     """The mixed scenario compared with the rows before the faults."""
     events = _events(spark, sf)
-    return proposed.metrics(scenarios.scenario("mixed").inject(events), AS_OF, source=events)
+    return proposed.metrics(scenarios.inject(events, "mixed"), AS_OF, source=events)
 
 
 @query
@@ -537,7 +537,7 @@ def stage_check_explode(spark, sf):
 
 @query
 def microbatch_metrics(spark, sf):
-    events = scenarios.scenario("mixed").inject(_events(spark, sf))
+    events = scenarios.inject(_events(spark, sf), "mixed")
     return flows.totals(flows.sliced_metrics(events, AS_OF))
 
 

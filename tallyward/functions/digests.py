@@ -27,9 +27,10 @@ def bucket(salt: str, key: Column, buckets: int = BUCKETS) -> Column:
     return hash32(salt, key) % F.lit(buckets)
 
 
-def sampled(salt: str, key: Column, rate: float) -> Column:
+def sampled(salt: str, key: Column, rate: float | Column) -> Column:
     """Bernoulli sample with the given rate, decided by the row's own key."""
-    return bucket(salt, key) < F.lit(round(rate * BUCKETS))
+    share = F.round(rate * BUCKETS) if isinstance(rate, Column) else F.lit(round(rate * BUCKETS))
+    return bucket(salt, key) < share
 
 
 def between(salt: str, key: Column, low: int, high: int) -> Column:

@@ -6,6 +6,7 @@ Sampling hashes the row's own arrival number, so a rerun of any task picks the s
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Union
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from tallyward.functions import digests, parsing
 from tallyward.model import CORRUPTION, DUPLICATION, INCONSISTENCY, SCHEMA_DRIFT
 from tallyward.operators.ordering import dense_position, smallest_k
 
+# A share of rows: one number, or a column where rows of several scenarios differ.
+Rate = Union[float, Column]
+
 # Rows a swap group holds on average; groups grow in number with the table.
 SWAP_GROUP_ROWS = 4096
 
@@ -32,24 +36,34 @@ def next_seq(df: DataFrame, seq: str = "seq") -> Column:
 # --- Order events -----------------------------------------------------------
 
 
-def inject_missing(events: DataFrame, rate: float = 0.1) -> DataFrame:
+def inject_missing(events: DataFrame, rate: Rate = 0.1) -> DataFrame:
     return events.filter(~digests.sampled("drop", F.col("seq"), rate))
 
 
-def missing_rows(events: DataFrame, rate: float = 0.1) -> DataFrame:
+def missing_rows(events: DataFrame, rate: Rate = 0.1) -> DataFrame:
     """Ground truth of :func:`inject_missing`: the rows it takes away."""
     return events.filter(digests.sampled("drop", F.col("seq"), rate))
 
 
-def inject_duplicates(events: DataFrame, rate: float = 0.1) -> DataFrame:
-    """Copies of sampled rows arrive after everything else, in the same relative order."""
-    copies = events.filter(digests.sampled("dup", F.col("seq"), rate)).withColumns(
-        {"seq": F.col("seq") + next_seq(events), "faults": _label(DUPLICATION)}
-    )
-    return events.unionByName(copies)
+def inject_duplicates(events: DataFrame, rate: Rate = 0.1, offset: Column | None = None) -> DataFrame:
+    """Copies of sampled rows arrive after everything else, in the same relative order.
+
+    A copy's arrival number is the original's plus ``offset``, by default the first
+    unused number. Originals and copies come out of the same scan.
+    """
+    offset = next_seq(events) if offset is None else offset
+    once, twice = F.array(F.lit(False)), F.array(F.lit(False), F.lit(True))
+    copies = F.when(digests.sampled("dup", F.col("seq"), rate), twice).otherwise(once)
+    spread = events.select(*events.columns, F.explode(copies).alias("_copy"))
+    return spread.withColumns(
+        {
+            "seq": F.when(F.col("_copy"), F.col("seq") + offset).otherwise(F.col("seq")),
+            "faults": _label(DUPLICATION, F.col("_copy")),
+        }
+    ).select(*events.columns)
 
 
-def inject_corruption(events: DataFrame, rate: float = 0.1) -> DataFrame:
+def inject_corruption(events: DataFrame, rate: Rate = 0.1) -> DataFrame:
     hit = digests.sampled("corrupt", F.col("seq"), rate)
     amount = parsing.to_decimal(F.col("amount"))
     inflated = F.coalesce((amount * 10 + 1).cast("decimal(20,2)").cast("string"), F.col("amount"))
@@ -62,7 +76,7 @@ def inject_corruption(events: DataFrame, rate: float = 0.1) -> DataFrame:
     )
 
 
-def inject_schema_drift(events: DataFrame, rate: float = 0.1) -> DataFrame:
+def inject_schema_drift(events: DataFrame, rate: Rate = 0.1) -> DataFrame:
     hit = digests.sampled("drift", F.col("seq"), rate)
     return events.withColumns(
         {
@@ -72,17 +86,22 @@ def inject_schema_drift(events: DataFrame, rate: float = 0.1) -> DataFrame:
     )
 
 
-def inject_out_of_order(events: DataFrame, rate: float = 0.1) -> DataFrame:
+def inject_out_of_order(
+    events: DataFrame, rate: Rate = 0.1, upper: Column | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """About n x rate disjoint swaps of two rows' arrival numbers.
 
-    Twice the rate is sampled and paired inside hash groups, whose number follows the
-    table's size. Only sampled rows are shuffled; an odd one out stays where it is.
+    Twice the rate is sampled and paired inside hash groups, whose number follows
+    ``upper``, by default the first unused arrival number. Only sampled rows are
+    shuffled; an odd one out stays where it is.
     """
     seq = F.col("seq")
-    sample = digests.sampled("ooo", seq, min(1.0, 2 * rate))
-    groups = F.greatest(F.lit(1), F.ceil(next_seq(events) / F.lit(SWAP_GROUP_ROWS))).cast("bigint")
+    share = F.least(F.lit(1.0), rate * 2) if isinstance(rate, Column) else min(1.0, 2 * rate)
+    sample = digests.sampled("ooo", seq, share)
+    upper = next_seq(events) if upper is None else upper
+    groups = F.greatest(F.lit(1), F.ceil(upper / F.lit(SWAP_GROUP_ROWS))).cast("bigint")
     picked = events.filter(sample).withColumn("_group", digests.hash32("oooG", seq) % groups)
-    w = Window.partitionBy("_group").orderBy(digests.hash32("ooo", seq), seq)
+    w = Window.partitionBy(*by, "_group").orderBy(digests.hash32("ooo", seq), seq)
     paired = picked.withColumns(
         {
             "_rank": F.row_number().over(w),

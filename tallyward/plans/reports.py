@@ -116,9 +116,8 @@ def stage_pass_rate(checks: DataFrame) -> DataFrame:
     )
 
 
-SERIES = (
-    "baseline_latency", "proposed_latency", "precision", "recall", "false_positives", "false_negatives",
-)
+SCORES = ("precision", "recall", "false_positives", "false_negatives")
+SERIES = ("baseline_latency", "proposed_latency", *SCORES)
 
 
 def scenario_series(runs: DataFrame, results: DataFrame) -> DataFrame:
@@ -126,7 +125,7 @@ def scenario_series(runs: DataFrame, results: DataFrame) -> DataFrame:
 
     Latencies are per flow, scores are the checked flow's.
     """
-    named = results.join(
+    named = results.select("experiment_run_id", "pipeline_type", "latency_ms", *SCORES).join(
         runs.select(F.col("id").alias("experiment_run_id"), F.col("scenario_name").alias("scenario")),
         "experiment_run_id",
     )
@@ -135,7 +134,7 @@ def scenario_series(runs: DataFrame, results: DataFrame) -> DataFrame:
         stable_avg(_only("proposed", "latency_ms")).alias("proposed_latency"),
         *[
             stable_avg(_only("proposed", c).cast("double")).alias(c)
-            for c in ("precision", "recall", "false_positives", "false_negatives")
+            for c in SCORES
         ],
     )
     return wide.unpivot(["scenario"], list(SERIES), "metric", "value")

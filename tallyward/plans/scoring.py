@@ -62,11 +62,24 @@ def displaced(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Ids both sides have whose rank differs between source and arrival.
 
     Ranking only what both sides have keeps a lost row from shifting all that follow.
+    Both ranks come from one pass over two rows per id.
     """
+    keys = [*by, "event_id"]
+    sides = F.array(
+        F.struct(F.lit("source").alias("_side"), F.col("source_seq").alias("_order")),
+        F.struct(F.lit("arrival").alias("_side"), F.col("first_seq").alias("_order")),
+    )
     shared = facts.filter(F.col("source_seq").isNotNull() & F.col("first_seq").isNotNull())
-    ranked = dense_position(shared, "_source_rank", "source_seq", by)
-    ranked = dense_position(ranked, "_arrival_rank", "first_seq", by)
-    return ranked.filter(F.col("_source_rank") != F.col("_arrival_rank"))
+    ranked = dense_position(shared.select(*keys, F.inline(sides)), "_rank", "_order", [*by, "_side"])
+    return (
+        ranked.groupBy(*keys)
+        .agg(
+            F.min("_rank").alias("_low"),
+            F.max("_rank").alias("_high"),
+            F.max(F.when(F.col("_side") == "arrival", F.col("_order"))).alias("first_seq"),
+        )
+        .filter(F.col("_low") != F.col("_high"))
+    )
 
 
 def findings(received: DataFrame, source: DataFrame, as_of: str, by: Sequence[str] = ()) -> DataFrame:
@@ -161,9 +174,7 @@ def detected_counts(counts: DataFrame, groups: DataFrame, by: Sequence[str]) ->
 
 def by_category(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Findings counted per category, one column each."""
-    return found.groupBy(*by).pivot("category", list(CATEGORIES)).agg(F.count("*")).select(
-        *by, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in CATEGORIES]
-    )
+    return found.groupBy(*by).agg(*[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
 
 
 def reference_scores(row: DataFrame, source_rows: Column, detected: Column, stored: Column) -> DataFrame:
