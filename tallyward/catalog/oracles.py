@@ -719,7 +719,7 @@ def _reconcile(out: dict[str, str]) -> None:
     w = With()
     src = inject(w, "out_of_order", events(w))
     out["arrival_disorder"] = w.select(
-        f"""SELECT customer_id, count(*) AS rows, CAST(count_if(prev > event_time) AS BIGINT) AS out_of_order
+        f"""SELECT customer_id, count(*) AS rows, CAST(count_if(coalesce(prev > event_time, FALSE)) AS BIGINT) AS out_of_order
         FROM (SELECT *, lag(event_time) OVER (PARTITION BY customer_id ORDER BY seq) AS prev FROM {src})
         GROUP BY customer_id"""
     )
@@ -727,7 +727,7 @@ def _reconcile(out: dict[str, str]) -> None:
     src = w.add("gen_f", f"SELECT *, {NO_FAULTS} AS faults FROM {generated(w)}")
     moved = out_of_order(w, src, 0.2, "moved")
     out["arrival_disorder_overall"] = w.select(
-        f"""SELECT count(*) AS rows, CAST(count_if(prev > event_time) AS BIGINT) AS out_of_order
+        f"""SELECT count(*) AS rows, CAST(count_if(coalesce(prev > event_time, FALSE)) AS BIGINT) AS out_of_order
         FROM (SELECT *, lag(event_time) OVER (ORDER BY seq) AS prev FROM {moved})"""
     )
     out["consistency_orders_lineitem"] = """SELECT childless AS parents_without_children, orphans AS orphan_rows,
