@@ -15,7 +15,7 @@ from tallyward.operators.checks import STORED, annotate
 from tallyward.plans import ab, baseline, experiments, proposed, reports, scenarios, scoring
 from tallyward.plans.combine import combine
 from tallyward.plans.views import ab_view, order_events, table
-from tallyward.session import checkpoint_root
+from tallyward.session import checkpoint_root, spread
 from tallyward.sources import readers, sinks, warehouse
 from tallyward.streaming import flows
 
@@ -38,7 +38,7 @@ def all_queries() -> dict[str, Query]:
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders")
+    return spread(table(spark, sf, "orders"), "o_orderkey")
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,9 +28,14 @@ def bucket(salt: str, key: Column, buckets: int = BUCKETS) -> Column:
 
 
 def sampled(salt: str, key: Column, rate: float | Column) -> Column:
-    """Bernoulli sample with the given rate, decided by the row's own key."""
-    share = F.round(rate * BUCKETS) if isinstance(rate, Column) else F.lit(round(rate * BUCKETS))
-    return bucket(salt, key) < share
+    """Bernoulli sample with the given rate, decided by the row's own key.
+
+    Where the rate is a column, rows with rate 0 are decided without hashing.
+    """
+    if isinstance(rate, Column):
+        share = F.round(rate * BUCKETS)
+        return (share > 0) & (bucket(salt, key) < share)
+    return bucket(salt, key) < F.lit(round(rate * BUCKETS))
 
 
 def between(salt: str, key: Column, low: int, high: int) -> Column:

@@ -146,6 +146,29 @@ def annotate(events: DataFrame, as_of: str) -> DataFrame:
     ).withColumn("outcome", outcome)
 
 
+def facts(annotated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What stage metrics and findings need of annotated rows, and nothing wider.
+
+    ``payload_word`` is the row's share of the content fingerprint.
+    """
+    return annotated.select(
+        *by,
+        "event_id",
+        "seq",
+        "event_time",
+        "outcome",
+        "stale",
+        "checksum_ok",
+        "faults",
+        payload_word().alias("payload_word"),
+    )
+
+
+def payload_word() -> Column:
+    """32-bit digest of the fields a checksum covers."""
+    return digests.word32(digests.row_digest(["event_id", "customer_id", "amount", "event_time"]))
+
+
 def curated(annotated: DataFrame) -> DataFrame:
     """The stored columns of the rows that pass."""
     return annotated.filter(F.col("outcome") == STORED).select(

@@ -11,25 +11,33 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.scalars import ratio_or
 from tallyward.model import BASELINE_FLOW, PROPOSED_FLOW
-from tallyward.operators.integrity import fingerprint
+from tallyward.operators import checks
+from tallyward.operators.checks import STORED, annotate, facts
 from tallyward.plans import baseline, proposed, scenarios, scoring
 from tallyward.plans.combine import combine
+from tallyward.session import spread, staged
 from tallyward.sources.warehouse import Warehouse
 
 MODES = ("baseline", "proposed", "compare")
 DEFAULT_AS_OF = "2024-01-02T00:00:00"
 
 
+def _received(events: DataFrame, as_of: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Checked rows of all scenarios, staged because several branches read them."""
+    events = spread(events, "seq")
+    return staged(facts(annotate(scenarios.injected(events, names), as_of), keys))
+
+
 def scenario_results(
     events: DataFrame, as_of: str, names: Sequence[str] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """One row per scenario with the published metrics, without latencies."""
     names = list(names or scenarios.SCENARIOS)
     keys = ["scenario", *by]
-    faulted = scenarios.injected(events, names)
+    received = _received(events, as_of, names, keys)
     sizes = events.groupBy(*by).agg(F.count("*").alias("source_rows"))
     parts = [
-        proposed.metrics(faulted, as_of, by=keys).select(
+        proposed.metrics_of(received, by=keys).select(
             *keys,
             # The minimal flow stores whatever it receives.
             F.col("ingested").alias("baseline_record_count"),
@@ -59,10 +67,10 @@ def true_matches(
     """True and false positives and false negatives per scenario, group and category."""
     names = list(names or scenarios.SCENARIOS)
     keys = ["scenario", *by]
-    faulted = scenarios.injected(events, names)
+    received = _received(events, as_of, names, keys)
     sources = scenarios.source_per_scenario(events.select(*by, "event_id", "seq"), names)
-    found = scoring.findings(faulted, sources, as_of, keys)
-    injected = scoring.truth(faulted, scenarios.lost_rows(events, names, by), keys)
+    found = scoring.findings_of(received, sources, keys)
+    injected = scoring.truth(received, scenarios.lost_rows(events, names, by), keys)
     return scoring.matches(found, injected, keys)
 
 
@@ -87,16 +95,15 @@ def stage_checks(
     """Findings per check of the checked flow: five stages, ten checks, real counts."""
     names = list(names or scenarios.SCENARIOS)
     keys = ["scenario", *by]
-    faulted = scenarios.injected(events, names)
-    sources = scenarios.source_per_scenario(
-        events.select(*by, "event_id", "seq", "event_time", "customer_id", "amount"), names
-    )
-    payload = ["event_id", "customer_id", "amount", "event_time"]
-    kept = proposed.kept_rows(faulted, as_of)
+    received = _received(events, as_of, names, keys)
+    source = staged(events.select(*by, "event_id", "seq", "event_time", checks.payload_word().alias("payload_word")))
+    sources = scenarios.source_per_scenario(source, names)
+    stored_print = _fingerprint(received.filter(F.col("outcome") == STORED), keys, "stored_fingerprint")
+    source_print = _fingerprint(source, by, "source_fingerprint")
     parts = [
-        proposed.metrics(faulted, as_of, source=sources, by=keys),
-        fingerprint(kept, payload, keys).select(*keys, F.col("fingerprint").alias("stored_fingerprint")),
-        fingerprint(sources, payload, keys).select(*keys, F.col("fingerprint").alias("source_fingerprint")),
+        proposed.metrics_of(received, sources, keys),
+        stored_print,
+        scenarios.source_per_scenario(source_print, names),
     ]
     row = combine(parts, keys)
     per_check = {
@@ -118,12 +125,16 @@ def stage_checks(
             F.lit(",".join(issues)).alias("issue_type"),
             F.coalesce(per_check[check], F.lit(0)).alias("findings_count"),
         )
-        for stage, checks, issues in PROPOSED_FLOW
-        for check in checks
+        for stage, stage_checks_, issues in PROPOSED_FLOW
+        for check in stage_checks_
     ]
     return row.select(*keys, F.inline(F.array(*entries))).withColumn("passed", F.col("findings_count") == 0)
 
 
+def _fingerprint(rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum(F.col("payload_word").cast("decimal(20,0)")).cast("string").alias(name))
+
+
 def baseline_stage_checks(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The minimal flow checks nothing, so each of its steps passes with no findings."""
     entries = [
@@ -133,8 +144,8 @@ def baseline_stage_checks(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.lit(",".join(issues)).alias("issue_type"),
             F.lit(0).cast("bigint").alias("findings_count"),
         )
-        for stage, checks, issues in BASELINE_FLOW
-        for check in checks
+        for stage, stage_checks_, issues in BASELINE_FLOW
+        for check in stage_checks_
     ]
     return groups.select(*keys, F.inline(F.array(*entries))).withColumn("passed", F.lit(True))
 
@@ -250,12 +261,12 @@ def _record_results(
             F.when(is_checked, F.lit(overhead).cast("double")).otherwise(F.lit(0.0)).alias("overhead_ms"),
         )
     )
-    checks = stage_checks(events, as_of, [scenario]).withColumn("pipeline_type", F.lit("proposed"))
+    checked_stages = stage_checks(events, as_of, [scenario]).withColumn("pipeline_type", F.lit("proposed"))
     plain = baseline_stage_checks(
         scenarios.source_per_scenario(_one(events), [scenario]), ["scenario"]
     ).withColumn("pipeline_type", F.lit("baseline"))
     all_checks = (
-        plain.unionByName(checks)
+        plain.unionByName(checked_stages)
         .filter(F.col("pipeline_type").isin(wanted))
         .select(run, "*", F.lit(None).cast("string").alias("notes"))
     )

@@ -100,7 +100,11 @@ def metrics(
     Without ``source`` the received rows are compared with themselves, which hides lost
     rows; pass the original rows to see them.
     """
-    annotated = annotate(events, as_of)
+    return metrics_of(annotate(events, as_of), source, by)
+
+
+def metrics_of(annotated: DataFrame, source: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`metrics` of rows that are already annotated."""
     row = combine([_key_totals(annotated, source, by), _order_mismatches(annotated, source, by)], by)
     row = row.withColumns(
         {

@@ -84,6 +84,11 @@ def displaced(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def findings(received: DataFrame, source: DataFrame, as_of: str, by: Sequence[str] = ()) -> DataFrame:
     """Everything the checks find: (by, event_id, seq, stage, check, category)."""
+    return findings_of(annotate(received, as_of), source, by)
+
+
+def findings_of(received: DataFrame, source: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`findings` of received rows that are already annotated."""
     keep = [*by, "event_id"]
     facts = key_facts(received, source, by)
     lost = facts.filter(F.col("first_seq").isNull()).select(*keep, F.col("source_seq").alias("seq"))
@@ -101,7 +106,7 @@ def findings(received: DataFrame, source: DataFrame, as_of: str, by: Sequence[st
         )
 
     return (
-        row_findings(annotate(received, as_of), by)
+        row_findings(received, by)
         .unionByName(tag(surplus, "Preprocessing", "duplicate_detection", DUPLICATION))
         .unionByName(tag(lost, "Storage", "row_count_check", LOSS))
         .unionByName(tag(moved, "Output", "downstream_validation", INCONSISTENCY))

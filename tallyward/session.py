@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan here assumes. Partition counts are left to AQE,
 # which coalesces from the initial number; executors, memory and cores are the
@@ -34,13 +35,42 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage and streaming checkpoints.
 
     A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on
-    one machine) is a local folder chosen.
+    one machine) is a local folder chosen, once per session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
-        return configured
+        return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="tallyward-checkpoint-")
+    local = tempfile.mkdtemp(prefix="tallyward-checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
+
+
+# Input with fewer bytes than this per core is spread before work is done on it.
+MIN_SPREAD_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, on: str) -> DataFrame:
+    """Give every core a share of a scan too small to be split among them.
+
+    Large input comes in more splits than there are cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * MIN_SPREAD_BYTES
+    return df.repartition(cores, on) if small else df
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write the frame to the shared folder and read it back.
+
+    For frames several branches of one plan consume: they are computed once, and a lost
+    executor costs a re-read, not a recomputation. Tables stay under
+    ``tallyward-staged`` until that folder is emptied.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/tallyward-staged/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
