@@ -55,7 +55,7 @@ def scenario_results(
         ["baseline_record_count", "proposed_source_count", "proposed_stored_rows",
          "proposed_detected_issues", "proposed_out_of_order_rate"],
     )
-    scored = scoring.reference_scores(
+    scored = scoring.published_scores(
         row, F.col("source_rows"), F.col("proposed_detected_issues"), F.col("proposed_stored_rows")
     )
     return scored.drop("source_rows")

@@ -182,7 +182,7 @@ def by_category(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return found.groupBy(*by).agg(*[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
 
 
-def reference_scores(row: DataFrame, source_rows: Column, detected: Column, stored: Column) -> DataFrame:
+def published_scores(row: DataFrame, source_rows: Column, detected: Column, stored: Column) -> DataFrame:
     """The simple published scores: any finding is precision 1, recall is found per source row."""
     return row.withColumns(
         {
