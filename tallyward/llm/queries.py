@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyward.llm.packing import op1_packing
+from tallyward.llm.pii import op2_pii
+from tallyward.llm.quality import op3_quality
 from tallyward.llm.resharding import op9_resharding
+from tallyward.llm.syncmers import op5_syncmers
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_pii": op2_pii,
+        "op3_quality": op3_quality,
+        "op5_syncmers": op5_syncmers,
         "op9_resharding": op9_resharding,
     }
 

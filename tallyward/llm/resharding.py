@@ -184,7 +184,7 @@ def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
-        "shard",
+        F.col("shard").cast("int").alias("shard"),
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
