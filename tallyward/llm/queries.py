@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyward.llm.neardup import op4_neardup
 from tallyward.llm.packing import op1_packing
 from tallyward.llm.pii import op2_pii
 from tallyward.llm.quality import op3_quality
 from tallyward.llm.resharding import op9_resharding
 from tallyward.llm.syncmers import op5_syncmers
+from tallyward.llm.toxicity import op8_toxicity
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,7 +20,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_pii": op2_pii,
         "op3_quality": op3_quality,
+        "op4_neardup": op4_neardup,
         "op5_syncmers": op5_syncmers,
+        "op8_toxicity": op8_toxicity,
         "op9_resharding": op9_resharding,
     }
 
