@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyward.llm.decontaminate import OP10_SQL, op10_decontaminate
 from tallyward.llm.neardup import op4_neardup
 from tallyward.llm.packing import op1_packing
 from tallyward.llm.pii import op2_pii
 from tallyward.llm.quality import op3_quality
+from tallyward.llm.quotes import OP7_SQL, op7_quotes
 from tallyward.llm.resharding import op9_resharding
 from tallyward.llm.syncmers import op5_syncmers
 from tallyward.llm.toxicity import op8_toxicity
@@ -22,10 +24,12 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_neardup": op4_neardup,
         "op5_syncmers": op5_syncmers,
+        "op7_quotes": op7_quotes,
         "op8_toxicity": op8_toxicity,
         "op9_resharding": op9_resharding,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op7_quotes": OP7_SQL, "op10_decontaminate": OP10_SQL}
