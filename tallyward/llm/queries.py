@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyward.llm.decontaminate import OP10_SQL, op10_decontaminate
+from tallyward.llm.html import op6_html
 from tallyward.llm.neardup import op4_neardup
 from tallyward.llm.packing import op1_packing
 from tallyward.llm.pii import op2_pii
@@ -24,6 +25,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_neardup": op4_neardup,
         "op5_syncmers": op5_syncmers,
+        "op6_html": op6_html,
         "op7_quotes": op7_quotes,
         "op8_toxicity": op8_toxicity,
         "op9_resharding": op9_resharding,

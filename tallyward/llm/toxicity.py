@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyward.llm import calibration
 from tallyward.llm.common import fold, table
+from tallyward.llm.crf import forward_backward
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000  # labelled documents the field is fitted to, chosen by hash
 SAMPLE_CHARS = 20_000  # labelled documents up to this length may be chosen for the fit; all lengths are scored
@@ -71,37 +72,6 @@ def _stems(word: str) -> list[str]:
     return ["=" + word, *("<" + word[:n] for n in (4, 5, 6) if len(word) >= n)]
 
 
-def forward_backward(unary: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For chains unary[n, steps] (log-odds of label 1 against 0; nan past the end) and log transitions trans[2, 2]:
-
-    marginals of label 1, expected transitions [n, 2, 2], log partition functions.
-    """
-    n, steps = unary.shape
-    ok = ~np.isnan(unary)
-    u = np.where(ok, unary, 0.0)
-    forward = np.zeros((steps, n, 2))
-    forward[0, :, 1] = u[:, 0]
-    backward = np.zeros((steps, n, 2))
-    for t in range(1, steps):
-        a = forward[t - 1]
-        step = np.stack([np.logaddexp(a[:, 0] + trans[0, k], a[:, 1] + trans[1, k]) for k in (0, 1)], 1)
-        step[:, 1] += u[:, t]
-        forward[t] = np.where(ok[:, t, None], step, a)
-    for t in range(steps - 2, -1, -1):
-        b = backward[t + 1]
-        ahead = np.stack([b[:, 0], b[:, 1] + u[:, t + 1]], 1)
-        step = np.stack([np.logaddexp(trans[j, 0] + ahead[:, 0], trans[j, 1] + ahead[:, 1]) for j in (0, 1)], 1)
-        backward[t] = np.where(ok[:, t + 1, None], step, b)
-    whole = np.logaddexp(forward[-1, :, 0], forward[-1, :, 1])
-    marginal = np.exp(forward[:, :, 1] + backward[:, :, 1] - whole).T
-    moves = np.zeros((n, 2, 2))
-    for j in (0, 1):
-        for k in (0, 1):
-            e = forward[:-1, :, j] + trans[j, k] + backward[1:, :, k] + (u[:, 1:].T if k else 0) - whole
-            moves[:, j, k] = np.where(ok[:, 1:].T, np.exp(np.minimum(e, 0)), 0).sum(0)
-    return np.where(ok, marginal, 0), moves, whole
-
-
 def chains(flat: np.ndarray, sizes: np.ndarray, fill) -> tuple[np.ndarray, np.ndarray]:
     """Values of documents, end to end, as rows of ``STEPS`` of one document each, and the document of each row."""
     rows = -(-sizes // STEPS)
