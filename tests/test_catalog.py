@@ -8,7 +8,7 @@ import __spark_entry__ as entry_point
 from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, SQL = entry_point.all_queries(), entry_point.all_oracles()
 # The whole catalogue takes some minutes; these share their plans with ones that run.
 HEAVY = {
     "scores_reference", "matches_by_category", "experiment_list", "experiment_detail", "improvement",
