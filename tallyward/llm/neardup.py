@@ -4,7 +4,8 @@ Equal sets of shingles become one node first. A signature takes, for each elemen
 that ranks of one element never share a slot; slots fill fast, and a text of many words stops after a few ranks. With
 ``BANDS`` bands of ``ROWS`` slots, two sets of similarity 0.8 share no band with a chance of about 3 in a million. In a
 band's bucket members are first paired with its least member alone. Where buckets still hold more than one component,
-the members of different components are compared, signatures first. Every link is confirmed on the full sets.
+members of the others are compared with the whole of the largest one and with each other, chunk by chunk. Every link is confirmed on
+the full sets, and no pair is a row unless it is a candidate with a bucket's least member or a link.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +23,7 @@ from tallyward.llm.components import components
 BANDS, ROWS = 42, 6
 SLOTS = BANDS * ROWS
 PERCENT = 80
-# A signature that agrees in fewer slots than this, five standard deviations under the limit, is not compared further.
-LEAST_SLOTS = int(SLOTS * (PERCENT / 100 - 5 * (0.16 / SLOTS) ** 0.5))
-CHUNK = 1024  # members of a bucket that meet in one task, and followers of one text in verification
+CHUNK, ASKERS = 1024, 256  # followers of one text, and texts that ask about a chunk of a component, in one task
 BLOCK = 400_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP, _MASK = 0xD1342543DE82EF95, (1 << 64) - 1
@@ -100,7 +98,7 @@ def super_minhash(owner: np.ndarray, elements: np.ndarray, n: int, slots: int =
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set), a, b (128 bits that stand for it), sig (a byte a slot), keys (a band each); staged."""
+    """doc_id, n (size of the set), a, b (128 bits that stand for it), keys (a band each); staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +115,6 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 keys = np.zeros((n, BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for r in range(ROWS):
                     keys = mix(keys + full[:, r::ROWS])
-                sig = mix(full).astype(np.uint8)
                 offsets = pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -125,14 +122,13 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                         pa.array(sizes.astype(np.int64)),
                         pa.array(sums[0]),
                         pa.array(sums[1]),
-                        pa.array([row.tobytes() for row in sig], pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())),
                     ],
-                    ["doc_id", "n", "a", "b", "sig", "keys"],
+                    ["doc_id", "n", "a", "b", "keys"],
                 )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return staged(narrow.mapInArrow(run, "doc_id long, n long, a long, b long, sig binary, keys array<long>"), "signatures")
+    return staged(narrow.mapInArrow(run, "doc_id long, n long, a long, b long, keys array<long>"), "signatures")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -166,9 +162,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     if v is None:
                         lead, held = u, own.copy()
                     elif lead == u:
-                        common = len(np.intersect1d(held, own, assume_unique=True))
-                        union = len(held) + len(own) - common
-                        if union and 100 * common >= percent * union:
+                        if _alike(held, own, percent):
                             us.append(u)
                             vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
@@ -176,34 +170,77 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return staged(rows.mapInArrow(run, "u long, v long"), "links")
 
 
-def across(mixed: DataFrame) -> DataFrame:
-    """Pairs u < v of members of different components in a bucket whose signatures agree in ``LEAST_SLOTS`` slots.
+def open_questions(filed: DataFrame, nodes: DataFrame, best: DataFrame) -> DataFrame:
+    """node, target: the members of a bucket, and the largest component in it, where the bucket holds others too.
 
-    mixed: key, node, component, sig, n (members of the bucket). Members meet chunk by chunk, so no task holds more than
-    two chunks of a bucket.
+    One row for each member outside the largest component, so a bucket full of one group costs no more than its few other
+    members. Buckets of two texts that were compared already are left out.
     """
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    dealt = mixed.select("key", "node", "component", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    dealt = dealt.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "sig"
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("size"))
+    done = filed.where("n = 2 and node <> least").join(best, (F.col("least") == F.col("u")) & (F.col("node") == F.col("v")))
+    placed = filed.select("key", "node").join(done.select("key"), "key", "left_anti").join(nodes, "node")
+    placed = placed.join(sizes, "component").select("key", "node", F.struct("size", "component").alias("rank"))
+    top = placed.groupBy("key").agg(F.max("rank").alias("top"), F.min("rank").alias("low")).where("low < top")
+    asking = placed.join(top, "key").where("rank < top")
+    return asking.select("node", F.col("top.component").alias("target")).distinct()
+
+
+def crossed(questions: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links u, v between a node and any member of its target component or any other node with that target, on full sets.
+
+    Askers meet the others in chunks, so no task holds more than ``ASKERS`` texts, and no pair is a row unless it is a
+    link.
+    """
+    asked = questions.groupBy("target").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("ask_chunks"))
+    own = nodes.select("node", F.col("component").alias("target"))
+    members = own.union(questions.select("node", "target")).join(asked, "target")
+    chunks = members.groupBy("target").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = questions.join(asked, "target").join(chunks, "target").select(
+        "target", spread("node", "ask_chunks").alias("i"), every("chunks").alias("j"), F.lit(0).alias("kind"), "node"
+    )
+    answering = members.join(chunks, "target").select(
+        "target", every("ask_chunks").alias("i"), spread("node", "chunks").alias("j"), F.lit(1).alias("kind"), "node"
     )
+    meeting = asking.unionByName(answering).join(texts, F.col("node") == texts.doc_id)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = meeting.select("target", "i", "j", "kind", "node", "text").repartition(parts, "target", "i", "j")
+    rows = rows.sortWithinPartitions("target", "i", "j", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            places = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            kinds, ids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            us, vs = [], []
+            for first, run_texts in blocks(batch.column(5).to_pylist(), BLOCK):
+                owner, got = shingles(run_texts, width)
+                cuts = np.searchsorted(owner, np.arange(len(run_texts) + 1))
+                for i in range(len(run_texts)):
+                    own, at = got[cuts[i] : cuts[i + 1]], first + i
+                    if places[at] != group:
+                        group, held = places[at], []
+                    if kinds[at] == 0:
+                        held.append((ids[at], own.copy()))
+                        continue
+                    for node, asker in held:
+                        few, many = sorted((len(asker), len(own)))
+                        if node != ids[at] and 100 * few >= percent * many and _alike(asker, own, percent):
+                            us.append(node)
+                            vs.append(ids[at])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return staged(rows.mapInArrow(run, "u long, v long"), "links")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        node, part = pdf["node"].to_numpy(), pdf["component"].to_numpy()
-        out = []
-        for i in range(len(pdf)):
-            # Where two chunks meet, pairs within one are left to its own group.
-            there = part != part[i]
-            there &= (pdf["own"].to_numpy() != pdf["own"].iat[i]) if pdf["i"].iat[0] != pdf["j"].iat[0] else True
-            there = np.flatnonzero(there & (node > node[i]))
-            if len(there):
-                alike = there[(sig[there] == sig[i]).sum(1) >= LEAST_SLOTS]
-                out += [(node[i], node[k]) for k in alike]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "u long, v long").distinct()
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``percent`` or more; empty ones have not."""
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    union = len(both) - common
+    return union > 0 and 100 * common >= percent * union
 
 
 def _relabel(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -228,9 +265,9 @@ def group(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     sets = (
         base.where("n > 0 and doc_id is not null")
         .groupBy("n", "a", "b")
-        .agg(F.min(F.struct("doc_id", "sig", "keys")).alias("first"))
+        .agg(F.min(F.struct("doc_id", "keys")).alias("first"))
     )
-    sets = staged(sets.select("n", "a", "b", F.col("first.doc_id").alias("node"), "first.sig", "first.keys"), "sets")
+    sets = staged(sets.select("n", "a", "b", F.col("first.doc_id").alias("node"), "first.keys"), "sets")
     members = sets.select(F.explode("keys").alias("key"), "node")
     buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     filed = staged(members.join(buckets, "key"), "buckets")
@@ -240,25 +277,18 @@ def group(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = staged(own.join(wanted, "doc_id", "left_semi"), "candidates")
 
-    # Each text against the bucket leader with which it shares the most bands; then all leaders it is not yet joined to.
+    # Each text against the bucket leader with which it shares the most bands.
     best = stars.groupBy("v").agg(F.max(F.struct("bands", (-F.col("u")).alias("u"))).alias("best"))
-    links = confirmed(best.select((-F.col("best.u")).alias("u"), "v"), texts, width, percent)
+    best = best.select((-F.col("best.u")).alias("u"), "v")
+    links = confirmed(best, texts, width, percent)
     linked = components(links)
     nodes = filed.select("node").distinct().join(linked, "node", "left")
     nodes = staged(nodes.select("node", F.coalesce("component", "node").alias("component")), "nodes")
-    named = lambda c, to: nodes.select(F.col("node").alias(c), F.col("component").alias(to))
-    rest = stars.join(named("u", "cu"), "u").join(named("v", "cv"), "v").where("cu <> cv").select("u", "v")
-    rest = staged(rest.join(best.select((-F.col("best.u")).alias("u"), "v"), ["u", "v"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        nodes = _relabel(nodes, confirmed(rest, texts, width, percent))
-
-    # Members of one bucket in different components may still be alike, though not to the least member.
-    placed = filed.where("n > 2").select("key", "node", "n").join(nodes, "node")
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    mixed = placed.join(split.select("key"), "key").join(sets.select("node", "sig"), "node")
-    more = staged(across(mixed).join(stars.select("u", "v"), ["u", "v"], "left_anti"), "across")
-    if not more.isEmpty():
-        nodes = _relabel(nodes, confirmed(more, texts, width, percent))
+
+    # What shares a bucket with another component may still be alike to some of it.
+    questions = staged(open_questions(filed, nodes, best), "questions")
+    if not questions.isEmpty():
+        nodes = _relabel(nodes, crossed(questions, nodes, texts, width, percent))
 
     roots = sets.select("n", "a", "b", "node").join(nodes, "node", "left")
     roots = roots.select("n", "a", "b", F.coalesce("component", "node").alias("component"))
