@@ -12,8 +12,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000  # labelled documents the field is fitte
 SAMPLE_CHARS = 20_000  # labelled documents up to this length may be chosen for the fit; all lengths are scored
 CALIBRATE = 2000  # labelled documents for the calibration, chosen by hash
 STEPS = 64
+CHAINS = 10_000  # chains in the fit
 CHANCE, PURITY = 0.01, 0.95
 ROUNDS = 40
 THRESHOLD, SPAN = 0.3, 0.5
@@ -45,31 +47,47 @@ def tokens_of(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
-def weak_labels(texts: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Words to call toxic: they, or a beginning of four letters or more, are in toxic documents almost alone.
+def numbered(texts: Iterable[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of texts, their numbers end to end, and the number of tokens of each text."""
+    place: dict[str, int] = {}
+    flat, sizes = array("i"), array("q")
+    for text in texts:
+        words = tokens_of(text)
+        flat.extend([place.setdefault(w, len(place)) for w in words])
+        sizes.append(len(words))
+    return list(place), np.array(flat, np.int64), np.array(sizes, np.int64)
+
+
+def weak_labels(words: list[str], flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which words to call toxic: they, or a beginning of four letters or more, are in toxic documents almost alone.
 
     What counts is distinct neighbourhoods (word before, word after), so copies of a passage count once. A feature needs
     so many of them that chance would hardly put any feature into toxic documents alone that often.
     """
-    seen: tuple[set, set] = (set(), set())
-    for words, label in zip(texts, toxic):
-        seen[label].update(zip(["", *words], words, [*words[1:], ""]))
-    counts = (Counter(), Counter())
-    for places, count in zip(seen, counts):
-        for word, n in Counter(w for _, w, _ in places).items():
-            for f in word_features(word):
-                count[f] += n
-    clean, bad = counts
-    share = len(seen[1]) / max(1, len(seen[0]) + len(seen[1]))
+    n = len(words) + 1
+    label = np.repeat(toxic, sizes)
+    starts = np.cumsum(sizes) - sizes
+    before, after = np.roll(flat, 1), np.roll(flat, -1)
+    before[starts[sizes > 0]] = n - 1
+    after[(starts + sizes - 1)[sizes > 0]] = n - 1
+    place = (before * n + flat) * n + after
+    clean, bad = (np.bincount(np.unique(place[label == k]) // n % n, minlength=n)[:-1] for k in (False, True))
+    share = bad.sum() / max(1, bad.sum() + clean.sum())
     if not 0 < share < 1:
-        return set()
-    least = math.log(len(bad) / CHANCE) / -math.log(share)
-    good = {f for f, n in bad.items() if n >= least and n >= PURITY * (n + clean[f])}
-    return {w for w in {w for _, w, _ in seen[1]} if any(f in good for f in word_features(w))}
-
-
-def _stems(word: str) -> list[str]:
-    return ["=" + word, *("<" + word[:n] for n in (4, 5, 6) if len(word) >= n)]
+        return np.zeros(len(words), bool)
+    seen: Counter[str] = Counter()
+    for k in np.flatnonzero(bad):
+        for f in word_features(words[k]):
+            seen[f] += int(bad[k])
+    least = math.log(len(seen) / CHANCE) / -math.log(share)
+    often = {f: [m, 0] for f, m in seen.items() if m >= least}
+    del seen
+    for k in np.flatnonzero(clean):
+        for f in word_features(words[k]):
+            if f in often:
+                often[f][1] += int(clean[k])
+    good = {f for f, (m, c) in often.items() if m >= PURITY * (m + c)}
+    return np.array([bad[k] > 0 and any(f in good for f in word_features(w)) for k, w in enumerate(words)], bool)
 
 
 def chains(flat: np.ndarray, sizes: np.ndarray, fill) -> tuple[np.ndarray, np.ndarray]:
@@ -119,27 +137,29 @@ class Field:
         return np.log(total + math.exp(RAW[0]))
 
 
-def fit_field(texts: list[list[str]], toxic: list[bool]) -> Field:
+def fit_field(texts: list[str], toxic: list[bool]) -> Field:
     """A field fitted to documents by gradient ascent on the likelihood of their weak token labels."""
-    bad = weak_labels(texts, toxic)
-    neutral = Field({}, -9.0, np.zeros((2, 2)))
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words in texts for w in words))}
-    if not vocabulary or not bad:
-        return neutral
-    flat = np.array([vocabulary[w] for words in texts for w in words])
-    rows, owner = chains(flat, np.array([len(w) for w in texts]), -1)
-    is_bad = np.array([w in bad for w in vocabulary] + [False])
-    has = is_bad[rows].any(1) & np.array(toxic)[owner]
+    words, flat, sizes = numbered(texts)
+    label = np.array(toxic, bool)
+    bad = weak_labels(words, flat, sizes, label) if len(flat) else np.zeros(0, bool)
+    if not bad.any():
+        return Field({}, -9.0, np.zeros((2, 2)))
+    rows, owner = chains(flat, sizes, -1)
+    is_bad = np.append(bad, False)
+    has = is_bad[rows].any(1) & label[owner]
     rng = np.random.default_rng(8)
-    clean = np.flatnonzero(~np.array(toxic)[owner])
+    clean = np.flatnonzero(~label[owner])
     rows = np.vstack([rows[has], rows[rng.permutation(clean)[: max(2000, 2 * int(has.sum()))]]])
-    rows = rows[rng.permutation(len(rows))[:12_000]]
+    rows = rows[rng.permutation(len(rows))[:CHAINS]]
     labels = is_bad[rows] & (rows >= 0)
     used = np.unique(rows[rows >= 0])
-    words = list(vocabulary)
     names: dict[str, int] = {}
-    pairs = [(k, names.setdefault(f, len(names))) for k, w in enumerate(used) for f in word_features(words[w])]
-    word_at, feature_at = map(np.array, zip(*pairs))
+    word_at, feature_at = array("i"), array("i")
+    for k, w in enumerate(used):
+        for f in word_features(words[w]):
+            word_at.append(k)
+            feature_at.append(names.setdefault(f, len(names)))
+    word_at, feature_at = np.array(word_at), np.array(feature_at)
     local = np.full(len(words) + 1, len(used))
     local[used] = np.arange(len(used))
     at = local[rows]
@@ -218,9 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     )
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     main, rest = [r for r in rows if not r.calibrate], [r for r in rows if r.calibrate]
-    field = fit_field([tokens_of(r.text) for r in main], [r.y == 1 for r in main])
+    field = fit_field([r.text for r in main], [r.y == 1 for r in main])
     rest = rest or main
-    raw = field.evidence([tokens_of(r.text) for r in rest])
+    raw = np.concatenate([field.evidence([tokens_of(r.text)]) for r in rest])
     k = calibration.bin_of(raw, *RAW)
     y = np.array([r.y for r in rest], float)
     n = np.bincount(k, minlength=calibration.BINS)
