@@ -150,7 +150,7 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
     def positive(kind: str) -> str:
         if kind == "email":
             at, dot = rng.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("{at}", ".")))
-            return f"{word()}.{word()}{num(2)}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', 'de'))}"
+            return f"{word()}.{word()}{num(rng.choice((0, 2)))}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', 'de'))}"
         if kind == "ip":
             return ":".join("%x" % rng.randint(0, 65535) for _ in range(8)) if rng.random() < 0.6 else f"2001:db8::{rng.randint(1, 65535):x}:{rng.randint(1, 65535):x}"  # noqa: E501
         if kind == "card":

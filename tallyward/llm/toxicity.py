@@ -30,6 +30,7 @@ SAMPLE_CHARS = 20_000  # labelled documents up to this length may be chosen for
 CALIBRATE = 2000  # labelled documents for the calibration, chosen by hash
 STEPS = 64
 CHAINS = 10_000  # chains in the fit
+SHARED = 3  # words that a beginning must have to be a feature
 CHANCE, PURITY = 0.01, 0.95
 ROUNDS = 40
 THRESHOLD, SPAN = 0.3, 0.5
@@ -75,18 +76,22 @@ def weak_labels(words: list[str], flat: np.ndarray, sizes: np.ndarray, toxic: np
     share = bad.sum() / max(1, bad.sum() + clean.sum())
     if not 0 < share < 1:
         return np.zeros(len(words), bool)
+    # A beginning must stand on more than its most frequent word.
     seen: Counter[str] = Counter()
+    top: dict[str, int] = {}
     for k in np.flatnonzero(bad):
         for f in word_features(words[k]):
             seen[f] += int(bad[k])
+            if f[0] == "<" and bad[k] > bad[top.setdefault(f, k)]:
+                top[f] = k
     least = math.log(len(seen) / CHANCE) / -math.log(share)
-    often = {f: [m, 0] for f, m in seen.items() if m >= least}
+    often = {f: [m - (int(bad[top[f]]) if f in top else 0), 0] for f, m in seen.items() if m >= least}
     del seen
     for k in np.flatnonzero(clean):
         for f in word_features(words[k]):
-            if f in often:
+            if f in often and top.get(f) != k:
                 often[f][1] += int(clean[k])
-    good = {f for f, (m, c) in often.items() if m >= PURITY * (m + c)}
+    good = {f for f, (m, c) in often.items() if m >= least and m >= PURITY * (m + c)}
     return np.array([bad[k] > 0 and any(f in good for f in word_features(w)) for k, w in enumerate(words)], bool)
 
 
@@ -155,10 +160,13 @@ def fit_field(texts: list[str], toxic: list[bool]) -> Field:
     used = np.unique(rows[rows >= 0])
     names: dict[str, int] = {}
     word_at, feature_at = array("i"), array("i")
+    # A beginning says something beyond its words only where several words share it.
+    shared = Counter(f for w in used for f in word_features(words[w]))
     for k, w in enumerate(used):
         for f in word_features(words[w]):
-            word_at.append(k)
-            feature_at.append(names.setdefault(f, len(names)))
+            if f[0] == "=" or shared[f] >= SHARED:
+                word_at.append(k)
+                feature_at.append(names.setdefault(f, len(names)))
     word_at, feature_at = np.array(word_at), np.array(feature_at)
     local = np.full(len(words) + 1, len(used))
     local[used] = np.arange(len(used))
@@ -224,8 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
         )
         for r in _sample(part.select("doc_id", "y", apart.alias("calibrate")), n)
     ]
+    neutral = Model(Field({}, -9.0, np.zeros((2, 2))), (np.array([0.0]), np.array([0.0])))
     if not wanted:
-        return Model(Field({}, -9.0, np.zeros((2, 2))), (np.array([0.0]), np.array([0.0])))
+        return neutral
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN + CALIBRATE rows.
     picked = docs.sparkSession.createDataFrame([(r.doc_id, r.y, r.calibrate) for r in wanted], "doc_id long, y int, calibrate boolean")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -236,6 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
         .dropDuplicates(["doc_id"])
         .collect()
     )
+    if not rows:
+        return neutral
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     main, rest = [r for r in rows if not r.calibrate], [r for r in rows if r.calibrate]
     field = fit_field([r.text for r in main], [r.y == 1 for r in main])
