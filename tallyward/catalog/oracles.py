@@ -501,9 +501,6 @@ def _sources(out: dict[str, str]) -> None:
     tail = "CAST(0 AS BIGINT) AS blank_lines, CAST(0 AS BIGINT) AS malformed_lines FROM lineitem"
     out["read_accounting"] = f"""SELECT count(*) AS total_rows, count(*) AS rows_processed,
         'full' AS processing_mode, FALSE AS truncated, {tail}"""
-    out["bounded_scan"] = f"""SELECT count(*) AS total_rows, least(count(*), 10000) AS rows_processed,
-        CASE WHEN count(*) > 10000 THEN 'limited' ELSE 'full' END AS processing_mode,
-        count(*) > 10000 AS truncated, {tail}"""
     out["ndjson_bad_lines"] = f"""SELECT CAST(count_if(trim(value) <> '' AND json_valid(value)) AS BIGINT) AS valid_rows,
         CAST(count_if(trim(value) = '') AS BIGINT) AS blank_lines,
         CAST(count_if(trim(value) <> '' AND NOT json_valid(value)) AS BIGINT) AS malformed_lines

@@ -91,11 +91,6 @@ def read_accounting(spark, sf):
     return readers.read_dataset(spark, f"{sf}/lineitem.parquet").accounting
 
 
-@query
-def bounded_scan(spark, sf):
-    return readers.read_dataset(spark, f"{sf}/lineitem.parquet", row_cap=10_000).accounting
-
-
 @query
 def ndjson_bad_lines(spark, sf):
     lines = table(spark, sf, "events").select(

@@ -51,7 +51,7 @@ def event_checksum(event_id: Column, customer_id: Column, amount: Column, event_
 def row_digest(columns: Sequence[str]) -> Column:
     r"""md5 over ``name=value`` items in name order, null written as ``\N``."""
     items = [
-        F.concat(F.lit(f"{name}="), F.coalesce(F.col(name).cast("string"), F.lit("\\N")))
+        F.concat(F.lit(f"{name}="), F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("\\N")))
         for name in sorted(columns)
     ]
     return F.md5(F.concat_ws("|", *items))

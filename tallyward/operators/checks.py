@@ -47,7 +47,7 @@ def all_present(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> Col
 
 def no_nulls(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> Column:
     """True where every required field is there and not null."""
-    checks = [F.col(n).isNotNull() if n in df.columns else F.lit(False) for n in required]
+    checks = [F.col(f"`{n}`").isNotNull() if n in df.columns else F.lit(False) for n in required]
     out = checks[0]
     for check in checks[1:]:
         out = out & check
@@ -57,20 +57,21 @@ def no_nulls(df: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> Column
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(field, nulls) for each column, from a single aggregate."""
     names = list(columns or df.columns)
-    counted = df.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names])
-    return counted.unpivot([], names, "field", "nulls")
+    counted = df.agg(*[F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(names)])
+    entries = [F.struct(F.lit(n).alias("field"), F.col(f"n{i}").alias("nulls")) for i, n in enumerate(names)]
+    return counted.select(F.inline(F.array(*entries)))
 
 
 def column_profile(df: DataFrame) -> DataFrame:
     """(ordinal, column, type, rows, non_null) for each column, from a single aggregate."""
-    counted = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(n)).alias(n) for n in df.columns])
+    counted = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(df.columns)])
     entries = [
         F.struct(
             F.lit(i).alias("ordinal"),
             F.lit(name).alias("column"),
             F.lit(dtype).alias("type"),
             F.col("_rows").alias("rows"),
-            F.col(name).alias("non_null"),
+            F.col(f"n{i}").alias("non_null"),
         )
         for i, (name, dtype) in enumerate(df.dtypes)
     ]

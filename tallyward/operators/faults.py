@@ -96,7 +96,12 @@ def inject_out_of_order(
     shuffled; an odd one out stays where it is.
     """
     seq = F.col("seq")
-    share = F.least(F.lit(1.0), rate * 2) if isinstance(rate, Column) else min(1.0, 2 * rate)
+    if isinstance(rate, Column):
+        share = F.when(rate > 0.5, F.raise_error(F.lit("at most half of the rows can lead a swap"))).otherwise(rate * 2)
+    elif rate > 0.5:
+        raise ValueError("at most half of the rows can lead a swap: the rate must not exceed 0.5")
+    else:
+        share = 2 * rate
     sample = digests.sampled("ooo", seq, share)
     upper = next_seq(events) if upper is None else upper
     groups = F.greatest(F.lit(1), F.ceil(upper / F.lit(SWAP_GROUP_ROWS))).cast("bigint")

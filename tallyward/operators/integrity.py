@@ -74,7 +74,8 @@ def _winners(df: DataFrame, key: Sequence[str], seq: str, prefer: Column | None)
     """Arrival number of the row to keep per key: highest ``prefer``, then first to arrive."""
     if prefer is None:
         return df.groupBy(*key).agg(F.min(seq).alias(seq)).select(seq)
-    rank = F.struct((-prefer).alias("p"), F.col(seq).alias("s"))
+    # Rows without a preference come last, whatever their arrival.
+    rank = F.struct(prefer.isNull().alias("none"), (-prefer).alias("p"), F.col(seq).alias("s"))
     return df.groupBy(*key).agg(F.min(rank).alias("_best")).select(F.col("_best.s").alias(seq))
 
 
@@ -155,6 +156,8 @@ def rule_violations(df: DataFrame, rules: Sequence[Rule | tuple[str, Callable[[D
         parts.append(counted.unpivot([], names, "rule", "violations"))
     for name, violating in set_rules:
         parts.append(violating(df).agg(F.lit(name).alias("rule"), F.count("*").alias("violations")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "rule string, violations bigint")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -15,7 +15,7 @@ from tallyward.operators import checks
 from tallyward.operators.checks import STORED, annotate, facts
 from tallyward.plans import baseline, proposed, scenarios, scoring
 from tallyward.plans.combine import combine
-from tallyward.session import spread, staged
+from tallyward.session import staged
 from tallyward.sources.warehouse import Warehouse
 
 MODES = ("baseline", "proposed", "compare")
@@ -24,7 +24,6 @@ DEFAULT_AS_OF = "2024-01-02T00:00:00"
 
 def _received(events: DataFrame, as_of: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Checked rows of all scenarios, staged because several branches read them."""
-    events = spread(events, "seq")
     return staged(facts(annotate(scenarios.injected(events, names), as_of), keys))
 
 
@@ -236,7 +235,7 @@ def run_experiment(
     try:
         _record_results(warehouse, events, scenario, mode, as_of, run_id)
     except Exception as error:
-        failed = (*head, "failed", started, datetime.now(timezone.utc), str(error)[:2000])
+        failed = (*head, "failed", started, datetime.now(timezone.utc), str(error))
         warehouse.append_rows("experiment_runs", [failed])
         raise
     warehouse.append_rows("experiment_runs", [(*head, "completed", started, now or datetime.now(timezone.utc), None)])

@@ -49,20 +49,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     return local
 
 
-# Input with fewer bytes than this per core is spread before work is done on it.
-MIN_SPREAD_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame, on: str) -> DataFrame:
-    """Give every core a share of a scan too small to be split among them.
-
-    Large input comes in more splits than there are cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * MIN_SPREAD_BYTES
-    return df.repartition(cores, on) if small else df
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back.
 

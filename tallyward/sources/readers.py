@@ -39,11 +39,10 @@ def read_dataset(
     spark: SparkSession,
     path: str,
     fmt: str | None = None,
-    row_cap: int | None = None,
     schema: T.StructType | None = None,
     **options: object,
 ) -> ReadResult:
-    """Read a file or folder. Options go to Spark's reader; ``row_cap`` bounds the scan.
+    """Read a file or folder. Options go to Spark's reader; all rows are read.
 
     CSV and TSV files are split across tasks; pass ``multiLine=True`` for files with line
     breaks inside quotes, which Spark then reads one task per file.
@@ -61,8 +60,7 @@ def read_dataset(
         reader = spark.read.options(**options)
         rows = (reader.schema(schema) if schema else reader).parquet(path)
         counts = _counts(rows)
-    capped = rows.limit(row_cap) if row_cap is not None else rows
-    return ReadResult(capped, dict(capped.dtypes), account(counts, row_cap), options)
+    return ReadResult(rows, dict(rows.dtypes), account(counts), options)
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -73,26 +71,24 @@ def _counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def account(counts: DataFrame, row_cap: int | None) -> DataFrame:
-    """One row: total, processed, mode and truncated.
+def account(counts: DataFrame) -> DataFrame:
+    """One row: total, processed, mode and truncated; blank and malformed lines are reported by themselves.
 
-    Blank and malformed lines are reported by themselves; only a cap truncates.
+    There is no cap, so all valid rows are processed and nothing is truncated.
     """
-    cap = F.lit(row_cap).cast("bigint")
-    processed = F.least(F.col("valid_rows"), cap)
-    truncated = processed < F.col("valid_rows")
     return counts.select(
         F.col("valid_rows").alias("total_rows"),
-        processed.alias("rows_processed"),
-        F.when(truncated, "limited").otherwise("full").alias("processing_mode"),
-        truncated.alias("truncated"),
+        F.col("valid_rows").alias("rows_processed"),
+        F.lit("full").alias("processing_mode"),
+        F.lit(False).alias("truncated"),
         "blank_lines",
         "malformed_lines",
     )
 
 
 def _read_delimited(spark, path, sep, schema, options):
-    opts = {"header": True, "sep": sep} | options
+    # A quote inside a quoted field is written twice.
+    opts = {"header": True, "sep": sep, "escape": '"'} | options
     reader = spark.read.options(**opts)
     rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     return rows, _counts(rows)
@@ -116,9 +112,12 @@ def _read_ndjson(spark, path, schema, options):
     if not fields:
         raise ValueError(f"{path!r} is empty or holds no valid line")
     full = T.StructType([*fields, T.StructField(BAD_LINE, T.StringType())])
-    parsed = spark.read.options(**opts).schema(full).json(path)
-    rows = parsed.filter(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
-    return rows, ndjson_counts(spark.read.text(path), full)
+    lines = spark.read.text(path)
+    row = F.from_json("value", full, {k: str(v) for k, v in opts.items()}).alias("row")
+    parsed = lines.filter(F.trim("value") != "").select(row)
+    parsed = parsed.filter(F.col("row").isNotNull() & F.col("row").getField(BAD_LINE).isNull())
+    rows = parsed.select(*[F.col("row").getField(f.name).alias(f.name) for f in fields])
+    return rows, ndjson_counts(lines, full)
 
 
 def ndjson_counts(lines: DataFrame, schema: T.StructType, text: str = "value") -> DataFrame:
@@ -142,8 +141,8 @@ def bad_json(line, schema: T.StructType):
 
 
 def read_full(spark: SparkSession, path: str, fmt: str | None = None, **options: object) -> ReadResult:
-    """Read again without a cap."""
-    return read_dataset(spark, path, fmt, row_cap=None, **options)
+    """Read again, all of it."""
+    return read_dataset(spark, path, fmt, **options)
 
 
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS, order: str | None = None) -> DataFrame:

@@ -116,7 +116,7 @@ class Warehouse:
         return self.read("datasets").select("id", "name", "type", "row_count", "uploaded_at")
 
     def rescan_dataset(self, dataset_id: int) -> ReadResult:
-        """Read a registered file again without a cap and refresh its row count and schema."""
+        """Read a registered file again and refresh its row count and schema."""
         found = self.read("datasets").filter(F.col("id") == dataset_id).take(1)
         if not found:
             raise LookupError(f"no dataset with id {dataset_id}")

@@ -177,3 +177,23 @@ def test_empty_inputs_give_zeros(spark):
     got = reconcile.positional_mismatch_rate(empty, empty).first()
     assert (got.mismatches, got.source_rows, got.mismatch_rate) == (0, 0, 0.0)
     assert integrity.duplicate_summary(empty, ["event_id"]).first().surplus_rows == 0
+
+
+def test_names_with_dots(spark):
+    from tallyward.functions import digests
+    from tallyward.operators import checks
+
+    df = spark.createDataFrame([(1, None), (2, "x")], "id int, `a.b` string")
+    assert {r.field: r.nulls for r in checks.null_profile(df).collect()} == {"id": 0, "a.b": 1}
+    assert {r.column: r.non_null for r in checks.column_profile(df).collect()} == {"id": 2, "a.b": 1}
+    assert df.select(digests.row_digest(df.columns)).distinct().count() == 2
+
+
+def test_missing_preference_and_no_rules(spark):
+    from pyspark.sql import functions as F
+
+    from tallyward.operators import integrity
+
+    df = spark.createDataFrame([("k", None, 0), ("k", 2, 1), ("k", 1, 2)], "k string, version int, seq long")
+    assert [r.seq for r in integrity.dedupe_keep_first(df, ["k"], prefer=F.col("version")).collect()] == [1]
+    assert integrity.rule_violations(df, []).collect() == []

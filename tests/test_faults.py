@@ -99,3 +99,12 @@ def test_custom_scenario_knows_its_losses(orders100):
         assert lost.count() == orders100.filter("status = 'paid'").count()
     finally:
         del scenarios.SCENARIOS["no_paid"]
+
+
+def test_a_swap_rate_over_half_is_refused(orders100):
+    import pytest
+
+    from tallyward.operators import faults
+
+    with pytest.raises(ValueError):
+        faults.inject_out_of_order(orders100, 0.9)

@@ -1,5 +1,6 @@
 """Readers, accounting, registry, results tables and exports."""
 
+import dataclasses
 import json
 from datetime import datetime
 
@@ -75,12 +76,17 @@ def test_ndjson_lines(spark, tmp_path):
         readers.read_dataset(spark, _write(tmp_path / "b.ndjson", "{bad\n{worse\n"))
 
 
-def test_row_cap(spark, tmp_path):
-    path = _write(tmp_path / "a.csv", CSV)
-    capped = readers.read_dataset(spark, path, row_cap=2)
-    assert capped.df.count() == 2
-    assert _account(capped)["truncated"] and _account(capped)["processing_mode"] == "limited"
-    assert not _account(readers.read_full(spark, path))["truncated"]
+def test_ndjson_rows_can_be_counted(spark, tmp_path):
+    got = readers.read_dataset(spark, _write(tmp_path / "c.ndjson", '{"a": 1, "b": "x"}\n\n{bad\n{"a": 2}\n'))
+    assert got.df.count() == 2 and got.df.columns == ["a", "b"]
+    assert sorted(tuple(r) for r in got.df.collect()) == [(1, "x"), (2, None)]
+
+
+def test_doubled_quotes_and_line_breaks(spark, tmp_path):
+    quoted = _write(tmp_path / "q.csv", 'id,t\n1,"say ""hi"", ok"\n2,plain\n')
+    assert [tuple(r) for r in readers.read_dataset(spark, quoted).df.orderBy("id").collect()] == [(1, 'say "hi", ok'), (2, "plain")]
+    broken = _write(tmp_path / "m.csv", 'id,t\n1,"two\nlines"\n')
+    assert [tuple(r) for r in readers.read_dataset(spark, broken, multiLine=True).df.collect()] == [(1, "two\nlines")]
 
 
 def test_preview_hides_non_numbers(spark):
@@ -101,10 +107,12 @@ def test_parquet_round_trip(spark, tmp_path):
 def test_registry(spark, tmp_path):
     house = Warehouse(spark, str(tmp_path / "house"))
     path = _write(tmp_path / "a.csv", CSV)
-    capped = readers.read_dataset(spark, path, row_cap=1)
+    scanned = readers.read_dataset(spark, path)
+    outdated = scanned.accounting.withColumn("rows_processed", F.lit(1).cast("bigint"))
+    scanned = dataclasses.replace(scanned, accounting=outdated)
     now = datetime(2024, 1, 1)
-    first = house.register_dataset("a.csv", "csv", path, capped, now)
-    second = house.register_dataset("b.csv", "csv", path, capped, now)
+    first = house.register_dataset("a.csv", "csv", path, scanned, now)
+    second = house.register_dataset("b.csv", "csv", path, scanned, now)
     assert (first, second) == (1, 2)
     assert [r.row_count for r in house.datasets().collect()] == [1, 1]
     house.rescan_dataset(2)
