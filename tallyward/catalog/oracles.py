@@ -27,12 +27,16 @@ def h32(salt: str, key: str) -> str:
     return f"('0x' || substr(md5(concat('{salt}|', CAST({key} AS VARCHAR))), 1, 8))::BIGINT"
 
 
+def h60(salt: str, key: str) -> str:
+    return f"('0x' || substr(md5(concat('{salt}|', CAST({key} AS VARCHAR))), 1, 15))::BIGINT"
+
+
 def bucket(salt: str, key: str, buckets: int = 10_000) -> str:
     return f"({h32(salt, key)} % {buckets})"
 
 
 def sampled(salt: str, key: str, rate: float) -> str:
-    return f"({bucket(salt, key)} < {round(rate * 10_000)})"
+    return f"({h60(salt, key)} < {int(rate * 2**60)})"
 
 
 def between(salt: str, key: str, low: int, high: int) -> str:
@@ -45,7 +49,11 @@ def number(text: str, kind: str) -> str:
 
 
 def row_digest(columns: Sequence[str]) -> str:
-    items = [f"concat('{c}=', coalesce(CAST({c} AS VARCHAR), '\\N'))" for c in sorted(columns)]
+    text = "CAST({c} AS VARCHAR)"
+    items = [
+        f"'{c}=' || CASE WHEN {c} IS NULL THEN '\\N' ELSE length({text.format(c=c)}) || ':' || {text.format(c=c)} END"
+        for c in sorted(columns)
+    ]
     return f"md5(concat_ws('|', {', '.join(items)}))"
 
 
@@ -96,7 +104,7 @@ class With:
 def events(w: With) -> str:
     w.add(
         "ev0",
-        """SELECT CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS dataset, o_orderkey AS seq,
+        """SELECT CAST(regexp_extract(o_orderpriority, '^[0-9]+') AS BIGINT) AS dataset, o_orderkey AS seq,
             printf('order-%06d', o_orderkey) AS event_id,
             strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS event_time,
             printf('cust-%06d', o_custkey) AS customer_id, 'web' AS source_system,
@@ -122,7 +130,7 @@ def duplicates(w: With, src: str, rate: float, name: str, base: str = "") -> str
 
 
 def corruption(w: With, src: str, rate: float, name: str) -> str:
-    dec = number("amount", "DECIMAL(18,2)")
+    dec = number("amount", "DECIMAL(30,10)")
     return w.add(
         name,
         f"""SELECT * REPLACE (
@@ -200,7 +208,7 @@ def all_sources(w: With, names: Sequence[str] = NAMES, src: str = "ev") -> str:
 
 
 def annotated(w: With, src: str, name: str = "ann") -> str:
-    dec = number("amount", "DECIMAL(18,2)")
+    dec = number("amount", "DECIMAL(30,10)")
     w.add(
         f"{name}0",
         f"""SELECT *, {number('amount', 'DOUBLE')} AS amount_num, {dec} AS amount_dec,
@@ -213,10 +221,11 @@ def annotated(w: With, src: str, name: str = "ann") -> str:
     )
     return w.add(
         name,
-        f"""SELECT *, coalesce({tax('amount_dec')}, round(amount_num * 0.1, 2)) AS total_tax,
+        f"""SELECT *, {tax('amount_dec')} AS total_tax,
             coalesce(nulls_ok AND date_diff('second', event_ts, {AS_OF}) > 86400, FALSE) AS stale,
-            checksum IS NOT DISTINCT FROM md5(concat_ws('|', event_id, customer_id,
-                coalesce(CAST(amount_dec AS VARCHAR), amount), event_time)) AS checksum_ok,
+            coalesce(checksum = md5(event_id || '|' || customer_id || '|' ||
+                CASE WHEN amount_dec = round(amount_dec, 2) THEN CAST(CAST(amount_dec AS DECIMAL(30,2)) AS VARCHAR)
+                     ELSE amount END || '|' || event_time), FALSE) AS checksum_ok,
             CASE WHEN NOT nulls_ok THEN 'nulls' WHEN event_ts IS NULL THEN 'malformed'
                  WHEN amount_num IS NULL OR version_num IS NULL THEN 'type_mismatches'
                  ELSE 'stored' END AS outcome
@@ -419,7 +428,7 @@ def ab_fault(w: With, kind: str) -> str:
             "ab_dup",
             f"""SELECT * FROM {src} UNION ALL
             SELECT t.id, t.a, t.b
-            FROM (SELECT {h32('exactdup', 'pos')} % (SELECT count(*) FROM {src}) AS pos
+            FROM (SELECT {h60('exactdup', 'pos')} % (SELECT count(*) FROM {src}) AS pos
                   FROM (SELECT unnest(range({k})) AS pos)) d
             JOIN (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM {src}) t USING (pos)""",
         )
@@ -606,6 +615,19 @@ def _row_checks(out: dict[str, str]) -> None:
         FROM {src}"""
     )
     w = With()
+    src = events(w)
+    # Tax from whole thousandths, so that it does not depend on how decimals are rounded.
+    out["exact_amounts"] = w.select(
+        f"""SELECT event_id, CAST(((CAST(CAST(amount AS DECIMAL(18,2)) * 1000 AS BIGINT)
+                + CASE WHEN seq % 7 = 0 THEN 5 ELSE 0 END + 50) // 100) AS DOUBLE) / 100 AS total_tax,
+            seq % 7 <> 0 AS checksum_ok FROM {src}"""
+    )
+    out["json_value_types"] = """SELECT CAST(count_if(wrong) AS BIGINT) AS k_violations, CAST(count_if(wrong) AS BIGINT) AS violations
+        FROM (SELECT CASE WHEN event_type <> 'error' AND event_id % 10 = 7 THEN TRUE
+                WHEN event_type <> 'error' AND event_id % 10 = 8 THEN FALSE
+                WHEN event_type = 'error' OR event_id % 10 = 3 THEN TRUE
+                ELSE NOT regexp_matches(props, '^\\{"k": -?[0-9]+\\}$') END AS wrong FROM events)"""
+    w = With()
     src = ab(w)
     out["transform_sum"] = w.select(f"SELECT *, a + b AS total FROM {src}")
 
@@ -655,6 +677,14 @@ def _integrity(out: dict[str, str]) -> None:
             CAST(count_if(n > 1) AS BIGINT) AS repeated_keys, count_if(n > 1) = 0 AS "unique"
             FROM (SELECT count(*) AS n FROM {table} GROUP BY {key})"""
 
+    out["redelivered_rows"] = """WITH once AS (
+            SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 4 THEN l_orderkey * 8 + l_linenumber END AS seq
+            FROM lineitem
+        ), rows_in AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE l_linenumber < 3)
+        SELECT l_orderkey, l_linenumber, seq FROM (
+            SELECT *, row_number() OVER (PARTITION BY l_orderkey
+                ORDER BY CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber % 3 END DESC NULLS LAST, seq NULLS LAST, l_linenumber) AS rn
+            FROM rows_in) WHERE rn > 1"""
     out["real_world_lineitem_keys"] = summary("lineitem", "l_orderkey, l_linenumber")
     out["real_world_doc_text"] = summary("documents", "text")
     w = With()
@@ -949,6 +979,7 @@ def _analytics(out: dict[str, str]) -> None:
                 for n, t, c in named
             )
         )
+    out["table_counts"] += " UNION ALL SELECT 'datasets', count(DISTINCT o_orderpriority) FROM orders"
 
 
 def all_oracles() -> dict[str, str]:

@@ -46,8 +46,8 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _by_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    """Order events split into five datasets by order priority."""
-    priority = F.substring("o_orderpriority", 1, 1).cast("bigint")
+    """Order events split into datasets by the number of the order priority."""
+    priority = F.regexp_extract("o_orderpriority", "^[0-9]+", 0).cast("bigint")
     return order_events(_orders(spark, sf).withColumn("dataset", priority), "dataset")
 
 
@@ -250,6 +250,41 @@ def validate_data_types(spark, sf):
     return checks.type_violations(events, declared)
 
 
+@query
+def json_value_types(spark, sf):
+    """Properties of events; some are text, null, no JSON or another key."""
+    key = F.col("event_id") % 10
+    props = (
+        F.when(F.col("event_type") == "error", F.format_string('{"k": "%d"}', "user_id"))
+        .when(key == 3, '{"k": null}')
+        .when(key == 7, '{"k": 1')
+        .when(key == 8, '{"other": 1}')
+        .otherwise(F.col("props"))
+    )
+    events = table(spark, sf, "events").select(props.alias("props"))
+    return checks.json_type_violations(events, "props", {"k": T.LongType()})
+
+
+@query
+def exact_amounts(spark, sf):
+    """Amounts with a third decimal, or with a zero at the end, under checksums made before."""
+    amount = F.when(F.col("seq") % 7 == 0, F.concat("amount", F.lit("5"))).when(
+        F.col("seq") % 7 == 1, F.concat("amount", F.lit("0"))
+    )
+    events = _events(spark, sf).withColumn("amount", F.coalesce(amount, "amount"))
+    return annotate(events, AS_OF).select("event_id", "total_tax", "checksum_ok")
+
+
+@query
+def redelivered_rows(spark, sf):
+    """Line items per order, priced by line; some arrive twice, some have no arrival number."""
+    line = F.col("l_linenumber")
+    seq = F.when(line != 4, F.col("l_orderkey") * 8 + line)
+    once = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", seq.alias("seq"))
+    rows = once.unionByName(once.filter(line < 3))
+    return integrity.duplicate_rows(rows, ["l_orderkey"], prefer=F.when(line % 3 != 0, line % 3))
+
+
 @query
 def ingestion_metrics(spark, sf):
     annotated = annotate(_with_nulls(_events(spark, sf)), AS_OF)
@@ -665,6 +700,7 @@ def scenario_series(spark, sf):
 def table_counts(spark, sf):
     return warehouse.table_counts(
         {
+            "datasets": _orders(spark, sf).select("o_orderpriority").distinct(),
             "experiment_runs": _runs(spark, sf),
             "pipeline_results": _results(spark, sf),
             "stage_checks": _checks(spark, sf),

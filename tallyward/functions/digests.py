@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BUCKETS = 10_000
+DRAWS = 1 << 60
 
 
 def word32(digest: Column) -> Column:
@@ -23,19 +24,25 @@ def hash32(salt: str, key: Column) -> Column:
     return word32(F.md5(F.concat(F.lit(f"{salt}|"), key.cast("string"))))
 
 
+def hash60(salt: str, key: Column) -> Column:
+    """First 60 bits of the salted digest, for draws from tables of any length."""
+    digest = F.md5(F.concat(F.lit(f"{salt}|"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def bucket(salt: str, key: Column, buckets: int = BUCKETS) -> Column:
     return hash32(salt, key) % F.lit(buckets)
 
 
 def sampled(salt: str, key: Column, rate: float | Column) -> Column:
-    """Bernoulli sample with the given rate, decided by the row's own key.
+    """Bernoulli sample with the given rate, decided by 60 bits of a hash of the row's own key.
 
     Where the rate is a column, rows with rate 0 are decided without hashing.
     """
     if isinstance(rate, Column):
-        share = F.round(rate * BUCKETS)
-        return (share > 0) & (bucket(salt, key) < share)
-    return bucket(salt, key) < F.lit(round(rate * BUCKETS))
+        share = (rate.cast("double") * F.lit(float(DRAWS))).cast("bigint")
+        return (share > 0) & (hash60(salt, key) < share)
+    return hash60(salt, key) < F.lit(int(rate * DRAWS))
 
 
 def between(salt: str, key: Column, low: int, high: int) -> Column:
@@ -44,14 +51,19 @@ def between(salt: str, key: Column, low: int, high: int) -> Column:
 
 
 def event_checksum(event_id: Column, customer_id: Column, amount: Column, event_time: Column) -> Column:
-    """md5 over the four payload fields; ``amount`` is the canonical two-decimal text."""
-    return F.md5(F.concat_ws("|", event_id, customer_id, amount, event_time))
+    """md5 over the four payload fields; ``amount`` is the canonical text. Null where a field is null."""
+    bar = F.lit("|")
+    return F.md5(F.concat(event_id, bar, customer_id, bar, amount, bar, event_time))
 
 
 def row_digest(columns: Sequence[str]) -> Column:
-    r"""md5 over ``name=value`` items in name order, null written as ``\N``."""
-    items = [
-        F.concat(F.lit(f"{name}="), F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("\\N")))
-        for name in sorted(columns)
-    ]
+    r"""md5 over ``name=length:value`` items in name order, null written as ``name=\N``.
+
+    The length keeps a separator inside a value, or the text ``\N``, from looking like something else.
+    """
+    items = []
+    for name in sorted(columns):
+        value = F.col(f"`{name}`").cast("string")
+        tagged = F.concat(F.length(value).cast("string"), F.lit(":"), value)
+        items.append(F.concat(F.lit(f"{name}="), F.coalesce(tagged, F.lit("\\N"))))
     return F.md5(F.concat_ws("|", *items))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FLOAT_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+CENTS_TEXT = r"^\s*[+-]?(\d+(\.\d{0,2}0*)?|\.\d{1,2}0*)\s*$"
 INT_TEXT = r"^\s*[+-]?\d+\s*$"
 ISO_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 
@@ -31,7 +32,14 @@ def to_double(col: Column) -> Column:
 
 
 def to_decimal(col: Column) -> Column:
-    return _guarded(col, FLOAT_TEXT, "decimal(18,2)")
+    """Exact to ten decimals; null from 1e20 on."""
+    return _guarded(col, FLOAT_TEXT, "decimal(30,10)")
+
+
+def canonical_amount(text: Column) -> Column:
+    """The text a checksum covers: two decimals where no digit is lost by that, else the text as received."""
+    short = F.when(text.rlike(CENTS_TEXT), F.trim(text).try_cast("decimal(38,2)").cast("string"))
+    return F.coalesce(short, text)
 
 
 def to_int(col: Column) -> Column:
@@ -43,15 +51,15 @@ def to_event_ts(col: Column) -> Column:
     return F.when(col.rlike(ISO_TEXT), col.try_cast("timestamp_ntz"))
 
 
-def has_type(col: Column, actual: T.DataType, expected: T.DataType) -> Column:
+def has_type(col: Column, actual: T.DataType, expected: T.DataType, strict: bool = False) -> Column:
     """True where a value of column type ``actual`` is acceptable as ``expected``.
 
-    Typed columns are decided when the plan is built; text columns row by row. Null
-    is never acceptable.
+    Typed columns are decided when the plan is built; text columns row by row, unless ``strict``: then text is not a
+    number, whatever it reads. Null is never acceptable.
     """
     if isinstance(expected, T.StringType):
         return col.isNotNull() & F.lit(isinstance(actual, T.StringType))
-    if isinstance(actual, T.StringType):
+    if isinstance(actual, T.StringType) and not strict:
         pattern = _TYPE_TEXT.get(expected.simpleString())
         if pattern is None:
             return F.coalesce(col.try_cast(expected).isNotNull(), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def tax(amount: Column) -> Column:
-    """Ten percent, half-up on two decimals. Decimal arithmetic keeps engines in agreement."""
+    """Ten percent of a decimal amount, rounded once, half-up on two decimals."""
     return F.round(amount * F.lit(0.10).cast("decimal(3,2)"), 2).cast("double")
 
 

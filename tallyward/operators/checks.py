@@ -81,12 +81,45 @@ def column_profile(df: DataFrame) -> DataFrame:
 # --- Types ------------------------------------------------------------------
 
 
-def type_violations(df: DataFrame, schema: Mapping[str, T.DataType]) -> DataFrame:
-    """One row: violations per declared field and their sum. Absent fields are skipped."""
+def type_violations(df: DataFrame, schema: Mapping[str, T.DataType], strict: bool = False) -> DataFrame:
+    """One row: violations per declared field and their sum. Absent fields are skipped.
+
+    Text that reads as a number is accepted as one, unless ``strict``.
+    """
     present = {n: t for n, t in schema.items() if n in df.columns}
-    counts = {
-        n: F.count_if(~parsing.has_type(F.col(n), df.schema[n].dataType, t)) for n, t in present.items()
-    }
+    return _violations(
+        df, {n: ~parsing.has_type(F.col(f"`{n}`"), df.schema[n].dataType, t, strict) for n, t in present.items()}
+    )
+
+
+# Types that JSON values have as variants.
+_JSON_TYPES = {
+    "int": ("BIGINT",),
+    "bigint": ("BIGINT",),
+    "double": ("DOUBLE", "DECIMAL"),
+    "float": ("DOUBLE", "DECIMAL"),
+    "string": ("STRING",),
+    "boolean": ("BOOLEAN",),
+}
+
+
+def json_type_violations(df: DataFrame, document: str, schema: Mapping[str, T.DataType]) -> DataFrame:
+    """One row as :func:`type_violations`, over JSON objects in a text column: ``2`` is an integer, ``"2"`` is not.
+
+    An absent key is skipped; a null, or a document that is no JSON, violates every field.
+    """
+    parsed = F.try_parse_json(F.col(f"`{document}`"))
+    wrong = {}
+    for name, expected in schema.items():
+        value = F.try_variant_get(parsed, f"$['{name}']", "variant")
+        kind = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+        fine = kind.isin(*_JSON_TYPES[expected.simpleString()])
+        wrong[name] = parsed.isNull() | (value.isNotNull() & ~F.coalesce(fine, F.lit(False)))
+    return _violations(df, wrong)
+
+
+def _violations(df: DataFrame, wrong: Mapping[str, Column]) -> DataFrame:
+    counts = {n: F.count_if(c) for n, c in wrong.items()}
     total = F.lit(0).cast("bigint")
     for count in counts.values():
         total = total + count
@@ -119,7 +152,7 @@ def annotate(events: DataFrame, as_of: str) -> DataFrame:
     """Everything the stages need to know about a row, in one projection.
 
     ``outcome`` names the first check that rejects the row, in stage order, or
-    ``stored``. ``stale`` and ``checksum_ok`` are facts, not rejections.
+    ``stored``; an amount of 1e20 or more has no exact tax. ``stale`` and ``checksum_ok`` are facts, not rejections.
     """
     frame = events
     for name in missing_fields(events):
@@ -127,8 +160,8 @@ def annotate(events: DataFrame, as_of: str) -> DataFrame:
     schema_ok, nulls_ok = all_present(events), no_nulls(events)
     typed = enforced(frame).withColumn("event_ts", parsing.to_event_ts(F.col("event_time")))
     age = F.timestamp_diff("SECOND", F.col("event_ts"), F.lit(as_of).cast("timestamp_ntz"))
-    total_tax = F.coalesce(scalars.tax(F.col("amount_dec")), F.round(F.col("amount_num") * 0.1, 2))
-    canonical = F.coalesce(F.col("amount_dec").cast("string"), F.col("amount"))
+    total_tax = scalars.tax(F.col("amount_dec"))
+    canonical = parsing.canonical_amount(F.col("amount").cast("string"))
     expected = digests.event_checksum(F.col("event_id"), F.col("customer_id"), canonical, F.col("event_time"))
     outcome = (
         F.when(~schema_ok, INVALID_SCHEMA)
@@ -142,7 +175,7 @@ def annotate(events: DataFrame, as_of: str) -> DataFrame:
         {
             "total_tax": total_tax,
             "stale": F.coalesce(schema_ok & nulls_ok & (age > FRESHNESS_SECONDS), F.lit(False)),
-            "checksum_ok": F.col("checksum").eqNullSafe(expected),
+            "checksum_ok": F.coalesce(F.col("checksum") == expected, F.lit(False)),
         }
     ).withColumn("outcome", outcome)
 
@@ -186,13 +219,13 @@ def curated(annotated: DataFrame) -> DataFrame:
 
 
 def lenient(events: DataFrame) -> DataFrame:
-    """The minimal flow's transform: whatever is not a number counts as 0.0 and is stored."""
+    """The minimal flow's transform: whatever is not a number counts as 0.0 and is stored.
+
+    The tax is null for an amount of 1e20 or more.
+    """
     typed = enforced(events)
     amount = F.coalesce(F.col("amount_num"), F.lit(0.0))
-    total_tax = F.coalesce(
-        scalars.tax(F.coalesce(F.col("amount_dec"), F.lit(0).cast("decimal(18,2)"))),
-        F.round(amount * 0.1, 2),
-    )
+    total_tax = F.when(F.col("amount_num").isNull(), F.lit(0.0)).otherwise(scalars.tax(F.col("amount_dec")))
     version = F.when(F.col("version").isNull(), F.lit(1)).otherwise(F.col("version_num"))
     return typed.select(
         "event_id",

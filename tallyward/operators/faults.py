@@ -152,7 +152,7 @@ def inject_exact_duplicates(df: DataFrame, rate: float = 0.1, order: str = "id")
     total = _rows(df)
     draws = (
         placed.filter(F.col("_pos") < _share_of(total, rate))
-        .select((digests.hash32("exactdup", F.col("_pos")) % total).alias("_pos"))
+        .select((digests.hash60("exactdup", F.col("_pos")) % total).alias("_pos"))
         .groupBy("_pos")
         .agg(F.count("*").alias("_draws"))
     )

@@ -70,30 +70,58 @@ def content_key(text: Column) -> list[Column]:
     return [F.sha2(text, 256).alias("digest"), F.length(text).alias("length")]
 
 
-def _winners(df: DataFrame, key: Sequence[str], seq: str, prefer: Column | None) -> DataFrame:
-    """Arrival number of the row to keep per key: highest ``prefer``, then first to arrive."""
-    if prefer is None:
-        return df.groupBy(*key).agg(F.min(seq).alias(seq)).select(seq)
-    # Rows without a preference come last, whatever their arrival.
-    rank = F.struct(prefer.isNull().alias("none"), (-prefer).alias("p"), F.col(seq).alias("s"))
-    return df.groupBy(*key).agg(F.min(rank).alias("_best")).select(F.col("_best.s").alias(seq))
+def _ranked(df: DataFrame, key: Sequence[str], seq: str, prefer: Column | None) -> DataFrame:
+    """Rows with their place among those of their key: highest ``prefer``, first to arrive, then row digest.
+
+    Rows without a preference, and then without an arrival number, come last. Only equal rows have equal places.
+    """
+    order = [F.col(f"`{seq}`").isNull().alias("late"), F.col(f"`{seq}`").alias("seq")]
+    if prefer is not None:
+        order = [prefer.isNull().alias("none"), (-prefer).alias("prefer"), *order]
+    place = F.struct(*order, digests.row_digest(df.columns).alias("digest"))
+    row = F.struct(*[F.col(f"`{n}`") for n in df.columns])
+    keys = F.struct(*[F.col(f"`{n}`") for n in key])
+    return df.select(keys.alias("_key"), place.alias("_place"), row.alias("_row"))
 
 
 def duplicate_rows(
     df: DataFrame, key: Sequence[str], seq: str = "seq", prefer: Column | None = None
 ) -> DataFrame:
-    """The rows beyond the one kept per key.
+    """The rows beyond the one kept per key, redelivered copies with one arrival number included.
 
-    They are told apart by arrival number, which is unique, so the join is spread evenly
-    however often a key repeats.
+    Equal rows are counted before the shuffle, and rows are told apart by digest, so the join is spread evenly however
+    often a key repeats.
     """
-    return df.join(_winners(df, key, seq, prefer), seq, "left_anti")
+    rows = (
+        _ranked(df, key, seq, prefer)
+        .groupBy(F.col("_place.digest").alias("_digest"))
+        .agg(
+            F.any_value("_key").alias("_key"),
+            F.any_value("_place").alias("_place"),
+            F.any_value("_row").alias("_row"),
+            F.count("*").alias("_copies"),
+        )
+    )
+    kept = rows.groupBy("_key").agg(F.min("_place").alias("_best")).select(
+        F.col("_best.digest").alias("_digest"), F.lit(1).alias("_kept")
+    )
+    surplus = F.col("_copies") - F.coalesce(F.col("_kept"), F.lit(0))
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_surplus"))).alias("_copy")
+    return (
+        rows.join(kept, "_digest", "left")
+        .select("_row", surplus.alias("_surplus"))
+        .filter("_surplus > 0")
+        .select("_row", each)
+        .select("_row.*")
+    )
 
 
 def dedupe_keep_first(
     df: DataFrame, key: Sequence[str], seq: str = "seq", prefer: Column | None = None
 ) -> DataFrame:
-    return df.join(_winners(df, key, seq, prefer), seq, "left_semi")
+    """One row per key, in one pass over the table."""
+    best = _ranked(df, key, seq, prefer).groupBy("_key").agg(F.min_by("_row", "_place").alias("_row"))
+    return best.select("_row.*")
 
 
 # --- Assertions and rules ---------------------------------------------------

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyward.functions import parsing
+from tallyward.functions import digests, parsing
 from tallyward.operators import checks, integrity, reconcile
 
 AS_OF = "2024-01-03T00:00:00"
@@ -28,6 +28,24 @@ def test_type_violations(spark):
     assert (got.id_violations, got.name_violations, got.violations) == (2, 0, 2)
 
 
+def test_strict_types(spark):
+    rows = spark.createDataFrame([("1", "Alice"), ("2", "Bob")], "id string, name string")
+    declared = {"id": T.IntegerType(), "name": T.StringType()}
+    assert checks.type_violations(rows, declared).first().violations == 0
+    assert checks.type_violations(rows, declared, strict=True).first().id_violations == 2
+
+
+def test_json_types(spark):
+    """A number in quotes is no number."""
+    declared = {"id": T.IntegerType(), "name": T.StringType()}
+    rows = spark.createDataFrame([('{"id": 1, "name": "Alice"}',), ('{"id": "2", "name": "Bob"}',)], "d string")
+    got = checks.json_type_violations(rows, "d", declared).first()
+    assert (got.id_violations, got.name_violations, got.violations) == (1, 0, 1)
+    odd = spark.createDataFrame([("{}",), ('{"id": null}',), ("{bad",), (None,), ('{"id": 1.5}',)], "d string")
+    got = checks.json_type_violations(odd, "d", declared).first()
+    assert (got.id_violations, got.name_violations) == (4, 2)
+
+
 def test_row_checksum_is_md5(spark):
     row = integrity.row_checksums(spark.createDataFrame([(1, "Alice")], "id int, name string")).first()
     assert len(row.row_checksum) == 32
@@ -133,6 +151,48 @@ def test_tax_rounds_half_up(spark):
     assert got == [0.01, 0.02, 12.35]
 
 
+def test_tax_is_rounded_once(spark):
+    rows = [_event(amount=a) for a in ("12.345", "12.349", "12.350")]
+    got = checks.annotate(spark.createDataFrame(rows, SCHEMA), AS_OF).collect()
+    assert [r.total_tax for r in got] == [1.23, 1.23, 1.24]
+
+
+@pytest.mark.parametrize(
+    "amount, right",
+    [("12.35", True), ("12.350", True), (" 12.35", True), ("12.349", False), ("12.345", False), ("1235e-2", False)],
+)
+def test_checksums_lose_no_digit(spark, amount, right):
+    digest = digests.event_checksum(F.col("event_id"), F.col("customer_id"), F.lit("12.35"), F.col("event_time"))
+    rows = spark.createDataFrame([_event(amount=amount)], SCHEMA).withColumn("checksum", digest)
+    assert checks.annotate(rows, AS_OF).first().checksum_ok is right
+
+
+def test_huge_amount_has_no_tax(spark):
+    got = checks.annotate(spark.createDataFrame([_event(amount="1e25")], SCHEMA), AS_OF).first()
+    assert (got.outcome, got.total_tax) == ("transformation_failures", None)
+
+
+def test_row_digest_tells_rows_apart(spark):
+    rows = [("1|b=2", "3"), ("1", "2|b=3"), (None, "3"), ("\\N", "3"), ("1", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(digests.row_digest(df.columns)).distinct().count() == len(rows)
+
+
+def test_repeated_and_missing_arrival_numbers(spark):
+    rows = [("k", 1, 5), ("k", 1, 5), ("k", 1, None), ("k", 1, None), ("m", 1, None), (None, 1, 2), (None, 1, 3)]
+    df = spark.createDataFrame(rows, "k string, version int, seq long")
+    for prefer in (None, F.col("version")):
+        kept = integrity.dedupe_keep_first(df, ["k"], prefer=prefer).collect()
+        assert {(r.k, r.seq) for r in kept} == {("k", 5), ("m", None), (None, 2)} and len(kept) == 3
+        rest = [(r.k, r.seq) for r in integrity.duplicate_rows(df, ["k"], prefer=prefer).collect()]
+        assert sorted(rest, key=str) == sorted([("k", 5), ("k", None), ("k", None), (None, 3)], key=str)
+
+
+def test_small_rates(spark):
+    hits = spark.range(3_000_000).filter(digests.sampled("s", F.col("id"), 0.00001)).count()
+    assert 10 <= hits <= 60
+
+
 def test_rules(spark):
     rows = spark.createDataFrame([(1, 1, 2, 3), (-1, 1, 2, 4), (-1, 5, 5, 10)], "id long, a long, b long, total long")
     rules = [
@@ -180,9 +240,6 @@ def test_empty_inputs_give_zeros(spark):
 
 
 def test_names_with_dots(spark):
-    from tallyward.functions import digests
-    from tallyward.operators import checks
-
     df = spark.createDataFrame([(1, None), (2, "x")], "id int, `a.b` string")
     assert {r.field: r.nulls for r in checks.null_profile(df).collect()} == {"id": 0, "a.b": 1}
     assert {r.column: r.non_null for r in checks.column_profile(df).collect()} == {"id": 2, "a.b": 1}
@@ -190,10 +247,6 @@ def test_names_with_dots(spark):
 
 
 def test_missing_preference_and_no_rules(spark):
-    from pyspark.sql import functions as F
-
-    from tallyward.operators import integrity
-
     df = spark.createDataFrame([("k", None, 0), ("k", 2, 1), ("k", 1, 2)], "k string, version int, seq long")
     assert [r.seq for r in integrity.dedupe_keep_first(df, ["k"], prefer=F.col("version")).collect()] == [1]
     assert integrity.rule_violations(df, []).collect() == []
