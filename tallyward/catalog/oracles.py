@@ -766,7 +766,11 @@ def _reconcile(out: dict[str, str]) -> None:
 def _flows(out: dict[str, str]) -> None:
     w = With()
     src = inject(w, "mixed", events(w))
-    out["baseline_batch"] = w.select(f"SELECT count(*) AS record_count FROM {src}")
+    dec = number("amount", "DECIMAL(30,10)")
+    out["baseline_batch"] = w.select(
+        f"""SELECT count(*) AS record_count, CAST(sum(CAST(coalesce({dec}, 0) AS DECIMAL(28,2))) AS DOUBLE) AS amount_sum,
+        CAST(sum(CAST({tax(f'coalesce({dec}, 0)')} AS DECIMAL(28,2))) AS DOUBLE) AS total_tax_sum FROM {src}"""
+    )
     for name in NAMES:
         w = With()
         metrics(w, inject(w, name, events(w)))

@@ -39,14 +39,19 @@ def checked_stream(
     """Each micro-batch goes through the checked flow.
 
     Rows and metrics land in a folder per batch id that is overwritten as a whole, so a
-    batch that is replayed after a failure replaces its own output and adds nothing.
+    batch that is replayed after a failure replaces its own output and adds nothing. A batch is kept while its sink
+    and its metrics are computed, and released after.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        write_curated(curated(annotate(batch, as_of)), f"{sink}/batch_id={batch_id}")
-        proposed.metrics(batch, as_of).write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).parquet(f"{metrics_path}/batch_id={batch_id}")
+        batch = batch.persist()
+        try:
+            write_curated(curated(annotate(batch, as_of)), f"{sink}/batch_id={batch_id}")
+            proposed.metrics(batch, as_of).write.mode("overwrite").option(
+                "partitionOverwriteMode", "static"
+            ).parquet(f"{metrics_path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
 
