@@ -1,8 +1,9 @@
 """Positions and exact-size samples without a single-task sort.
 
 ``row_number()`` over a window with no partition sends the whole table to one task.
-The operators here split the order into fixed-width blocks instead, so that no window
-ever holds more than ``2**BLOCK_BITS`` rows of a table with a unique order column.
+The operators here split the order into fixed-width blocks instead: with a unique order
+column no window holds more than ``2**BLOCK_BITS`` rows or ``2**SUPER_BITS`` block counts,
+however sparse the order values are.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ from pyspark.sql import functions as F
 
 from tallyward.functions import digests
 
-BLOCK_BITS = 14
+BLOCK_BITS, SUPER_BITS = 16, 24  # what is left of 64 bits is one more such window
+_UNORDERED = 1 << 48  # above all blocks of order values
+_UNORDERED_PARTS = 1 << 16
 
 
-def block_of(order: str, bits: int) -> Column:
-    """Block number of an order value. Never null, so joins on it add no null filter and
-    plans that differ only by such a filter can share their shuffles."""
-    return F.coalesce(F.shiftright(F.col(order), bits), F.lit(-1).cast("bigint"))
+def block_of(order: str, columns: Sequence[str]) -> Column:
+    """Block number of an order value; rows without one are spread by a hash of ``columns``.
+
+    Never null, so joins on it add no null filter and plans that differ only by such a filter can share their shuffles.
+    """
+    spread = F.lit(_UNORDERED) + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(_UNORDERED_PARTS))
+    return F.coalesce(F.shiftright(F.col(order).cast("bigint"), BLOCK_BITS), spread)
 
 
 def _count_names(positions: Mapping[str, Column]) -> dict[str, str]:
@@ -34,9 +40,9 @@ def _running_before(df: DataFrame, within: Sequence[str], order: str, cols: Mapp
 
 def _block_offsets(counts: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Rows before each block: prefix sums inside super-blocks, then over super-blocks."""
-    supers = counts.withColumn("_super", block_of("_block", BLOCK_BITS))
+    supers = counts.withColumn("_super", F.shiftright("_block", SUPER_BITS))
     inner = _running_before(supers, [*by, "_super"], "_block", {n: f"{n}_in" for n in names})
-    # One row per 2**28 order values: about four thousand rows for a trillion.
+    # One row per 2**40 order values, so at most 2**24 rows.
     outer = _running_before(
         supers.groupBy(*by, "_super").agg(*[F.sum(n).alias(n) for n in names]),
         list(by),
@@ -56,13 +62,14 @@ def dense_positions(
 ) -> DataFrame:
     """Add, per named predicate, the zero-based position among the rows that satisfy it.
 
-    Rows that fail a predicate get null for it. ``order`` must be a unique integer
-    within ``by``. The rows are shuffled once, by block.
+    Rows that fail a predicate get null for it, and so do rows without an order value. ``order`` must else be a
+    unique integer within ``by``. The rows are shuffled once, by block.
     """
     names = _count_names(positions)
+    ordered = F.col(order).isNotNull()
     flagged = df.withColumns(
-        {"_block": block_of(order, BLOCK_BITS)}
-        | {names[p]: F.when(cond, 1).otherwise(0).cast("bigint") for p, cond in positions.items()}
+        {"_block": block_of(order, df.columns)}
+        | {names[p]: F.when(cond & ordered, 1).otherwise(0).cast("bigint") for p, cond in positions.items()}
     )
     counts = flagged.groupBy(*by, "_block").agg(*[F.sum(n).alias(n) for n in names.values()])
     offsets = _block_offsets(counts, by, list(names.values()))
@@ -78,6 +85,20 @@ def dense_positions(
     )
 
 
+def small_group_positions(
+    df: DataFrame, positions: Mapping[str, Column], by: Sequence[str], order: str = "seq"
+) -> DataFrame:
+    """:func:`dense_positions` for groups that are known to be small: one window per group."""
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = F.col(order).isNotNull()
+    return df.withColumns(
+        {
+            p: F.when(cond & ordered, F.count_if(cond & ordered).over(upto) - 1)
+            for p, cond in positions.items()
+        }
+    )
+
+
 def dense_position(
     df: DataFrame, into: str = "position", order: str = "seq", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -105,9 +126,9 @@ def smallest_k(df: DataFrame, size: Callable[[Column], Column], salt: str, key:
         "_place", F.row_number().over(Window.partitionBy("_h").orderBy("_key"))
     )
     cut = tail.filter(F.col("_place") == F.col("_rank"))
-    h_cut, key_cut = cut.select("_h").scalar(), cut.select("_key").scalar()
-    h = digests.hash32(salt, F.col(key))
-    return F.coalesce((h < h_cut) | ((h == h_cut) & (F.col(key) <= key_cut)), F.lit(False))
+    last = cut.select(F.struct("_h", "_key")).scalar()
+    place = F.struct(digests.hash32(salt, F.col(key)).alias("_h"), F.col(key).alias("_key"))
+    return F.coalesce(F.col(key).isNotNull() & (place <= last), F.lit(False))
 
 
 _ALL_ROWS = (Window.unboundedPreceding, Window.unboundedFollowing)

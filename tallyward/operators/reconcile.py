@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyward.operators.ordering import BLOCK_BITS, dense_position
+from tallyward.operators.ordering import BLOCK_BITS, SUPER_BITS, dense_position
 
 
 def side_counts(
@@ -104,9 +104,11 @@ def arrival_disorder(
 
     The window runs over blocks of the arrival order, never over a whole key, so a key
     that holds a third of the table is split; the seams between blocks are compared in a
-    second pass over one row per key and block.
+    second pass over one row per key and block. Rows without an arrival number have no
+    place and are left out.
     """
-    block = df.select(*key, order, value).withColumn("_block", F.shiftright(F.col(order), BLOCK_BITS))
+    arrived = df.select(*key, order, value).filter(F.col(order).isNotNull())
+    block = arrived.withColumn("_block", F.shiftright(F.col(order).cast("bigint"), BLOCK_BITS))
     inside = Window.partitionBy(*key, "_block").orderBy(order)
     early = F.lag(value).over(inside) > F.col(value)
     per_block = (
@@ -120,7 +122,7 @@ def arrival_disorder(
         )
     )
     # Seams: the table is cut again by super-block, so this window is bounded as well.
-    upper = per_block.withColumn("_super", F.shiftright("_block", BLOCK_BITS))
+    upper = per_block.withColumn("_super", F.shiftright("_block", SUPER_BITS))
     seam = Window.partitionBy(*key, "_super").orderBy("_block")
     per_super = (
         upper.withColumn("_seam", F.coalesce(F.lag("_last").over(seam) > F.col("_first"), F.lit(False)))

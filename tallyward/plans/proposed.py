@@ -1,14 +1,14 @@
 """The checked flow: five stages over one annotated projection.
 
-Stage metrics come out of one aggregate per event id followed by one over all ids. The
-per-id step gives duplicates and reconciliation in the same shuffle as the row counts.
+Stage metrics come out of one aggregate per event id and position, followed by one over all of them. That
+step gives duplicates, reconciliation and order in the same shuffle as the row counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.model import (
@@ -20,7 +20,7 @@ from tallyward.model import (
     TYPE_MISMATCHES,
 )
 from tallyward.operators.checks import STORED, annotate, curated
-from tallyward.operators.ordering import dense_positions
+from tallyward.operators.ordering import dense_positions, small_group_positions
 from tallyward.operators.reconcile import positional_mismatches
 from tallyward.plans.combine import combine
 from tallyward.sources.sinks import stored_count, write_curated
@@ -31,27 +31,23 @@ def kept_rows(events: DataFrame, as_of: str) -> DataFrame:
     return annotate(events, as_of).filter(F.col("outcome") == STORED).select(*events.columns)
 
 
-def _key_totals(annotated: DataFrame, source: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    """Row metrics, duplicates and reconciliation of each group."""
+def _counters(source_rows: int) -> dict[str, Column]:
+    """What a received row adds to the totals of its id."""
     kept = F.col("outcome") == STORED
-    counters = {
+    return {
         "received": F.lit(1),
-        "source": F.lit(1 if source is None else 0),
+        "source": F.lit(source_rows),
         "kept": kept.cast("int"),
         "freshness_issues": F.col("stale").cast("int"),
         "checksum_mismatch_rows": (kept & ~F.col("checksum_ok")).cast("int"),
     } | {reason: (F.col("outcome") == reason).cast("int") for reason in REJECT_REASONS}
-    rows = annotated.select(*by, "event_id", *[c.cast("bigint").alias(n) for n, c in counters.items()])
-    if source is not None:
-        empty = {n: F.lit(1 if n == "source" else 0).cast("bigint").alias(n) for n in counters}
-        rows = rows.unionByName(source.select(*by, "event_id", *empty.values()))
-    per_id = rows.groupBy(*by, "event_id").agg(*[F.sum(n).alias(n) for n in counters])
 
+
+def _totals(counters: Sequence[str]) -> list[Column]:
+    """Row metrics, duplicates and reconciliation from one row per id."""
     total = {n: F.coalesce(F.sum(n), F.lit(0)) for n in counters}
     surplus = F.coalesce(F.sum(F.greatest(F.col("kept") - 1, F.lit(0))), F.lit(0))
-    missing = F.count_if((F.col("source") > 0) & (F.col("kept") == 0))
-    unexpected = F.count_if((F.col("source") == 0) & (F.col("kept") > 0))
-    return per_id.groupBy(*by).agg(
+    return [
         total["received"].alias("ingested"),
         total[INVALID_SCHEMA].alias("invalid_schema"),
         total[NULLS].alias("nulls"),
@@ -64,48 +60,106 @@ def _key_totals(annotated: DataFrame, source: DataFrame | None, by: Sequence[str
         (total["checksum_mismatch_rows"] > 0).cast("bigint").alias("checksum_mismatch"),
         total["checksum_mismatch_rows"].alias("checksum_mismatch_rows"),
         surplus.alias("duplicate_rows"),
-        missing.alias("missing_ids"),
-        unexpected.alias("unexpected_ids"),
+        F.count_if((F.col("source") > 0) & (F.col("kept") == 0)).alias("missing_ids"),
+        F.count_if((F.col("source") == 0) & (F.col("kept") > 0)).alias("unexpected_ids"),
         total["source"].alias("compared_source_rows"),
-    )
+    ]
 
 
-def _order_mismatches(annotated: DataFrame, source: DataFrame | None, by: Sequence[str]) -> DataFrame:
-    kept = annotated.filter(F.col("outcome") == STORED)
-    if source is not None:
-        bad = positional_mismatches(source, kept, by=by)
+def _against_itself(annotated: DataFrame, by: Sequence[str], small_groups: bool) -> DataFrame:
+    """All totals of received rows compared with themselves, from one evaluation of the rows.
+
+    A row counts once for its id. A kept row whose two positions agree is its own counterpart; any other row also counts
+    at each of its positions, where the one source row and the one kept row then meet.
+    """
+    counters = _counters(1)
+    narrow = annotated.select(
+        *by, "seq", "event_id", "event_time", "outcome", *[c.cast("bigint").alias(n) for n, c in counters.items()]
+    )
+    positions = {"_source_pos": F.lit(True), "_kept_pos": F.col("outcome") == STORED}
+    if small_groups:
+        placed = small_group_positions(narrow, positions, by)
     else:
-        # Both positions of a row come from one pass. A row whose positions agree is its
-        # own counterpart, so only shifted rows take part in the join.
-        placed = dense_positions(
-            annotated.select(*by, "seq", "event_time", "outcome"),
-            {"_source_pos": F.lit(True), "_kept_pos": F.col("outcome") == STORED},
-            by=by,
-        )
-        shifted = placed.filter(F.col("_kept_pos") != F.col("_source_pos")).select(
-            *by, F.col("_kept_pos").alias("_pos"), F.col("event_time").alias("_kept_time")
-        )
-        there = placed.select(*by, F.col("_source_pos").alias("_pos"), F.col("event_time").alias("_source_time"))
-        bad = shifted.join(there, [*by, "_pos"]).filter(
-            ~F.col("_kept_time").eqNullSafe(F.col("_source_time"))
+        placed = dense_positions(narrow, positions, by=by)
+
+    def entry(own: bool, pos: Column, source_time: Column, kept_time: Column, sides: tuple[int, int]) -> Column:
+        none = F.lit(0).cast("bigint")
+        return F.struct(
+            F.when(pos.isNull(), F.col("event_id")).alias("_id"),
+            pos.cast("bigint").alias("_pos"),
+            source_time.alias("_source_time"),
+            kept_time.alias("_kept_time"),
+            *[F.lit(n).cast("bigint").alias(name) for name, n in zip(("_at_source", "_at_kept"), sides)],
+            *[(F.col(n) if own else none).alias(n) for n in counters],
         )
-    return bad.groupBy(*by).agg(F.count("*").alias("order_mismatches"))
+
+    time, nothing = F.col("event_time"), F.lit(None).cast("string")
+    shifted = ~F.col("_kept_pos").eqNullSafe(F.col("_source_pos"))
+    entries = F.array(
+        entry(True, F.lit(None), nothing, nothing, (0, 0)),
+        F.when(shifted & F.col("_source_pos").isNotNull(), entry(False, F.col("_source_pos"), time, nothing, (1, 0))),
+        F.when(shifted & F.col("_kept_pos").isNotNull(), entry(False, F.col("_kept_pos"), nothing, time, (0, 1))),
+    )
+    rows = placed.select(*by, F.inline(F.array_compact(entries)))
+    met = rows.groupBy(*by, "_id", "_pos").agg(
+        *[F.sum(n).alias(n) for n in (*counters, "_at_source", "_at_kept")],
+        F.max("_source_time").alias("_source_time"),
+        F.max("_kept_time").alias("_kept_time"),
+    )
+    differ = (
+        (F.col("_at_source") > 0)
+        & (F.col("_at_kept") > 0)
+        & ~F.col("_kept_time").eqNullSafe(F.col("_source_time"))
+    )
+    return met.groupBy(*by).agg(*_totals(list(counters)), F.count_if(differ).alias("order_mismatches"))
+
+
+def _against_source(annotated: DataFrame, source: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All totals of received rows compared with the rows before the faults."""
+    counters = _counters(0)
+    rows = annotated.select(*by, "event_id", *[c.cast("bigint").alias(n) for n, c in counters.items()])
+    empty = [F.lit(1 if n == "source" else 0).cast("bigint").alias(n) for n in counters]
+    per_id = (
+        rows.unionByName(source.select(*by, "event_id", *empty))
+        .groupBy(*by, "event_id")
+        .agg(*[F.sum(n).alias(n) for n in counters])
+    )
+    bad = positional_mismatches(source, annotated.filter(F.col("outcome") == STORED), by=by)
+    return combine(
+        [
+            per_id.groupBy(*by).agg(*_totals(list(counters))),
+            bad.groupBy(*by).agg(F.count("*").alias("order_mismatches")),
+        ],
+        by,
+    )
 
 
 def metrics(
-    events: DataFrame, as_of: str, source: DataFrame | None = None, by: Sequence[str] = ()
+    events: DataFrame,
+    as_of: str,
+    source: DataFrame | None = None,
+    by: Sequence[str] = (),
+    small_groups: bool = False,
 ) -> DataFrame:
     """All stage metrics, one row per group of ``by``.
 
     Without ``source`` the received rows are compared with themselves, which hides lost
     rows; pass the original rows to see them.
     """
-    return metrics_of(annotate(events, as_of), source, by)
+    return metrics_of(annotate(events, as_of), source, by, small_groups)
 
 
-def metrics_of(annotated: DataFrame, source: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """:func:`metrics` of rows that are already annotated."""
-    row = combine([_key_totals(annotated, source, by), _order_mismatches(annotated, source, by)], by)
+def metrics_of(
+    annotated: DataFrame,
+    source: DataFrame | None = None,
+    by: Sequence[str] = (),
+    small_groups: bool = False,
+) -> DataFrame:
+    """:func:`metrics` of rows that are already annotated. ``small_groups``: each group fits one window of a task."""
+    if source is None:
+        row = _against_itself(annotated, by, small_groups)
+    else:
+        row = _against_source(annotated, source, by)
     row = row.withColumns(
         {
             "order_mismatches": F.coalesce("order_mismatches", F.lit(0)),

@@ -97,7 +97,7 @@ def sliced_metrics(events: DataFrame, as_of: str, rows: int = SLICE_ROWS, by: Se
     """Batch twin: the metrics of each run of ``rows`` rows in arrival order."""
     placed = dense_position(events, "_position", by=by)
     sliced = placed.withColumn("slice", F.floor(F.col("_position") / rows).cast("bigint")).drop("_position")
-    return proposed.metrics(sliced, as_of, by=[*by, "slice"])
+    return proposed.metrics(sliced, as_of, by=[*by, "slice"], small_groups=True)
 
 
 # --- Stateful checks --------------------------------------------------------
