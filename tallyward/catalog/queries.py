@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -622,6 +623,26 @@ def _run_id() -> Column:
     return ((place - 1) * 5 + F.col("dataset")).cast("bigint")
 
 
+def _stored(build: Query) -> Query:
+    """Results as a run leaves them: written once for a session and a data folder, and read from then on.
+
+    They lie under ``spark.checkpoint.dir``, to be emptied when the application has ended.
+    """
+
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        folder = uuid.uuid5(uuid.NAMESPACE_URL, sf).hex
+        app = spark.sparkContext.applicationId
+        path = f"{checkpoint_root(spark)}/tallyward-results/{app}/{build.__name__}-{folder}"
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            build(spark, sf).write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
+
+    return read
+
+
+@_stored
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     """One run per scenario and dataset; run n starts n hours into 2024."""
     datasets = _by_dataset(spark, sf).select("dataset").distinct()
@@ -636,6 +657,7 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("started_at", started)
 
 
+@_stored
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     scored = experiments.true_scores(_by_dataset(spark, sf), AS_OF, by=["dataset"])
     rows = experiments.pipeline_results(scored, ["scenario", "dataset"])
@@ -647,6 +669,7 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_stored
 def _checks(spark: SparkSession, sf: str) -> DataFrame:
     keys = ["scenario", "dataset"]
     events = _by_dataset(spark, sf)

@@ -2,7 +2,7 @@
 
 ``row_number()`` over a window with no partition sends the whole table to one task.
 The operators here split the order into fixed-width blocks instead: with a unique order
-column no window holds more than ``2**BLOCK_BITS`` rows or ``2**SUPER_BITS`` block counts,
+column no window holds more than ``2**BLOCK_BITS`` rows or ``2**26`` counts of blocks,
 however sparse the order values are.
 """
 
@@ -15,18 +15,13 @@ from pyspark.sql import functions as F
 
 from tallyward.functions import digests
 
-BLOCK_BITS, SUPER_BITS = 16, 24  # what is left of 64 bits is one more such window
-_UNORDERED = 1 << 48  # above all blocks of order values
-_UNORDERED_PARTS = 1 << 16
+BLOCK_BITS, SUPER_BITS = 14, 24  # 26 of 64 bits remain for the window over super-blocks
+_UNORDERED = 1 << 50  # above all blocks of order values
 
 
-def block_of(order: str, columns: Sequence[str]) -> Column:
-    """Block number of an order value; rows without one are spread by a hash of ``columns``.
-
-    Never null, so joins on it add no null filter and plans that differ only by such a filter can share their shuffles.
-    """
-    spread = F.lit(_UNORDERED) + F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(_UNORDERED_PARTS))
-    return F.coalesce(F.shiftright(F.col(order).cast("bigint"), BLOCK_BITS), spread)
+def block_of(order: str) -> Column:
+    """Block number of an order value."""
+    return F.shiftright(F.col(order).cast("bigint"), BLOCK_BITS)
 
 
 def _count_names(positions: Mapping[str, Column]) -> dict[str, str]:
@@ -42,7 +37,7 @@ def _block_offsets(counts: DataFrame, by: Sequence[str], names: Sequence[str]) -
     """Rows before each block: prefix sums inside super-blocks, then over super-blocks."""
     supers = counts.withColumn("_super", F.shiftright("_block", SUPER_BITS))
     inner = _running_before(supers, [*by, "_super"], "_block", {n: f"{n}_in" for n in names})
-    # One row per 2**40 order values, so at most 2**24 rows.
+    # One row per 2**38 order values, so at most 2**26 rows.
     outer = _running_before(
         supers.groupBy(*by, "_super").agg(*[F.sum(n).alias(n) for n in names]),
         list(by),
@@ -67,15 +62,16 @@ def dense_positions(
     """
     names = _count_names(positions)
     ordered = F.col(order).isNotNull()
-    flagged = df.withColumns(
-        {"_block": block_of(order, df.columns)}
-        | {names[p]: F.when(cond & ordered, 1).otherwise(0).cast("bigint") for p, cond in positions.items()}
-    )
-    counts = flagged.groupBy(*by, "_block").agg(*[F.sum(n).alias(n) for n in names.values()])
+    flags = {names[p]: F.when(cond & ordered, 1).otherwise(0).cast("bigint") for p, cond in positions.items()}
+    counted = df.filter(ordered).withColumns({"_block": block_of(order)} | flags)
+    counts = counted.groupBy(*by, "_block").agg(*[F.sum(n).alias(n) for n in names.values()])
     offsets = _block_offsets(counts, by, list(names.values()))
+    # Rows without an order value get no position; each is a block of its own, so that they spread.
+    block = F.coalesce(block_of(order), F.monotonically_increasing_id() + F.lit(_UNORDERED))
+    flagged = df.withColumns({"_block": block} | flags)
     w = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = flagged.withColumns({f"{n}_local": F.sum(n).over(w) for n in names.values()})
-    placed = local.join(offsets, [*by, "_block"])
+    placed = local.join(offsets, [*by, "_block"], "left")
     return placed.select(
         *df.columns,
         *[

@@ -15,7 +15,6 @@ from tallyward.operators import checks
 from tallyward.operators.checks import STORED, annotate, facts
 from tallyward.plans import baseline, proposed, scenarios, scoring
 from tallyward.plans.combine import combine
-from tallyward.session import staged
 from tallyward.sources.warehouse import Warehouse
 
 MODES = ("baseline", "proposed", "compare")
@@ -23,8 +22,8 @@ DEFAULT_AS_OF = "2024-01-02T00:00:00"
 
 
 def _received(events: DataFrame, as_of: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Checked rows of all scenarios, staged because several branches read them."""
-    return staged(facts(annotate(scenarios.injected(events, names), as_of), keys))
+    """Checked rows of all scenarios. Nothing is written: branches that read them are computed anew."""
+    return facts(annotate(scenarios.injected(events, names), as_of), keys)
 
 
 def scenario_results(
@@ -95,7 +94,7 @@ def stage_checks(
     names = list(names or scenarios.SCENARIOS)
     keys = ["scenario", *by]
     received = _received(events, as_of, names, keys)
-    source = staged(events.select(*by, "event_id", "seq", "event_time", checks.payload_word().alias("payload_word")))
+    source = events.select(*by, "event_id", "seq", "event_time", checks.payload_word().alias("payload_word"))
     sources = scenarios.source_per_scenario(source, names)
     stored_print = _fingerprint(received.filter(F.col("outcome") == STORED), keys, "stored_fingerprint")
     source_print = _fingerprint(source, by, "source_fingerprint")

@@ -95,12 +95,11 @@ def _against_itself(annotated: DataFrame, by: Sequence[str], small_groups: bool)
 
     time, nothing = F.col("event_time"), F.lit(None).cast("string")
     shifted = ~F.col("_kept_pos").eqNullSafe(F.col("_source_pos"))
-    entries = F.array(
-        entry(True, F.lit(None), nothing, nothing, (0, 0)),
-        F.when(shifted & F.col("_source_pos").isNotNull(), entry(False, F.col("_source_pos"), time, nothing, (1, 0))),
-        F.when(shifted & F.col("_kept_pos").isNotNull(), entry(False, F.col("_kept_pos"), nothing, time, (0, 1))),
-    )
-    rows = placed.select(*by, F.inline(F.array_compact(entries)))
+    own = entry(True, F.lit(None), nothing, nothing, (0, 0))
+    there = F.when(F.col("_source_pos").isNotNull(), entry(False, F.col("_source_pos"), time, nothing, (1, 0)))
+    here = F.when(F.col("_kept_pos").isNotNull(), entry(False, F.col("_kept_pos"), nothing, time, (0, 1)))
+    entries = F.when(shifted, F.array(own, there, here)).otherwise(F.array(own))
+    rows = placed.select(*by, F.inline(entries)).filter(F.col("received").isNotNull())
     met = rows.groupBy(*by, "_id", "_pos").agg(
         *[F.sum(n).alias(n) for n in (*counters, "_at_source", "_at_kept")],
         F.max("_source_time").alias("_source_time"),

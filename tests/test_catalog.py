@@ -9,12 +9,6 @@ from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry_point.all_queries(), entry_point.all_oracles()
-# The whole catalogue takes some minutes; these share their plans with ones that run.
-HEAVY = {
-    "scores_reference", "matches_by_category", "experiment_list", "experiment_detail", "improvement",
-    "table_counts", "stage_pass_rate", "stage_checks_for_run", "report_export_rows", "detected_issues",
-}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not there")
 
 
@@ -29,8 +23,6 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
-    if name in HEAVY and not os.environ.get("TALLYWARD_ALL"):
-        pytest.skip("set TALLYWARD_ALL to run")
     assert compare(spark, tables, name, QUERIES[name], SQL[name], SF) is None
 
 

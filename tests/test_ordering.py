@@ -18,6 +18,22 @@ def test_dense_position_over_gaps_and_blocks(spark):
     assert {r.seq: r.q for r in got if r.q is not None} == {v: i for i, v in enumerate(kept)}
 
 
+def test_sparse_and_absent_order_values(spark):
+    values = [v << 30 for v in range(-500, 500)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, None, None]], "seq long")
+    got = ordering.dense_position(df).collect()
+    assert {r.seq: r.position for r in got if r.seq is not None} == {v: i for i, v in enumerate(values)}
+    assert [r.position for r in got if r.seq is None] == [None] * 3
+    assert reconcile.arrival_disorder(df.withColumn("v", -F.col("seq")), "v").first().out_of_order == 999
+
+
+def test_small_groups_have_the_same_positions(spark):
+    df = spark.range(60).select((F.col("id") * 7 % 60).alias("seq"), (F.col("id") % 3).alias("g"))
+    wanted = {"p": F.lit(True), "q": F.col("seq") % 2 == 0}
+    one, other = ordering.dense_positions(df, wanted, by=["g"]), ordering.small_group_positions(df, wanted, ["g"])
+    assert sorted(one.collect()) == sorted(other.select(*one.columns).collect())
+
+
 def test_dense_position_per_group(spark):
     df = spark.range(90).select(F.col("id").alias("seq"), (F.col("id") % 3).alias("g"))
     got = ordering.dense_position(df, by=["g"]).collect()
