@@ -45,7 +45,8 @@ def read_dataset(
     """Read a file or folder. Options go to Spark's reader; all rows are read.
 
     CSV and TSV files are split across tasks; pass ``multiLine=True`` for files with line
-    breaks inside quotes, which Spark then reads one task per file.
+    breaks inside quotes, which Spark then reads one task per file. Their lines with too many or too few fields, or with
+    values that do not fit the schema, stay in the rows as far as they can be read, and are counted as malformed.
     """
     fmt = (fmt or detect_format(path) or "").lower()
     if fmt not in FORMATS:
@@ -91,7 +92,18 @@ def _read_delimited(spark, path, sep, schema, options):
     opts = {"header": True, "sep": sep, "escape": '"'} | options
     reader = spark.read.options(**opts)
     rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
-    return rows, _counts(rows)
+    if not rows.columns:
+        return rows, _counts(rows)
+    checked = T.StructType([*rows.schema.fields, T.StructField(BAD_LINE, T.StringType())])
+    strict = opts | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE, "columnPruning": False}
+    lines = spark.read.options(**strict).schema(checked).csv(path)
+    # The text of a bad line cannot be read without a data column beside it.
+    beside = F.coalesce(F.length(F.col(f"`{rows.columns[0]}`").cast("string")), F.lit(0)) >= 0
+    return rows, lines.agg(
+        F.count("*").alias("valid_rows"),
+        F.lit(0).cast("bigint").alias("blank_lines"),
+        F.count_if(F.col(BAD_LINE).isNotNull() & beside).alias("malformed_lines"),
+    )
 
 
 def _read_json(spark, path, schema, options):

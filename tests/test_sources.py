@@ -89,6 +89,17 @@ def test_doubled_quotes_and_line_breaks(spark, tmp_path):
     assert [tuple(r) for r in readers.read_dataset(spark, broken, multiLine=True).df.collect()] == [(1, "two\nlines")]
 
 
+def test_lines_of_another_length_are_counted(spark, tmp_path):
+    for name, sep in (("a.csv", ","), ("a.tsv", "\t")):
+        lines = ["id,b", "1,x", "3,4,5", "6", '7,"y, z"'] if sep == "," else ["id\tb", "1\tx", "3\t4\t5", "6", "7\ty"]
+        got = readers.read_dataset(spark, _write(tmp_path / name, "\n".join(lines) + "\n"))
+        assert got.df.count() == 4 and sorted(r.id for r in got.df.collect()) == [1, 3, 6, 7]
+        assert _account(got)["malformed_lines"] == 2 and _account(got)["total_rows"] == 4
+    broken = _write(tmp_path / "m.csv", 'id,t\n1,"two\nlines"\n2,b\n')
+    assert _account(readers.read_dataset(spark, broken))["malformed_lines"] > 0
+    assert _account(readers.read_dataset(spark, broken, multiLine=True))["malformed_lines"] == 0
+
+
 def test_preview_hides_non_numbers(spark):
     inf = float("inf")
     rows = [(1, float("nan"), [1.0, inf]), (2, -inf, [2.0]), (3, None, None), (4, 1.5, []), (5, 2.5, [0.0]), (6, 0.0, [])]
