@@ -32,8 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    dropped = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    """Documents that hold no benchmark item, in whatever case."""
+    dropped = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -14,6 +14,7 @@ from tallyward.llm.common import staged, table
 
 WINDOW = 8
 LITERALS = 3  # words that a benchmark window must have besides placeholders
+SEEDS = (4, 2, 1)  # sizes of the runs of words by which windows are found whatever their case
 COVERAGE = 0.5  # share of an item's windows that makes a document contaminated
 BROADCAST_ROWS = 1_000_000  # a benchmark of more windows is joined by a shuffle
 
@@ -54,9 +55,9 @@ def window_hashes(marks: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, windows (how many), at, size, hash of each distinct item; shorter items are one window.
+    """item_id, words, windows (how many), at, size, hash, exact of each distinct item; shorter items are one window.
 
-    Windows with fewer than ``LITERALS`` words are left out, unless an item has no other.
+    Windows with fewer than ``LITERALS`` words are left out, unless an item has no other (exact).
     """
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("words"))
@@ -76,7 +77,8 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         F.when(F.col("size") == s, F.xxhash64(F.lit(s), *(F.get(marks, F.lit(k)) for k in range(s)))) for s in range(1, WINDOW + 1)
     ]
     windows = F.when(F.col("n_rich") > 0, F.col("n_rich")).otherwise(F.col("n_all")).alias("windows")
-    return kept.select("item_id", "words", windows, "at", "size", F.coalesce(*sizes).alias("hash"))
+    exact = (F.col("n_rich") == 0).alias("exact")
+    return kept.select("item_id", "words", windows, "at", "size", F.coalesce(*sizes).alias("hash"), exact)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -133,6 +135,101 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     )
 
 
+def folded(word: Column) -> Column:
+    """<num>, <unit> or the word in lower case."""
+    low = F.lower(word)
+    return F.when(F.substring(low, 1, 1).between("0", "9"), "<num>").when(low.isin(*UNITS), "<unit>").otherwise(low)
+
+
+def _free(word: Column, exact: Column) -> Column:
+    """True for a name of an item, in whose place any word may stand; an exact item has none."""
+    return ~exact & F.coalesce(placeholder(word) == "<name>", F.lit(False))
+
+
+def _seed(cut: Column, exact: Column) -> Column:
+    """(size, off, hash) of the run of words without names by which a window is found: a long one with many literals."""
+    found = []
+    for size in SEEDS:
+        free = lambda i: F.exists(F.slice(cut, i + 1, F.lit(size)), lambda w: _free(w, exact))  # noqa: B023, E731
+        literals = lambda i: F.size(F.filter(F.slice(cut, i + 1, F.lit(size)), lambda w: placeholder(w).isNull()))  # noqa: B023, E731
+        runs = F.filter(F.sequence(F.lit(0), F.size(cut) - size), lambda i: ~free(i))  # noqa: B023
+        best = -F.array_max(F.transform(runs, lambda i: F.struct(literals(i).alias("n"), (-i).alias("at"))))["at"]  # noqa: B023
+        off = F.when(F.size(cut) >= size, best)
+        marks = (F.xxhash64(folded(F.get(cut, off + k))) for k in range(size))
+        run = F.struct(F.lit(size).alias("size"), off.alias("off"), F.xxhash64(F.lit(size), *marks).alias("hash"))
+        found.append(F.when(off.isNotNull(), run))
+    return F.coalesce(*found)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """As :func:`contaminated`, whatever the case of the document: its capitals tell nothing.
+
+    A window matches where its literals are the same in any case, numbers meet numbers, units units, and any word stands
+    in the place of a name of the item. Windows of an item without literals match its own words in any case alone.
+    """
+    items = staged(benchmark_windows(benchmark), "benchmark")
+    cut = F.slice("words", F.col("at") + 1, F.col("size"))
+    seeds = items.select("item_id", "at", "windows", _seed(cut, F.col("exact")).alias("seed"))
+    known = staged(
+        seeds.select("seed.hash", "seed.size", "item_id", "at", (F.col("at") + F.col("seed.off")).alias("seed_at"), "windows"), "seeds"
+    )
+    n, sizes = known.agg(F.count("*"), F.collect_set("size")).first()  # at most as many as SEEDS
+    known = known.drop("size")
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    marks = F.transform(tokens(F.col("text")), lambda w: F.xxhash64(folded(w)))
+    marked = docs.where("doc_id is not null").select(doc_id, marks.alias("marks"))
+    found = None
+    for size in sorted(sizes) or [SEEDS[0]]:
+        rolled = marked.select("doc_id", F.posexplode(window_hashes(F.col("marks"), size)).alias("place", "hash"))
+        found = rolled if found is None else found.union(rolled)
+    hits = found.join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "hash")
+    shift = (F.col("place") - F.col("seed_at")).cast("int").alias("shift")
+    grouped = hits.groupBy("doc_id", "item_id", "windows", shift).agg(F.collect_set("at").alias("ats"))
+    # A window that matches has its run there, so pairs with too few runs go before texts come in.
+    grouped = staged(grouped, "shifts")
+    likely = grouped.groupBy("doc_id", "item_id").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("most"), F.first("windows").alias("windows")
+    )
+    likely = likely.where(F.col("most") >= F.lit(coverage) * F.col("windows")).select("doc_id", "item_id")
+    grouped = staged(grouped.join(likely, ["doc_id", "item_id"]), "likely")
+    texts = docs.select(doc_id, tokens(F.col("text")).alias("doc_words")).join(
+        grouped.select("doc_id").distinct(), "doc_id", "left_semi"
+    )
+    once = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("size").alias("size"), F.first("exact").alias("exact"))
+    both = grouped.join(texts, "doc_id").join(once, "item_id")
+
+    def same(k: Column) -> Column:
+        word, there = F.get("words", k), F.get("doc_words", k + F.col("shift"))
+        alike = F.when(F.col("exact"), F.lower(word) == F.lower(there)).otherwise(folded(word) == folded(there))
+        return there.isNotNull() & (_free(word, F.col("exact")) | alike)
+
+    places = lambda at: F.sequence(at, at + F.col("size") - 1)
+    aligned = both.withColumn("ats", F.filter("ats", lambda at: F.forall(places(at), same)))
+    slot = lambda k: F.struct(
+        k.alias("at"), F.get("words", k).alias("item"), F.lower(F.get("doc_words", k + F.col("shift"))).alias("doc")
+    )
+    at_slots = F.filter(
+        F.array_distinct(F.flatten(F.transform("ats", places))), lambda k: placeholder(F.get("words", k)).isNotNull()
+    )
+    slotted = aligned.where(F.size("ats") > 0).select("doc_id", "item_id", "windows", "size", "ats", F.transform(at_slots, slot).alias("slots"))
+    pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(s.item.alias("item"), s.doc.alias("doc"))))
+    changed = F.size(F.filter("pairs", lambda s: F.lower(s.item) != s.doc)).cast("long").alias("changed")
+    judged = (
+        slotted.withColumn("pairs", pairs)
+        .where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item"))))
+        .select("doc_id", "item_id", "windows", "ats", changed)
+    )
+    return (
+        judged.groupBy("doc_id", "item_id")
+        .agg(
+            F.first("windows").cast("long").alias("windows"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"),
+            F.min("changed").alias("changed"),
+        )
+        .where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a benchmark item, with the item."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -180,3 +180,39 @@ def test_stages_take_odd_rows(spark, frame, odd_rows):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() == len(odd_rows), name
     assert pipeline.STAGES[-1][1](spark, docs, SF).count() == len(odd_rows)
+
+
+def folded_matches(docs, items):
+    """Brute force in any case, for items with literals whose slots do not change but in names."""
+    token = re.compile(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*")
+    kind = lambda w: "<num>" if w[0].isdigit() else "<unit>" if w.lower() in decontaminate.UNITS else w.lower()
+    name = lambda w: not w[0].isdigit() and w not in decontaminate.UNITS and w[0] != w[0].lower()
+    out = set()
+    for item, text in items:
+        words = token.findall(text)
+        size = min(len(words), decontaminate.WINDOW)
+        cuts = [words[i : i + size] for i in range(len(words) - size + 1)]
+        rich = [c for c in cuts if sum(not name(w) and kind(w)[0] != "<" for w in c) >= min(decontaminate.LITERALS, size)]
+        for doc, body in docs:
+            there = token.findall(body or "")
+            held = [there[i : i + size] for i in range(len(there) - size + 1)]
+            if rich:
+                hits = sum(any(all(name(a) or kind(a) == kind(b) for a, b in zip(c, h)) for h in held) for c in rich)
+            else:
+                hits = sum(any([w.lower() for w in c] == [w.lower() for w in h] for h in held) for c in cuts)
+            if hits >= decontaminate.COVERAGE * len(rich or cuts):
+                out.add((doc, item))
+    return out
+
+
+def test_leaks_in_any_case(frame, spark):
+    items = [(1, ITEM), (2, "WHO WROTE THIS PLAY OF 5 ACTS"), (3, "a small word list without any capitals or numbers in it")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(10, f"so. {ITEM.upper()} after"), (11, ITEM.lower()), (12, ITEM.lower().replace("anna", "bert")), (13, ITEM.title()),
+            (14, "who wrote this play of 5 acts"), (15, "WHO WROTE THAT PLAY OF 6 ACTS"), (16, items[2][1].upper()),
+            (17, ITEM.lower().replace("red", "a").replace("green", "b").replace("many", "c")), (18, None), (None, ITEM)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(rows), benchmark).collect()}
+    assert got == {(i, k) for i, k in folded_matches(rows, items) if i is not None}
+    assert got == {(10, 1), (11, 1), (12, 1), (13, 1), (14, 2), (16, 3)}
+    assert decontaminate.leaks(frame([]), benchmark).count() == 0
+    assert decontaminate.leaks(frame(rows), benchmark.limit(0)).count() == 0
