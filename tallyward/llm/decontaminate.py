@@ -212,12 +212,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         F.array_distinct(F.flatten(F.transform("ats", places))), lambda k: placeholder(F.get("words", k)).isNotNull()
     )
     slotted = aligned.where(F.size("ats") > 0).select("doc_id", "item_id", "windows", "size", "ats", F.transform(at_slots, slot).alias("slots"))
-    pairs = F.array_distinct(F.transform("slots", lambda s: F.struct(s.item.alias("item"), s.doc.alias("doc"))))
-    changed = F.size(F.filter("pairs", lambda s: F.lower(s.item) != s.doc)).cast("long").alias("changed")
+    # The value a slot has most often in the document, else the item's own, else the least, stands for the slot.
+    times = lambda s: F.size(F.filter("slots", lambda t: (t.item == s.item) & (t.doc == s.doc)))
+    own = lambda s: s.doc == F.lower(s.item)
+    ranked = F.transform(
+        "slots", lambda s: F.struct(s["at"].alias("at"), s.item.alias("item"), s.doc.alias("doc"), times(s).alias("n"), own(s).alias("own"))
+    )
+    above = lambda t, s: (t.item == s.item) & ((t.n > s.n) | (t.n == s.n) & (t.own | (t.doc < s.doc)))
+    torn = F.filter("ranked", lambda s: ~s.own & F.exists("ranked", lambda t: above(t, s)))
+    inside = lambda k, at: (k >= at) & (k < at + F.col("size"))
+    kept = F.filter("ats", lambda at: ~F.exists("torn", lambda s: inside(s["at"], at)))
+    counted = F.filter("slots", lambda s: F.exists("kept", lambda at: inside(s["at"], at)) & (s.doc != F.lower(s.item)))
+    changed = F.size(F.array_distinct(F.transform(counted, lambda s: F.struct(s.item, s.doc)))).cast("long").alias("changed")
     judged = (
-        slotted.withColumn("pairs", pairs)
-        .where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.item"))))
-        .select("doc_id", "item_id", "windows", "ats", changed)
+        slotted.withColumn("ranked", ranked)
+        .withColumn("torn", torn)
+        .withColumn("kept", kept)
+        .where(F.size("kept") > 0)
+        .select("doc_id", "item_id", "windows", F.col("kept").alias("ats"), changed)
     )
     return (
         judged.groupBy("doc_id", "item_id")

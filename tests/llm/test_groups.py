@@ -216,3 +216,14 @@ def test_leaks_in_any_case(frame, spark):
     assert got == {(10, 1), (11, 1), (12, 1), (13, 1), (14, 2), (16, 3)}
     assert decontaminate.leaks(frame([]), benchmark).count() == 0
     assert decontaminate.leaks(frame(rows), benchmark.limit(0)).count() == 0
+
+
+def test_leaks_with_a_torn_slot(frame, spark):
+    twice = "The red box of apples lies on the left side of a wall and below it The blue box of pears lies on the right side"
+    rows = [(22, ITEM.replace("12 kg", "40 lb")), (23, twice.replace("The blue", "This blue")), (24, ITEM.replace("kg", "lb", 1)),
+            (25, ITEM.replace("of", "on")), (26, ITEM.replace("5 kg", "9 lb").replace("12", "40"))]
+    benchmark = spark.createDataFrame([(1, ITEM), (2, twice)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame(rows), benchmark).collect()}
+    assert set(got) == {(22, 1), (23, 2), (24, 1)}
+    # Lost are the windows with the contradicting slot alone: 5 of 15, in 26 8 of 15.
+    assert got[22, 1].windows - got[22, 1].matched == 5 and got[22, 1].changed == 1
