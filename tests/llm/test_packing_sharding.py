@@ -78,3 +78,12 @@ def test_rewrite(spark, frame, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert written == {0, 1, 2, 3} and out.count() == 400
     assert {(r.doc_id, r[resharding.COPY]) for r in out.collect()} == {(r.doc_id, r.shard) for r in plan.collect()}
+
+
+def test_special_tokens_are_those_of_tokenizers(frame):
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> <|endoftext|>x", "<|endoftext", "plain"]
+    want = [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 50256, 65]
+    got = {r.doc_id: r for r in packing.pack(frame(enumerate(texts))).collect()}
+    assert [np.frombuffer(got[i].ids, "<u4").tolist() for i in range(len(texts))] == [[*ids, packing.SEPARATOR] for ids in want]
