@@ -212,6 +212,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         F.array_distinct(F.flatten(F.transform("ats", places))), lambda k: placeholder(F.get("words", k)).isNotNull()
     )
     slotted = aligned.where(F.size("ats") > 0).select("doc_id", "item_id", "windows", "size", "ats", F.transform(at_slots, slot).alias("slots"))
+    # Staged as these few rows are used in nested expressions, which would compute them for each element anew.
+    slotted = staged(slotted, "slots")
     # The value a slot has most often in the document, else the item's own, else the least, stands for the slot.
     times = lambda s: F.size(F.filter("slots", lambda t: (t.item == s.item) & (t.doc == s.doc)))
     own = lambda s: s.doc == F.lower(s.item)
@@ -225,8 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     counted = F.filter("slots", lambda s: F.exists("kept", lambda at: inside(s["at"], at)) & (s.doc != F.lower(s.item)))
     changed = F.size(F.array_distinct(F.transform(counted, lambda s: F.struct(s.item, s.doc)))).cast("long").alias("changed")
     judged = (
-        slotted.withColumn("ranked", ranked)
-        .withColumn("torn", torn)
+        staged(staged(slotted.withColumn("ranked", ranked), "ranked").withColumn("torn", torn), "torn")
         .withColumn("kept", kept)
         .where(F.size("kept") > 0)
         .select("doc_id", "item_id", "windows", F.col("kept").alias("ats"), changed)
