@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,20 @@ def blocks(texts: list[str | None], limit: int = BLOCK_CHARS) -> Iterator[tuple[
         yield first, run
 
 
+def text_blocks(column: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts (null: empty) of at most ``limit`` bytes or a single text, each with the index of its first.
+
+    Only one run at a time is turned into Python strings.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(column):
+        before = int(ends[first - 1]) if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield first, [t or "" for t in column.slice(first, stop - first).to_pylist()]
+        first = stop
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
