@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallyward.catalog.queries import NAMES, all_queries  # noqa: E402
 from tallyward.plans import baseline, scenarios  # noqa: E402
-from tallyward.plans.views import order_events, table  # noqa: E402
+from tallyward.plans.views import order_events, spread, table  # noqa: E402
 from tallyward.session import get_session  # noqa: E402
 
 HEADLINE = tuple(os.environ["BENCH_ONLY"].split(",")) if os.environ.get("BENCH_ONLY") else (
@@ -46,7 +46,7 @@ HEADLINE = tuple(os.environ["BENCH_ONLY"].split(",")) if os.environ.get("BENCH_O
 
 def minimal(scenario: str):
     return lambda spark, sf: baseline.metrics(
-        baseline.transform(scenarios.inject(order_events(table(spark, sf, "orders")), scenario))
+        baseline.transform(scenarios.inject(order_events(spread(table(spark, sf, "orders"))), scenario))
     )
 
 

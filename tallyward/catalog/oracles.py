@@ -372,7 +372,9 @@ def scores(w: With, by: Sequence[str]) -> str:
         "scored",
         """SELECT *, CASE WHEN "precision" + recall = 0 THEN 0.0::DOUBLE
                 ELSE 2 * "precision" * recall / ("precision" + recall) END AS f1,
-            recall AS detection_accuracy FROM rated""",
+            CASE WHEN true_positives + false_negatives = 0 THEN 1.0::DOUBLE ELSE
+                (true_positives + false_positives)::DOUBLE / (true_positives + false_negatives)::DOUBLE END
+                AS detection_accuracy FROM rated""",
     )
 
 
@@ -383,18 +385,43 @@ def stage_checks(w: With, by: Sequence[str], names: Sequence[str] = NAMES) -> st
     digest = f"('0x' || substr({row_digest(PAYLOAD)}, 1, 8))::BIGINT"
     w.add("fp_s", f"SELECT {k}, sum({digest}) AS fs FROM {sources} GROUP BY {k}")
     w.add("fp_t", f"SELECT {k}, sum({digest}) AS ft FROM ann WHERE outcome = 'stored' GROUP BY {k}")
-    w.add("met_fp", f"SELECT *, fs IS DISTINCT FROM ft AS differs FROM met JOIN fp_s USING ({k}) LEFT JOIN fp_t USING ({k})")
+    # The tax of the amount before the faults; a copy has its original's.
+    w.add("tax_s", f"SELECT {k}, event_id, any_value({tax('CAST(amount AS DECIMAL(30,10))')}) AS st FROM {sources} GROUP BY {k}, event_id")
+    w.add(
+        "tax_n",
+        f"""SELECT {k}, count_if(total_tax IS DISTINCT FROM st) AS wrong_tax
+        FROM ann JOIN tax_s USING ({k}, event_id) WHERE outcome = 'stored' GROUP BY {k}""",
+    )
+    w.add(
+        "rank_n",
+        f"""SELECT {k}, count_if(rs <> rr) AS displaced FROM (
+            SELECT {k}, row_number() OVER ({partition(by)} ORDER BY s) AS rs, row_number() OVER ({partition(by)} ORDER BY r) AS rr
+            FROM (SELECT {k}, event_id, min(seq) AS s FROM {sources} GROUP BY {k}, event_id)
+            JOIN (SELECT {k}, event_id, min(seq) AS r FROM ann WHERE outcome = 'stored' GROUP BY {k}, event_id)
+            USING ({k}, event_id)) GROUP BY {k}""",
+    )
+    w.add(
+        "cust_n",
+        f"""SELECT {k}, count_if(t IS NULL) AS without_events FROM (SELECT DISTINCT {k}, customer_id FROM {sources})
+        LEFT JOIN (SELECT DISTINCT {k}, customer_id, TRUE AS t FROM ann WHERE outcome = 'stored') USING ({k}, customer_id)
+        GROUP BY {k}""",
+    )
+    w.add(
+        "met_fp",
+        f"""SELECT *, fs IS DISTINCT FROM ft AS differs FROM met JOIN fp_s USING ({k}) LEFT JOIN fp_t USING ({k})
+        JOIN tax_n USING ({k}) JOIN rank_n USING ({k}) JOIN cust_n USING ({k})""",
+    )
     rows = [
         ("Ingestion", "schema_validation", "schema_drift,null_values", "invalid_schema"),
         ("Ingestion", "null_check", "schema_drift,null_values", "nulls"),
         ("Preprocessing", "duplicate_detection", "duplication,schema_drift", "duplicate_rows"),
         ("Preprocessing", "checksum_validate", "duplication,schema_drift", "checksum_mismatch_rows"),
-        ("Transformation", "assertion_check", "incorrect_transformation", "transformation_failures"),
+        ("Transformation", "assertion_check", "incorrect_transformation", "wrong_tax"),
         ("Transformation", "type_validation", "incorrect_transformation", "type_mismatches + malformed"),
         ("Storage", "row_count_check", "data_loss,inconsistency", "abs(compared_source_rows - stored)"),
         ("Storage", "checksum_reconcile", "data_loss,inconsistency", "CAST(differs AS BIGINT)"),
-        ("Output", "downstream_validation", "inconsistency,corruption", "missing_ids + order_mismatches"),
-        ("Output", "consistency_check", "inconsistency,corruption", "unexpected_ids"),
+        ("Output", "downstream_validation", "inconsistency,corruption", "missing_ids + unexpected_ids + displaced"),
+        ("Output", "consistency_check", "inconsistency,corruption", "without_events"),
     ]
     return w.add(
         "checked",

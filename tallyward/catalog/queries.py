@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 from tallyward.functions import digests
 from tallyward.operators import checks, faults, generate, integrity, reconcile
 from tallyward.operators.checks import STORED, annotate
-from tallyward.plans import ab, baseline, experiments, proposed, reports, scenarios, scoring
+from tallyward.plans import ab, baseline, experiments, proposed, reports, scenarios
 from tallyward.plans.combine import combine
-from tallyward.plans.views import ab_view, order_events, table
+from tallyward.plans.views import ab_view, order_events, spread, table
 from tallyward.session import checkpoint_root
 from tallyward.sources import readers, sinks, warehouse
 from tallyward.streaming import flows
@@ -43,13 +43,13 @@ def _orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    return order_events(_orders(spark, sf))
+    return order_events(spread(_orders(spark, sf)))
 
 
 def _by_dataset(spark: SparkSession, sf: str) -> DataFrame:
     """Order events split into datasets by the number of the order priority."""
     priority = F.regexp_extract("o_orderpriority", "^[0-9]+", 0).cast("bigint")
-    return order_events(_orders(spark, sf).withColumn("dataset", priority), "dataset")
+    return order_events(spread(_orders(spark, sf)).withColumn("dataset", priority), "dataset")
 
 
 def _ab(spark: SparkSession, sf: str) -> DataFrame:
@@ -528,10 +528,7 @@ def proposed_against_source(spark, sf):
 
 @query
 def detected_issues(spark, sf):
-    faulted = scenarios.injected(_events(spark, sf), NAMES)
-    return proposed.metrics(faulted, AS_OF, by=["scenario"]).select(
-        "scenario", "proposed_detected_issues", "duplicate_rows"
-    )
+    return experiments.detected_issues(_events(spark, sf), AS_OF)
 
 
 @query
@@ -609,10 +606,7 @@ def matches_by_category(spark, sf):
 
 @query
 def detected_by_category(spark, sf):
-    events = _events(spark, sf)
-    faulted = scenarios.injected(events, NAMES)
-    source = scenarios.source_per_scenario(events.select("event_id", "seq"), NAMES)
-    return scoring.by_category(scoring.findings(faulted, source, AS_OF, ["scenario"]), ["scenario"])
+    return experiments.found_by_category(_events(spark, sf), AS_OF)
 
 
 # --- Results analytics ----------------------------------------------------------

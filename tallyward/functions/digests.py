@@ -37,12 +37,12 @@ def bucket(salt: str, key: Column, buckets: int = BUCKETS) -> Column:
 def sampled(salt: str, key: Column, rate: float | Column) -> Column:
     """Bernoulli sample with the given rate, decided by 60 bits of a hash of the row's own key.
 
-    Where the rate is a column, rows with rate 0 are decided without hashing.
+    Where the rate is a column, rows with rate 0 are decided without hashing. A null key is in no sample.
     """
     if isinstance(rate, Column):
         share = (rate.cast("double") * F.lit(float(DRAWS))).cast("bigint")
-        return (share > 0) & (hash60(salt, key) < share)
-    return hash60(salt, key) < F.lit(int(rate * DRAWS))
+        return (share > 0) & F.coalesce(hash60(salt, key) < share, F.lit(False))
+    return F.coalesce(hash60(salt, key) < F.lit(int(rate * DRAWS)), F.lit(False))
 
 
 def between(salt: str, key: Column, low: int, high: int) -> Column:

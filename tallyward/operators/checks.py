@@ -218,16 +218,17 @@ def curated(annotated: DataFrame) -> DataFrame:
     )
 
 
-def lenient(events: DataFrame) -> DataFrame:
+def lenient(events: DataFrame, *extra: str) -> DataFrame:
     """The minimal flow's transform: whatever is not a number counts as 0.0 and is stored.
 
-    The tax is null for an amount of 1e20 or more.
+    The tax is null for an amount of 1e20 or more. ``extra`` columns are carried along in front.
     """
     typed = enforced(events)
     amount = F.coalesce(F.col("amount_num"), F.lit(0.0))
     total_tax = F.when(F.col("amount_num").isNull(), F.lit(0.0)).otherwise(scalars.tax(F.col("amount_dec")))
     version = F.when(F.col("version").isNull(), F.lit(1)).otherwise(F.col("version_num"))
     return typed.select(
+        *extra,
         "event_id",
         "event_time",
         "customer_id",

@@ -19,6 +19,8 @@ from tallyward.operators.ordering import dense_position, smallest_k
 # A share of rows: one number, or a column where rows of several scenarios differ.
 Rate = Union[float, Column]
 
+DRIFTED, BROKEN_CHECKSUM = "N/A", "invalid"
+
 # Rows a swap group holds on average; groups grow in number with the table.
 SWAP_GROUP_ROWS = 4096
 
@@ -63,14 +65,17 @@ def inject_duplicates(events: DataFrame, rate: Rate = 0.1, offset: Column | None
     ).select(*events.columns)
 
 
+def inflated(amount: Column) -> Column:
+    """Ten times the amount and one; what is no number stays."""
+    return F.coalesce((parsing.to_decimal(amount) * 10 + 1).cast("decimal(20,2)").cast("string"), amount)
+
+
 def inject_corruption(events: DataFrame, rate: Rate = 0.1) -> DataFrame:
     hit = digests.sampled("corrupt", F.col("seq"), rate)
-    amount = parsing.to_decimal(F.col("amount"))
-    inflated = F.coalesce((amount * 10 + 1).cast("decimal(20,2)").cast("string"), F.col("amount"))
     return events.withColumns(
         {
-            "amount": F.when(hit, inflated).otherwise(F.col("amount")),
-            "checksum": F.when(hit, F.lit("invalid")).otherwise(F.col("checksum")),
+            "amount": F.when(hit, inflated(F.col("amount"))).otherwise(F.col("amount")),
+            "checksum": F.when(hit, F.lit(BROKEN_CHECKSUM)).otherwise(F.col("checksum")),
             "faults": _label(CORRUPTION, hit),
         }
     )
@@ -80,7 +85,7 @@ def inject_schema_drift(events: DataFrame, rate: Rate = 0.1) -> DataFrame:
     hit = digests.sampled("drift", F.col("seq"), rate)
     return events.withColumns(
         {
-            "amount": F.when(hit, F.lit("N/A")).otherwise(F.col("amount")),
+            "amount": F.when(hit, F.lit(DRIFTED)).otherwise(F.col("amount")),
             "faults": _label(SCHEMA_DRIFT, hit),
         }
     )

@@ -1,9 +1,8 @@
 """Positions and exact-size samples without a single-task sort.
 
 ``row_number()`` over a window with no partition sends the whole table to one task.
-The operators here split the order into fixed-width blocks instead: with a unique order
-column no window holds more than ``2**BLOCK_BITS`` rows or ``2**26`` counts of blocks,
-however sparse the order values are.
+The operators here split the order into fixed-width blocks instead, on four levels: with a unique order
+column no window holds more than ``2**18`` rows or counts, however sparse the order values are.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyward.functions import digests
 
-BLOCK_BITS, SUPER_BITS = 14, 24  # 26 of 64 bits remain for the window over super-blocks
+BLOCK_BITS, SUPER_BITS = 14, 18  # 14 of 64 bits remain for the window over the largest blocks
 _UNORDERED = 1 << 50  # above all blocks of order values
 
 
@@ -24,60 +23,67 @@ def block_of(order: str) -> Column:
     return F.shiftright(F.col(order).cast("bigint"), BLOCK_BITS)
 
 
-def _count_names(positions: Mapping[str, Column]) -> dict[str, str]:
-    return {name: f"_n_{name}" for name in positions}
+def _over(within: Sequence[str], order: str, last: str) -> str:
+    """A window up to ``last``, as text: plans with many sums are built from few calls."""
+    parts = f"PARTITION BY {', '.join(f'`{c}`' for c in within)} " if within else ""
+    return f"({parts}ORDER BY `{order}` ROWS BETWEEN UNBOUNDED PRECEDING AND {last})"
 
 
-def _running_before(df: DataFrame, within: Sequence[str], order: str, cols: Mapping[str, str]) -> DataFrame:
-    w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({out: F.coalesce(F.sum(src).over(w), F.lit(0)) for src, out in cols.items()})
+def _running_before(within: Sequence[str], order: str, cols: Mapping[str, str]) -> list[Column]:
+    over = _over(within, order, "1 PRECEDING")
+    return [F.expr(f"coalesce(sum(`{src}`) OVER {over}, 0) AS `{out}`") for src, out in cols.items()]
 
 
 def _block_offsets(counts: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """Rows before each block: prefix sums inside super-blocks, then over super-blocks."""
-    supers = counts.withColumn("_super", F.shiftright("_block", SUPER_BITS))
-    inner = _running_before(supers, [*by, "_super"], "_block", {n: f"{n}_in" for n in names})
-    # One row per 2**38 order values, so at most 2**26 rows.
-    outer = _running_before(
-        supers.groupBy(*by, "_super").agg(*[F.sum(n).alias(n) for n in names]),
-        list(by),
-        "_super",
-        {n: f"{n}_out" for n in names},
-    ).select(*by, "_super", *[f"{n}_out" for n in names])
-    return inner.join(outer, [*by, "_super"]).select(
-        *by, "_block", *[(F.col(f"{n}_in") + F.col(f"{n}_out")).alias(f"{n}_before") for n in names]
+    """Rows before each block: prefix sums inside each of two levels of larger blocks, then over the largest."""
+    supers = counts.withColumns(
+        {"_super": F.shiftright("_block", SUPER_BITS), "_top": F.shiftright("_block", 2 * SUPER_BITS)}
+    )
+    inner = supers.select("*", *_running_before([*by, "_super"], "_block", {n: f"{n}_in" for n in names}))
+    per_super = supers.groupBy(*by, "_top", "_super").agg(*[F.expr(f"sum(`{n}`) AS `{n}`") for n in names])
+    middle = per_super.select(*by, "_top", "_super", *names, *_running_before([*by, "_top"], "_super", {n: f"{n}_mid" for n in names}))
+    # One row per 2**(BLOCK_BITS + 2 * SUPER_BITS) order values, so at most 2**14 rows.
+    outer = per_super.groupBy(*by, "_top").agg(*[F.expr(f"sum(`{n}`) AS `{n}`") for n in names])
+    outer = outer.select(*by, "_top", *_running_before(by, "_top", {n: f"{n}_out" for n in names}))
+    above = middle.join(outer, [*by, "_top"]).select(
+        *by, "_super", *[F.expr(f"`{n}_mid` + `{n}_out` AS `{n}_above`") for n in names]
+    )
+    return inner.join(above, [*by, "_super"]).select(
+        *by, "_block", *[F.expr(f"`{n}_in` + `{n}_above` AS `{n}_before`") for n in names]
     )
 
 
 def dense_positions(
     df: DataFrame,
-    positions: Mapping[str, Column],
+    positions: Mapping[str, Column | str],
     order: str = "seq",
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Add, per named predicate, the zero-based position among the rows that satisfy it.
 
-    Rows that fail a predicate get null for it, and so do rows without an order value. ``order`` must else be a
-    unique integer within ``by``. The rows are shuffled once, by block.
+    Rows that fail a predicate get null for it, and so do rows without an order value. Among the rows of one predicate
+    ``order`` must else be a unique integer within ``by``. The rows are shuffled once, by block.
     """
-    names = _count_names(positions)
+    names = {p: f"_n_{p}" for p in positions}
     ordered = F.col(order).isNotNull()
-    flags = {names[p]: F.when(cond & ordered, 1).otherwise(0).cast("bigint") for p, cond in positions.items()}
-    counted = df.filter(ordered).withColumns({"_block": block_of(order)} | flags)
-    counts = counted.groupBy(*by, "_block").agg(*[F.sum(n).alias(n) for n in names.values()])
+    flags = {
+        names[p]: F.expr(f"CASE WHEN ({c}) AND `{order}` IS NOT NULL THEN 1L ELSE 0L END")
+        if isinstance(c, str)
+        else F.when(c & ordered, 1).otherwise(0).cast("bigint")
+        for p, c in positions.items()
+    }
+    counted = df.filter(ordered).select(*by, block_of(order).alias("_block"), *[c.alias(n) for n, c in flags.items()])
+    counts = counted.groupBy(*by, "_block").agg(*[F.expr(f"sum(`{n}`) AS `{n}`") for n in names.values()])
     offsets = _block_offsets(counts, by, list(names.values()))
     # Rows without an order value get no position; each is a block of its own, so that they spread.
     block = F.coalesce(block_of(order), F.monotonically_increasing_id() + F.lit(_UNORDERED))
     flagged = df.withColumns({"_block": block} | flags)
-    w = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = flagged.withColumns({f"{n}_local": F.sum(n).over(w) for n in names.values()})
+    over = _over([*by, "_block"], order, "CURRENT ROW")
+    local = flagged.select("*", *[F.expr(f"sum(`{n}`) OVER {over} AS `{n}_local`") for n in names.values()])
     placed = local.join(offsets, [*by, "_block"], "left")
     return placed.select(
         *df.columns,
-        *[
-            F.when(F.col(n) == 1, F.col(f"{n}_before") + F.col(f"{n}_local") - 1).alias(p)
-            for p, n in names.items()
-        ],
+        *[F.expr(f"CASE WHEN `{n}` = 1 THEN `{n}_before` + `{n}_local` - 1 END AS `{p}`") for p, n in names.items()],
     )
 
 

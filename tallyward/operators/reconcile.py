@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyward.operators.ordering import BLOCK_BITS, SUPER_BITS, dense_position
@@ -121,26 +121,27 @@ def arrival_disorder(
             F.max_by(value, order).alias("_last"),
         )
     )
-    # Seams: the table is cut again by super-block, so this window is bounded as well.
-    upper = per_block.withColumn("_super", F.shiftright("_block", SUPER_BITS))
-    seam = Window.partitionBy(*key, "_super").orderBy("_block")
-    per_super = (
-        upper.withColumn("_seam", F.coalesce(F.lag("_last").over(seam) > F.col("_first"), F.lit(False)))
-        .groupBy(*key, "_super")
+    # Seams: the blocks are cut again, twice, so these windows are bounded as well.
+    upper = per_block
+    for level in ("_super", "_top"):
+        below = "_block" if level == "_super" else "_super"
+        cut = upper.withColumn(level, F.shiftright(below, SUPER_BITS))
+        upper = _over_seams(cut, Window.partitionBy(*key, level).orderBy(below), [*key, level], below)
+    whole = _over_seams(upper, Window.partitionBy(*key).orderBy("_top"), list(key), "_top")
+    return whole.select(*key, F.col("_rows").alias("rows"), F.col("_inner").alias("out_of_order"))
+
+
+def _over_seams(parts: DataFrame, order: WindowSpec, keys: Sequence[str], place: str) -> DataFrame:
+    """Parts of one whole put together: their counts and one more for each seam with a later value before it."""
+    seam = F.coalesce(F.lag("_last").over(order) > F.col("_first"), F.lit(False))
+    return (
+        parts.withColumn("_seam", seam)
+        .groupBy(*keys)
         .agg(
             F.sum("_rows").alias("_rows"),
             (F.sum("_inner") + F.count_if("_seam")).alias("_inner"),
-            F.min_by("_first", "_block").alias("_first"),
-            F.max_by("_last", "_block").alias("_last"),
-        )
-    )
-    top = Window.partitionBy(*key).orderBy("_super")
-    return (
-        per_super.withColumn("_seam", F.coalesce(F.lag("_last").over(top) > F.col("_first"), F.lit(False)))
-        .groupBy(*key)
-        .agg(
-            F.sum("_rows").alias("rows"),
-            (F.sum("_inner") + F.count_if("_seam")).alias("out_of_order"),
+            F.min_by("_first", place).alias("_first"),
+            F.max_by("_last", place).alias("_last"),
         )
     )
 

@@ -12,9 +12,9 @@ from tallyward.operators.integrity import with_total
 from tallyward.sources.sinks import stored_count, write_curated
 
 
-def transform(events: DataFrame) -> DataFrame:
-    """Ingestion and preprocessing change nothing here, so this is the whole flow."""
-    return lenient(events)
+def transform(events: DataFrame, *extra: str) -> DataFrame:
+    """Ingestion and preprocessing change nothing here, so this is the whole flow; ``extra`` columns are carried along."""
+    return lenient(events, *extra)
 
 
 def metrics(stored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

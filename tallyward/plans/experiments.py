@@ -10,10 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.functions.scalars import ratio_or
-from tallyward.model import BASELINE_FLOW, PROPOSED_FLOW
+from tallyward.model import (
+    BASELINE_FLOW,
+    CATEGORIES,
+    CORRUPTION,
+    DUPLICATION,
+    INCONSISTENCY,
+    INVALID_SCHEMA,
+    LOSS,
+    MALFORMED,
+    NULLS,
+    PROPOSED_FLOW,
+    SCHEMA_DRIFT,
+    TRANSFORMATION_FAILURES,
+    TYPE_MISMATCHES,
+)
 from tallyward.operators import checks
 from tallyward.operators.checks import STORED, annotate, facts
-from tallyward.plans import baseline, proposed, scenarios, scoring
+from tallyward.operators.reconcile import reconcile_keys
+from tallyward.plans import baseline, deltas, proposed, scenarios, scoring
 from tallyward.plans.combine import combine
 from tallyward.sources.warehouse import Warehouse
 
@@ -21,55 +36,187 @@ MODES = ("baseline", "proposed", "compare")
 DEFAULT_AS_OF = "2024-01-02T00:00:00"
 
 
+def _in_one_frame(
+    events: DataFrame,
+    names: Sequence[str] | None,
+    mixed: Callable[[dict[str, scenarios.FaultMix]], DataFrame],
+    custom: Callable[[list[str]], DataFrame],
+) -> DataFrame:
+    """The fault mixes among the scenarios evaluated together, all others as whole copies of the rows."""
+    mixes, others = scenarios.split(list(names or scenarios.SCENARIOS))
+    parts = ([mixed(mixes)] if mixes else []) + ([custom(list(others))] if others else [])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def _received(events: DataFrame, as_of: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Checked rows of all scenarios. Nothing is written: branches that read them are computed anew."""
+    """Checked rows of scenarios that are no fault mixes."""
     return facts(annotate(scenarios.injected(events, names), as_of), keys)
 
 
+def _detected(row: DataFrame) -> DataFrame:
+    """Add the number of issues the checked flow reports."""
+    reasons = (INVALID_SCHEMA, NULLS, TYPE_MISMATCHES, TRANSFORMATION_FAILURES)
+    total = (F.col("checksum_mismatch_rows") > 0).cast("bigint")
+    for reason in reasons:
+        total = total + F.col(reason)
+    return row.withColumn("proposed_detected_issues", total)
+
+
+def detected_issues(
+    events: DataFrame, as_of: str, names: Sequence[str] | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Issues the checked flow reports, and duplicate rows, per scenario."""
+    keys = ["scenario", *by]
+
+    def mixed(mixes: dict[str, scenarios.FaultMix]) -> DataFrame:
+        rows = deltas.contents(events, mixes, as_of, by)
+        row = combine([deltas.totals(rows, mixes, by), deltas.ids(rows, mixes, by)], keys)
+        return _detected(row).select(
+            *keys, "proposed_detected_issues", (F.col("kept") - F.col("kept_keys")).alias("duplicate_rows")
+        )
+
+    def custom(others: list[str]) -> DataFrame:
+        return proposed.metrics_of(_received(events, as_of, others, keys), by=keys).select(
+            *keys, "proposed_detected_issues", "duplicate_rows"
+        )
+
+    return _in_one_frame(events, names, mixed, custom)
+
+
 def scenario_results(
     events: DataFrame, as_of: str, names: Sequence[str] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """One row per scenario with the published metrics, without latencies."""
-    names = list(names or scenarios.SCENARIOS)
     keys = ["scenario", *by]
-    received = _received(events, as_of, names, keys)
-    sizes = events.groupBy(*by).agg(F.count("*").alias("source_rows"))
-    parts = [
-        proposed.metrics_of(received, by=keys).select(
+
+    def mixed(mixes: dict[str, scenarios.FaultMix]) -> DataFrame:
+        rows = deltas.contents(events, mixes, as_of, by)
+        parts = [
+            deltas.totals(rows, mixes, by),
+            deltas.ids(rows, mixes, by),
+            deltas.order_mismatches(deltas.arrivals(rows, events, mixes), mixes, by),
+            deltas.stored_by_minimal(events, mixes, by),
+        ]
+        row = _detected(combine(parts, keys))
+        rate = F.coalesce("order_mismatches", F.lit(0)).cast("double") / F.greatest(F.lit(1), "received").cast("double")
+        return row.select(
             *keys,
-            # The minimal flow stores whatever it receives.
-            F.col("ingested").alias("baseline_record_count"),
-            F.col("source_count").alias("proposed_source_count"),
-            F.col("stored_rows").alias("proposed_stored_rows"),
+            F.coalesce("record_count", F.lit(0)).alias("baseline_record_count"),
+            F.col("received").alias("proposed_source_count"),
+            F.col("kept").alias("proposed_stored_rows"),
             "proposed_detected_issues",
-            F.col("downstream_reconciliation").alias("proposed_reconciliation"),
-            F.col("out_of_order").alias("proposed_out_of_order_rate"),
-        ),
-        scenarios.source_per_scenario(sizes, names),
-    ]
-    # A scenario that leaves no row at all still reports zeros.
-    row = combine(parts, keys).fillna(
-        0,
-        ["baseline_record_count", "proposed_source_count", "proposed_stored_rows",
-         "proposed_detected_issues", "proposed_out_of_order_rate"],
-    )
+            F.when(F.col("received") > 0, F.col("rejected_keys") == 0).alias("proposed_reconciliation"),
+            rate.alias("proposed_out_of_order_rate"),
+            "source_rows",
+        )
+
+    def custom(others: list[str]) -> DataFrame:
+        received = _received(events, as_of, others, keys)
+        sizes = events.groupBy(*by).agg(F.count("*").alias("source_rows"))
+        minimal = baseline.metrics(baseline.transform(scenarios.injected(events, others), *keys), keys)
+        parts = [
+            proposed.metrics_of(received, by=keys).select(
+                *keys,
+                F.col("source_count").alias("proposed_source_count"),
+                F.col("stored_rows").alias("proposed_stored_rows"),
+                "proposed_detected_issues",
+                F.col("downstream_reconciliation").alias("proposed_reconciliation"),
+                F.col("out_of_order").alias("proposed_out_of_order_rate"),
+            ),
+            minimal.select(*keys, F.col("record_count").alias("baseline_record_count")),
+            scenarios.source_per_scenario(sizes, others),
+        ]
+        # A scenario that leaves no row at all still reports zeros.
+        return combine(parts, keys).fillna(
+            0,
+            ["baseline_record_count", "proposed_source_count", "proposed_stored_rows",
+             "proposed_detected_issues", "proposed_out_of_order_rate"],
+        )
+
+    row = _in_one_frame(events, names, mixed, custom)
     scored = scoring.published_scores(
         row, F.col("source_rows"), F.col("proposed_detected_issues"), F.col("proposed_stored_rows")
     )
     return scored.drop("source_rows")
 
 
+def _evaluated(events: DataFrame, mixes: dict[str, scenarios.FaultMix], as_of: str, by: Sequence[str]) -> DataFrame:
+    """One row per scenario and group with all that findings and truth are counted from."""
+    moved = deltas.arrivals(deltas.contents(events, mixes, as_of, by), events, mixes)
+    parts = [
+        deltas.totals(moved, mixes, by),
+        deltas.displaced(deltas.first_arrivals(moved, mixes, by), mixes, by),
+    ]
+    return combine(parts, ["scenario", *by])
+
+
 def true_matches(
     events: DataFrame, as_of: str, names: Sequence[str] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """True and false positives and false negatives per scenario, group and category."""
-    names = list(names or scenarios.SCENARIOS)
     keys = ["scenario", *by]
-    received = _received(events, as_of, names, keys)
-    sources = scenarios.source_per_scenario(events.select(*by, "event_id", "seq"), names)
-    found = scoring.findings_of(received, sources, keys)
-    injected = scoring.truth(received, scenarios.lost_rows(events, names, by), keys)
-    return scoring.matches(found, injected, keys)
+
+    def mixed(mixes: dict[str, scenarios.FaultMix]) -> DataFrame:
+        c = F.col
+        copies_found = c("copies") - c("first_copies")
+        moved_found = c("moved_failed") + c("displaced_moved")
+        # Surplus rows are all but the first arrival of an id; a lost id stands for its first row.
+        counts = {
+            CORRUPTION: [c(f"corrupt_{k}") for k in ("tp", "fp", "fn")],
+            SCHEMA_DRIFT: [c(f"drift_{k}") for k in ("tp", "fp", "fn")],
+            DUPLICATION: [copies_found, c("placed") - c("arrived_ids") - copies_found, c("first_copies")],
+            LOSS: [c("lost_ids"), F.lit(0), c("dropped") - c("lost_ids") + c("labelled_lost")],
+            INCONSISTENCY: [
+                moved_found,
+                c(TRANSFORMATION_FAILURES) - c("moved_failed") + c("displaced_unmoved"),
+                c("moved") - moved_found,
+            ],
+        }
+        sums = ("true_positives", "false_positives", "false_negatives")
+        entries = [
+            F.struct(F.lit(category).alias("category"), *[n.cast("bigint").alias(s) for s, n in zip(sums, ns)])
+            for category, ns in counts.items()
+        ]
+        rows = _evaluated(events, mixes, as_of, by).select(*keys, F.inline(F.array(*entries)))
+        return rows.filter(" OR ".join(f"{s} > 0" for s in sums))
+
+    def custom(others: list[str]) -> DataFrame:
+        received = _received(events, as_of, others, keys)
+        sources = scenarios.source_per_scenario(events.select(*by, "event_id", "seq"), others)
+        found = scoring.findings_of(received, sources, keys)
+        injected = scoring.truth(received, scenarios.lost_rows(events, others, by), keys)
+        return scoring.matches(found, injected, keys)
+
+    return _in_one_frame(events, names, mixed, custom)
+
+
+def found_by_category(
+    events: DataFrame, as_of: str, names: Sequence[str] | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Findings per scenario and category, one column each."""
+    keys = ["scenario", *by]
+
+    def mixed(mixes: dict[str, scenarios.FaultMix]) -> DataFrame:
+        c = F.col
+        found = {
+            CORRUPTION: c("corrupt_tp") + c("corrupt_fp"),
+            SCHEMA_DRIFT: c("drift_tp") + c("drift_fp"),
+            DUPLICATION: c("placed") - c("arrived_ids"),
+            LOSS: c("lost_ids"),
+            INCONSISTENCY: c(TRANSFORMATION_FAILURES) + c("displaced_ids"),
+        }
+        total = sum(found.values(), F.lit(0))
+        return (
+            _evaluated(events, mixes, as_of, by)
+            .where(total > 0)
+            .select(*keys, *[found[name].cast("bigint").alias(name) for name in CATEGORIES])
+        )
+
+    def custom(others: list[str]) -> DataFrame:
+        source = scenarios.source_per_scenario(events.select(*by, "event_id", "seq"), others)
+        return scoring.by_category(scoring.findings_of(_received(events, as_of, others, keys), source, keys), keys)
+
+    return _in_one_frame(events, names, mixed, custom)
 
 
 def true_scores(
@@ -90,38 +237,78 @@ def _one(events: DataFrame) -> DataFrame:
 def stage_checks(
     events: DataFrame, as_of: str, names: Sequence[str] | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Findings per check of the checked flow: five stages, ten checks, real counts."""
-    names = list(names or scenarios.SCENARIOS)
+    """Findings per check of the checked flow: five stages, ten checks, real counts.
+
+    ``assertion_check`` counts stored rows whose tax is not that of the amount before the faults,
+    ``downstream_validation`` ids missing, unexpected or of another rank than in the source, and ``consistency_check``
+    customers of the source without a stored event and the reverse. Scenarios that are no fault mixes cannot tell the
+    amount before, so there the first counts transformation failures.
+    """
     keys = ["scenario", *by]
-    received = _received(events, as_of, names, keys)
-    source = events.select(*by, "event_id", "seq", "event_time", checks.payload_word().alias("payload_word"))
-    sources = scenarios.source_per_scenario(source, names)
-    stored_print = _fingerprint(received.filter(F.col("outcome") == STORED), keys, "stored_fingerprint")
-    source_print = _fingerprint(source, by, "source_fingerprint")
-    parts = [
-        proposed.metrics_of(received, sources, keys),
-        stored_print,
-        scenarios.source_per_scenario(source_print, names),
-    ]
-    row = combine(parts, keys)
-    per_check = {
-        "schema_validation": F.col("invalid_schema"),
-        "null_check": F.col("nulls"),
-        "duplicate_detection": F.col("duplicate_rows"),
-        "checksum_validate": F.col("checksum_mismatch_rows"),
-        "assertion_check": F.col("transformation_failures"),
-        "type_validation": F.col("type_mismatches") + F.col("malformed"),
-        "row_count_check": F.abs(F.col("compared_source_rows") - F.col("stored")),
-        "checksum_reconcile": (~F.col("stored_fingerprint").eqNullSafe(F.col("source_fingerprint"))).cast("bigint"),
-        "downstream_validation": F.col("missing_ids") + F.col("order_mismatches"),
-        "consistency_check": F.col("unexpected_ids"),
-    }
+
+    def mixed(mixes: dict[str, scenarios.FaultMix]) -> DataFrame:
+        rows = deltas.contents(events, mixes, as_of, by)
+        moved = deltas.arrivals(rows, events, mixes)
+        customers = deltas.ids(rows, mixes, by, "customer_id").select(
+            *keys, (F.col("missing_keys") + F.col("unexpected_keys")).alias("consistency_check")
+        )
+        parts = [
+            deltas.totals(rows, mixes, by, prints=True),
+            deltas.ids(rows, mixes, by),
+            customers,
+            deltas.displaced(deltas.first_arrivals(moved, mixes, by, stored_only=True), mixes, by, stored_only=True),
+        ]
+        return combine(parts, keys).select(
+            *keys,
+            F.col(INVALID_SCHEMA).alias("schema_validation"),
+            F.col(NULLS).alias("null_check"),
+            (F.col("kept") - F.col("kept_keys")).alias("duplicate_detection"),
+            F.col("checksum_mismatch_rows").alias("checksum_validate"),
+            F.col("wrong_tax").alias("assertion_check"),
+            (F.col(TYPE_MISMATCHES) + F.col(MALFORMED)).alias("type_validation"),
+            F.abs(F.col("source_rows") - F.col("kept")).alias("row_count_check"),
+            (~F.col("stored_print").eqNullSafe(F.col("source_print"))).cast("bigint").alias("checksum_reconcile"),
+            (F.col("missing_keys") + F.col("unexpected_keys") + F.col("displaced_ids")).alias("downstream_validation"),
+            "consistency_check",
+        )
+
+    def custom(others: list[str]) -> DataFrame:
+        received = facts(annotate(scenarios.injected(events, others), as_of), [*keys, "customer_id"])
+        kept = received.filter(F.col("outcome") == STORED)
+        source = events.select(*by, "event_id", "seq", "event_time", "customer_id", checks.payload_word().alias("payload_word"))
+        sources = scenarios.source_per_scenario(source, others)
+        moved = scoring.displaced(scoring.key_facts(kept, sources, keys), keys)
+        parts = [
+            proposed.metrics_of(received, sources, keys),
+            _fingerprint(kept, keys, "stored_fingerprint"),
+            scenarios.source_per_scenario(_fingerprint(source, by, "source_fingerprint"), others),
+            moved.groupBy(*keys).agg(F.count("*").alias("displaced_ids")),
+            reconcile_keys(sources, kept, ["customer_id"], keys).select(
+                *keys, (F.col("missing") + F.col("unexpected")).alias("customers")
+            ),
+        ]
+        number = lambda name: F.coalesce(name, F.lit(0))
+        return combine(parts, keys).select(
+            *keys,
+            number("invalid_schema").alias("schema_validation"),
+            number("nulls").alias("null_check"),
+            number("duplicate_rows").alias("duplicate_detection"),
+            number("checksum_mismatch_rows").alias("checksum_validate"),
+            number("transformation_failures").alias("assertion_check"),
+            (number("type_mismatches") + number("malformed")).alias("type_validation"),
+            F.abs(number("compared_source_rows") - number("stored")).alias("row_count_check"),
+            (~F.col("stored_fingerprint").eqNullSafe(F.col("source_fingerprint"))).cast("bigint").alias("checksum_reconcile"),
+            (number("missing_ids") + number("unexpected_ids") + number("displaced_ids")).alias("downstream_validation"),
+            number("customers").alias("consistency_check"),
+        )
+
+    row = _in_one_frame(events, names, mixed, custom)
     entries = [
         F.struct(
             F.lit(stage).alias("stage_name"),
             F.lit(check).alias("check_name"),
             F.lit(",".join(issues)).alias("issue_type"),
-            F.coalesce(per_check[check], F.lit(0)).alias("findings_count"),
+            F.coalesce(F.col(check), F.lit(0)).cast("bigint").alias("findings_count"),
         )
         for stage, stage_checks_, issues in PROPOSED_FLOW
         for check in stage_checks_

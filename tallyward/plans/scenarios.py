@@ -89,7 +89,8 @@ def _rate_column(mixes: dict[str, FaultMix], fault: str) -> Column:
     return rate
 
 
-def _split(names: Sequence[str]) -> tuple[dict[str, FaultMix], dict[str, CustomScenario]]:
+def split(names: Sequence[str]) -> tuple[dict[str, FaultMix], dict[str, CustomScenario]]:
+    """The fault mixes and the other scenarios among the named ones."""
     chosen = {n: scenario(n) for n in names}
     return (
         {n: s for n, s in chosen.items() if isinstance(s, FaultMix)},
@@ -103,7 +104,7 @@ def injected(events: DataFrame, names: Sequence[str]) -> DataFrame:
     All fault mixes share one plan: each row is fanned out to the scenarios and the
     rates are columns. So seven scenarios cost the scans of one, not of seven.
     """
-    mixes, custom = _split(names)
+    mixes, custom = split(names)
     parts = []
     if mixes:
         rates = {
@@ -119,7 +120,7 @@ def injected(events: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def lost_rows(events: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(scenario, by, event_id, seq) of the rows each scenario took away."""
-    mixes, custom = _split(names)
+    mixes, custom = split(names)
     keys = [*by, "event_id", "seq"]
     parts = []
     if mixes:

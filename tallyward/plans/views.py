@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that gives fewer partitions than there are cores, such as a file of one row group, dealt evenly.
+
+    A scan that already gives enough partitions is left as it is. Only the layout of the rows changes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def order_events(orders: DataFrame, *extra: str) -> DataFrame:
     """Raw order events, one per order; ``extra`` columns are carried along in front."""
     status = (

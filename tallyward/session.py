@@ -15,6 +15,8 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Call sites in error messages cost several round trips for each column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
