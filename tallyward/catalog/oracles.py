@@ -553,6 +553,15 @@ def _sources(out: dict[str, str]) -> None:
     )
 
 
+def _formats(out: dict[str, str]) -> None:
+    text = "' says \"hi\",' || chr(10) || 'then' || chr(10) || chr(10) || 'leaves'"
+    out["parsed_formats"] = f"""SELECT format, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS keys,
+            CAST(sum(length(c_name) + CASE WHEN c_custkey % 3 = 0 THEN length({text}) ELSE 0 END) AS BIGINT) AS characters,
+            count_if(c_custkey % 3 = 0) AS quoted, CAST(sum(CAST(c_acctbal AS DECIMAL(12,2))) AS DOUBLE) AS balance,
+            count(*) AS total_rows, CASE format WHEN 'ndjson' THEN count_if(c_custkey % 7 = 0) ELSE 0 END AS malformed_lines
+        FROM customer, (SELECT unnest(['csv', 'tsv', 'json', 'ndjson']) AS format) GROUP BY format"""
+
+
 def _faults(out: dict[str, str]) -> None:
     w = With()
     src = generated(w)
@@ -746,6 +755,46 @@ def _reconcile(out: dict[str, str]) -> None:
     )
     out["missing_ids"] = f"""SELECT id FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS id)
         WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE NOT {sampled('drop', 'o_orderkey', 0.2)})"""
+    out["missing_intervals"] = f"""WITH ids AS (SELECT o_orderkey AS id FROM orders WHERE NOT {sampled('drop', 'o_orderkey', 0.2)}
+            UNION ALL SELECT -1 UNION ALL SELECT max(o_orderkey) + 5 FROM orders),
+        steps AS (SELECT id, lag(id) OVER (ORDER BY id) AS before FROM ids)
+        SELECT before + 1 AS first, id - 1 AS last, id - before - 1 AS ids FROM steps WHERE id - before > 1"""
+    w = With()
+    src = events(w)
+    w.add(
+        "tampered",
+        f"""SELECT * REPLACE (CASE WHEN {sampled('changed', 'seq', 0.002)} THEN '1.00' ELSE amount END AS amount,
+            CASE WHEN {sampled('renamed', 'seq', 0.001)} THEN event_id || 'x' ELSE event_id END AS event_id)
+        FROM (SELECT * FROM {src} UNION ALL SELECT * FROM {src} WHERE {sampled('again', 'seq', 0.001)})
+        WHERE NOT {sampled('gone', 'seq', 0.002)}""",
+    )
+    row = "event_id, customer_id, amount, event_time, status"
+    w.add(
+        "both_sides",
+        f"""SELECT event_id, max(s <> t) AS differ, sum(s) AS source_rows, sum(t) AS target_rows FROM (
+            SELECT {row}, count_if(side = 's') AS s, count_if(side = 't') AS t FROM (
+                SELECT {row}, 's' AS side FROM {src} UNION ALL SELECT {row}, 't' FROM tampered) GROUP BY {row})
+        GROUP BY event_id""",
+    )
+    out["digest_differences"] = w.select(
+        """SELECT event_id, CASE WHEN target_rows = 0 THEN 'missing' WHEN source_rows = 0 THEN 'unexpected' ELSE 'changed' END
+            AS status, CAST(source_rows AS BIGINT) AS source_rows, CAST(target_rows AS BIGINT) AS target_rows
+        FROM both_sides WHERE differ"""
+    )
+    out["sketch_differences"] = f"""WITH got AS (
+            SELECT CASE WHEN {sampled('renamed', 'o_orderkey', 0.001)} THEN -o_orderkey - 1 ELSE o_orderkey END AS id FROM orders
+            WHERE NOT {sampled('gone', 'o_orderkey', 0.002)})
+        SELECT o_orderkey AS id, 'missing' AS side FROM orders WHERE o_orderkey NOT IN (SELECT id FROM got)
+        UNION ALL SELECT id, 'unexpected' FROM got WHERE id NOT IN (SELECT o_orderkey FROM orders)"""
+    w = With()
+    moved = inject(w, "out_of_order", events(w))
+    out["arrival_inversions"] = w.select(
+        f"""SELECT customer_id, rows, coalesce(pairs, 0) AS inversions FROM (
+            SELECT customer_id, count(*) AS rows FROM {moved} GROUP BY customer_id) LEFT JOIN (
+            SELECT a.customer_id, count(*) AS pairs FROM {moved} a JOIN {moved} b
+            ON a.customer_id = b.customer_id AND a.seq < b.seq AND a.event_time > b.event_time GROUP BY a.customer_id)
+        USING (customer_id)"""
+    )
     w = With()
     src = events(w)
     ann = annotated(w, inject(w, "schema_drift"))
@@ -1015,6 +1064,7 @@ def _analytics(out: dict[str, str]) -> None:
 
 def all_oracles() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (_sources, _faults, _row_checks, _integrity, _reconcile, _flows, _evaluation, _analytics):
+    for part in (_sources, _formats, _faults, _row_checks, _integrity, _reconcile, _flows, _evaluation, _analytics):
         part(out)
+    out["deleted_by_log"] = out["delete_cascade"]
     return out

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions import digests
-from tallyward.operators import checks, faults, generate, integrity, reconcile
+from tallyward.operators import checks, digest_tree, faults, generate, integrity, key_sketch, reconcile
 from tallyward.operators.checks import STORED, annotate
 from tallyward.plans import ab, baseline, experiments, proposed, reports, scenarios
 from tallyward.plans.combine import combine
 from tallyward.plans.views import ab_view, order_events, spread, table
 from tallyward.session import checkpoint_root
-from tallyward.sources import readers, sinks, warehouse
+from tallyward.sources import readers, results, sinks
 from tallyward.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +126,38 @@ def stored_row_count(spark, sf):
     return row.withColumn("row_count_mismatch", F.col("stored_rows") != F.col("offered_rows"))
 
 
+@query
+def parsed_formats(spark, sf):
+    """Customers written as CSV with line breaks in quotes, TSV, JSON arrays and NDJSON with bad lines, and read again."""
+    note = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit(' says "hi",\nthen\n\nleaves'))).otherwise(F.col("c_name"))
+    rows = table(spark, sf, "customer").select("c_custkey", note.alias("note"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
+    root = f"{checkpoint_root(spark)}/tallyward-formats-{uuid.uuid4().hex}"
+    quoted = {"header": True, "escape": '"', "quoteAll": True}
+    rows.write.options(**quoted).csv(f"{root}/csv")
+    flat = rows.withColumn("note", F.replace("note", F.lit("\n"), F.lit(" ")))
+    flat.write.options(**quoted, sep="\t").csv(f"{root}/tsv")
+    arrays = rows.groupBy(F.shiftright("c_custkey", 10)).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/json")
+    bad = F.when(F.col("c_custkey") % 7 == 0, F.array(F.lit('{"c_custkey": '), F.lit(" "))).otherwise(F.array().cast("array<string>"))
+    lines = rows.select(F.explode(F.concat(F.array(F.to_json(F.struct("*"))), bad)).alias("value"))
+    lines.write.text(f"{root}/ndjson")
+    out = None
+    for fmt in ("csv", "tsv", "json", "ndjson"):
+        options = {"quotedLineBreaks": True} if fmt == "csv" else {}
+        got = readers.read_dataset(spark, f"{root}/{fmt}", fmt, **options)
+        read = got.df.agg(
+            F.lit(fmt).alias("format"),
+            F.count("*").alias("rows"),
+            F.sum("c_custkey").alias("keys"),
+            F.sum(F.length("note")).alias("characters"),
+            F.count_if(F.col("note").contains('"hi",')).alias("quoted"),
+            F.sum(F.col("balance").cast("decimal(12,2)")).cast("double").alias("balance"),
+        )
+        one = combine([read, got.accounting.select(F.lit(fmt).alias("format"), "total_rows", "malformed_lines")], ["format"])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- Generation and faults ------------------------------------------------------
 
 
@@ -453,7 +485,60 @@ def reconcile_ids(spark, sf):
 def missing_ids(spark, sf):
     records = _ab(spark, sf)
     left = records.filter(~digests.sampled("drop", F.col("id"), 0.2))
-    return reconcile.missing_ids(left, records.count())
+    return reconcile.missing_ids(left, records.agg(F.count("*")).scalar())
+
+
+@query
+def missing_intervals(spark, sf):
+    """Order keys up to the highest that no order has, after some are lost."""
+    keys = _orders(spark, sf).select(F.col("o_orderkey").alias("id"))
+    left = keys.filter(~digests.sampled("drop", F.col("id"), 0.2))
+    return reconcile.missing_intervals(left, keys.agg(F.max("id") + 5).scalar())
+
+
+def _tampered_events(events: DataFrame) -> DataFrame:
+    """A few amounts changed, a few rows lost, sent twice or under another id."""
+    seq = F.col("seq")
+    twice = F.when(digests.sampled("again", seq, 0.001), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return (
+        events.filter(~digests.sampled("gone", seq, 0.002))
+        .withColumn("_copy", F.explode(twice))
+        .withColumns(
+            {
+                "amount": F.when(digests.sampled("changed", seq, 0.002), F.lit("1.00")).otherwise(F.col("amount")),
+                "event_id": F.when(digests.sampled("renamed", seq, 0.001), F.concat("event_id", F.lit("x"))).otherwise(
+                    F.col("event_id")
+                ),
+            }
+        )
+        .drop("_copy")
+    )
+
+
+@query
+def digest_differences(spark, sf):
+    """Keys that differ between the events and a copy in which a few were tampered with."""
+    events = _events(spark, sf)
+    columns = ["customer_id", "amount", "event_time", "status"]
+    return digest_tree.differing_keys(events, _tampered_events(events), ["event_id"], columns)
+
+
+@query
+def sketch_differences(spark, sf):
+    """Order keys that only the orders or only the received ones have, from sketches of both."""
+    orders = _orders(spark, sf).select(F.col("o_orderkey").alias("id"))
+    moved = F.when(digests.sampled("renamed", F.col("id"), 0.001), -F.col("id") - 1).otherwise(F.col("id"))
+    received = orders.filter(~digests.sampled("gone", F.col("id"), 0.002)).select(moved.alias("id"))
+    again = received.filter(digests.sampled("again", F.col("id"), 0.002))
+    return key_sketch.differing_ids(orders, received.unionByName(again), "id")
+
+
+@query
+def arrival_inversions(spark, sf):
+    """Inverted pairs of events per customer after swaps."""
+    events = faults.inject_out_of_order(_events(spark, sf), 0.2)
+    timed = events.withColumn("second", F.unix_seconds(F.to_timestamp("event_time")))
+    return reconcile.inversions(timed, "second", by=["customer_id"])
 
 
 @query
@@ -618,13 +703,17 @@ def _run_id() -> Column:
 
 
 def _stored(build: Query) -> Query:
-    """Results as a run leaves them: written once for a session and a data folder, and read from then on.
+    """Results as a run leaves them: written once for a session and the files of the orders, and read from then on.
 
-    They lie under ``spark.checkpoint.dir``, to be emptied when the application has ended.
+    They lie under ``spark.checkpoint.dir``, to be emptied when the application has ended. Files that are replaced have
+    another time or size, so their results are computed anew.
     """
 
     def read(spark: SparkSession, sf: str) -> DataFrame:
-        folder = uuid.uuid5(uuid.NAMESPACE_URL, sf).hex
+        about = F.concat_ws("|", "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        files = _orders(spark, sf).select(about.alias("file")).distinct()
+        read_from = files.agg(F.md5(F.array_join(F.sort_array(F.collect_list("file")), ","))).first()[0]
+        folder = uuid.uuid5(uuid.NAMESPACE_URL, f"{sf}|{read_from}").hex
         app = spark.sparkContext.applicationId
         path = f"{checkpoint_root(spark)}/tallyward-results/{app}/{build.__name__}-{folder}"
         try:
@@ -715,7 +804,7 @@ def scenario_series(spark, sf):
 
 @query
 def table_counts(spark, sf):
-    return warehouse.table_counts(
+    return results.table_counts(
         {
             "datasets": _orders(spark, sf).select("o_orderpriority").distinct(),
             "experiment_runs": _runs(spark, sf),
@@ -730,15 +819,26 @@ def delete_cascade(spark, sf):
     """Rows left in each table once the runs of the mixed scenario are deleted."""
     runs = _runs(spark, sf)
     gone = runs.filter(F.col("scenario_name") == "mixed").select("id")
-    return warehouse.table_counts(
+    return results.table_counts(
         {
-            "experiment_runs": warehouse.without_runs(runs, gone, "id"),
-            "pipeline_results": warehouse.without_runs(_results(spark, sf), gone, "experiment_run_id"),
-            "stage_checks": warehouse.without_runs(_checks(spark, sf), gone, "experiment_run_id"),
+            "experiment_runs": results.without_runs(runs, gone, "id"),
+            "pipeline_results": results.without_runs(_results(spark, sf), gone, "experiment_run_id"),
+            "stage_checks": results.without_runs(_checks(spark, sf), gone, "experiment_run_id"),
         }
     )
 
 
+@query
+def deleted_by_log(spark, sf):
+    """:func:`delete_cascade` in stored tables, by one append to the log of deletions."""
+    house = results.Results(spark, f"{checkpoint_root(spark)}/tallyward-log-{uuid.uuid4().hex}")
+    runs = _runs(spark, sf)
+    for name, rows in (("experiment_runs", runs), ("pipeline_results", _results(spark, sf)), ("stage_checks", _checks(spark, sf))):
+        house.append(name, rows)
+    house.delete_runs(runs.filter(F.col("scenario_name") == "mixed").select("id"))
+    return house.table_counts().filter(F.col("table") != "datasets")
+
+
 @query
 def report_export_rows(spark, sf):
     return sinks.report_rows(reports.experiment_list(_runs(spark, sf), _results(spark, sf)))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tallyward.operators.ordering import BLOCK_BITS, SUPER_BITS, dense_position
+from tallyward.operators.ordering import BLOCK_BITS, SUPER_BITS, dense_position, dense_positions
 
 
 def side_counts(
@@ -40,10 +40,42 @@ def reconcile_keys(
     )
 
 
-def missing_ids(df: DataFrame, expected: int, id_col: str = "id") -> DataFrame:
-    """Expected ids 0..n-1 that are absent."""
-    ids = df.select(F.col(id_col).cast("bigint").alias("id")).distinct()
-    return df.sparkSession.range(expected).join(ids, "id", "left_anti")
+def missing_intervals(df: DataFrame, expected: Column, id_col: str = "id") -> DataFrame:
+    """Runs of expected ids 0..n-1 that are absent: (first, last, ids).
+
+    Gaps are looked for between neighbours inside blocks of ids, and then between the ends of blocks on three larger
+    levels, so no window holds more than 2^18 rows and the expected ids are never written out. ``expected`` is a literal
+    or a scalar subquery. Null ids and those outside the range do not count.
+    """
+    ids = df.select(F.col(id_col).cast("bigint").alias("_first")).filter((F.col("_first") >= 0) & (F.col("_first") < expected))
+    # The range is bounded by two ids that are there.
+    one = df.sparkSession.range(1)
+    ids = ids.unionByName(one.select(F.lit(-1).cast("bigint").alias("_first"))).unionByName(
+        one.select(expected.cast("bigint").alias("_first"))
+    )
+    found: list[DataFrame] = []
+    parts = ids.distinct().withColumn("_last", F.col("_first"))
+    for bits in (BLOCK_BITS, BLOCK_BITS + SUPER_BITS, BLOCK_BITS + 2 * SUPER_BITS, 63):
+        block = F.shiftright("_first", bits)
+        inside = Window.partitionBy("_block").orderBy("_first")
+        placed = parts.withColumn("_block", block).withColumn("_before", F.lag("_last").over(inside))
+        found.append(placed.filter(F.col("_first") - F.col("_before") > 1))
+        parts = placed.groupBy("_block").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    # The last level holds two blocks at most: -1 alone, and all else.
+    ends = parts.withColumn("_before", F.lag("_last").over(Window.orderBy("_first"))).filter("_first - _before > 1")
+    out = None
+    for gaps in (*found, ends):
+        rows = gaps.select((F.col("_before") + 1).alias("first"), (F.col("_first") - 1).alias("last"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumn("ids", F.col("last") - F.col("first") + 1)
+
+
+def missing_ids(df: DataFrame, expected: Column, id_col: str = "id") -> DataFrame:
+    """Expected ids 0..n-1 that are absent, one row each, written out from their intervals in runs of 4,096."""
+    step = F.lit(1 << 12).cast("bigint")
+    runs = missing_intervals(df, expected, id_col).select("last", F.explode(F.sequence("first", "last", step)).alias("_from"))
+    upto = F.least(F.col("last"), F.col("_from") + step - 1)
+    return runs.select(F.explode(F.sequence(F.col("_from"), upto)).alias("id"))
 
 
 def missing_id_count(df: DataFrame, expected: Column, id_col: str = "id") -> DataFrame:
@@ -146,6 +178,36 @@ def _over_seams(parts: DataFrame, order: WindowSpec, keys: Sequence[str], place:
     )
 
 
+def inversions(df: DataFrame, value: str, order: str = "seq", by: Sequence[str] = ()) -> DataFrame:
+    """How disordered the rows are: pairs whose earlier row has the greater value, exactly, per group.
+
+    Values are integers, and replaced by their ranks; an inverted pair is one whose ranks first differ, from the highest bit down, in a
+    bit that the earlier row has and the later has not. So for each bit, among rows that agree in the bits above it, the
+    rows with the bit before each row without it are counted, as the difference of two positions. All bits are counted in
+    one pass of block-wise prefix sums: rows times bits are shuffled, and no window holds more than 2^18 of them. Equal
+    values are not inverted; rows without a value or an order value have no place.
+    """
+    there = F.col(order).isNotNull() & F.col(value).isNotNull()
+    placed = df.filter(there).select(*by, F.col(order).alias("_order"), F.col(value).cast("bigint").alias("_value"))
+    values = placed.select(*by, "_value").distinct()
+    ranked = placed.join(dense_positions(values, {"_rank": "true"}, "_value", by), [*by, "_value"])
+    # No rank has more bits than the number of different values.
+    bits = F.sequence(F.lit(0), F.floor(F.log2(values.agg(F.count("*")).scalar() + 1)).cast("int"))
+    level = ranked.select(*by, "_order", "_rank", F.explode(bits).alias("_bit")).select(
+        *by,
+        "_order",
+        "_bit",
+        F.expr("_rank >> (_bit + 1)").alias("_group"),
+        F.expr("(_rank >> _bit) & 1").alias("_one"),
+    )
+    counted = dense_positions(level, {"_all": "true", "_zeros": "_one = 0"}, "_order", [*by, "_bit", "_group"])
+    pairs = F.coalesce(F.sum(F.when(F.col("_one") == 0, F.col("_all") - F.col("_zeros"))), F.lit(0))
+    per_group = counted.groupBy(*by).agg(pairs.alias("inversions"))
+    rows = df.groupBy(*by).agg(F.count_if(there).alias("rows"))
+    joined = rows.unionByName(per_group, allowMissingColumns=True).groupBy(*by)
+    return joined.agg(F.max("rows").alias("rows"), F.coalesce(F.max("inversions"), F.lit(0)).alias("inversions"))
+
+
 def referential_check(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str) -> DataFrame:
     """One row: parents without children and child rows without a parent."""
     counts = side_counts(

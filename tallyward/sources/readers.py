@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions.scalars import sanitize
+from tallyward.sources.delimited import read_quoted
 
 # File extensions and the formats they stand for.
 FORMATS = ("csv", "tsv", "json", "ndjson", "parquet")
@@ -27,6 +28,7 @@ class ReadResult:
     schema: dict[str, str]
     accounting: DataFrame
     options: dict[str, object] = field(default_factory=dict)
+    declared: T.StructType | None = None
 
 
 def detect_format(name: str) -> str | None:
@@ -44,9 +46,10 @@ def read_dataset(
 ) -> ReadResult:
     """Read a file or folder. Options go to Spark's reader; all rows are read.
 
-    CSV and TSV files are split across tasks; pass ``multiLine=True`` for files with line
-    breaks inside quotes, which Spark then reads one task per file. Their lines with too many or too few fields, or with
-    values that do not fit the schema, stay in the rows as far as they can be read, and are counted as malformed.
+    CSV and TSV files are split across tasks. For files with line breaks inside quotes pass ``quotedLineBreaks=True``,
+    which keeps them split, or ``multiLine=True``, which makes Spark read each file in one task. Lines with too many or too
+    few fields, or with values that do not fit the schema, stay in the rows as far as they can be read, and are counted as
+    malformed. A JSON document that is no array of objects or object is counted as malformed and gives no row.
     """
     fmt = (fmt or detect_format(path) or "").lower()
     if fmt not in FORMATS:
@@ -61,7 +64,7 @@ def read_dataset(
         reader = spark.read.options(**options)
         rows = (reader.schema(schema) if schema else reader).parquet(path)
         counts = _counts(rows)
-    return ReadResult(rows, dict(rows.dtypes), account(counts), options)
+    return ReadResult(rows, dict(rows.dtypes), account(counts), options, schema)
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -90,6 +93,14 @@ def account(counts: DataFrame) -> DataFrame:
 def _read_delimited(spark, path, sep, schema, options):
     # A quote inside a quoted field is written twice.
     opts = {"header": True, "sep": sep, "escape": '"'} | options
+    if str(opts.pop("quotedLineBreaks", False)).lower() == "true":
+        rows, malformed, parsed = read_quoted(spark, path, opts, schema, BAD_LINE)
+        bad = F.count_if(malformed).alias("malformed_lines")
+        return rows, parsed.agg(F.count("*").alias("valid_rows"), F.lit(0).cast("bigint").alias("blank_lines"), bad)
+    blank = F.lit(0).cast("bigint")
+    if str(opts.get("multiLine", False)).lower() != "true":
+        # Blank lines are skipped by the parser, so they are counted in the text.
+        blank = spark.read.text(path).agg(F.count_if(F.trim("value") == "")).scalar()
     reader = spark.read.options(**opts)
     rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
     if not rows.columns:
@@ -101,18 +112,26 @@ def _read_delimited(spark, path, sep, schema, options):
     beside = F.coalesce(F.length(F.col(f"`{rows.columns[0]}`").cast("string")), F.lit(0)) >= 0
     return rows, lines.agg(
         F.count("*").alias("valid_rows"),
-        F.lit(0).cast("bigint").alias("blank_lines"),
+        F.first(blank).alias("blank_lines"),
         F.count_if(F.col(BAD_LINE).isNotNull() & beside).alias("malformed_lines"),
     )
 
 
 def _read_json(spark, path, schema, options):
-    """An array of objects or a single object."""
-    reader = spark.read.options(**({"multiLine": True, "columnNameOfCorruptRecord": BAD_LINE} | options))
-    rows = (reader.schema(schema) if schema else reader).json(path)
-    if rows.columns == [BAD_LINE] or not rows.columns:
+    """Files that each hold an array of objects or a single object; a file that holds neither is malformed."""
+    opts = {"multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE} | options
+    found = schema or spark.read.options(**opts).json(path).schema
+    fields = [f for f in found.fields if f.name != BAD_LINE]
+    if not fields:
         raise ValueError(f"{path!r} must hold an array of objects or a single object")
-    return rows, _counts(rows)
+    full = T.StructType([*fields, T.StructField(BAD_LINE, T.StringType())])
+    lines = spark.read.options(**opts).schema(full).json(path)
+    # The text of a bad document cannot be read without a data column beside it.
+    beside = F.coalesce(F.length(F.to_json(F.struct(f"`{fields[0].name}`"))), F.lit(0)) >= 0
+    bad = F.col(BAD_LINE).isNotNull() & beside
+    return lines.filter(~bad).select(*[f"`{f.name}`" for f in fields]), lines.agg(
+        F.count_if(~bad).alias("valid_rows"), F.lit(0).cast("bigint").alias("blank_lines"), F.count_if(bad).alias("malformed_lines")
+    )
 
 
 def _read_ndjson(spark, path, schema, options):
@@ -152,11 +171,6 @@ def bad_json(line, schema: T.StructType):
     return parsed.isNull() | parsed.getField(BAD_LINE).isNotNull()
 
 
-def read_full(spark: SparkSession, path: str, fmt: str | None = None, **options: object) -> ReadResult:
-    """Read again, all of it."""
-    return read_dataset(spark, path, fmt, **options)
-
-
 def preview(df: DataFrame, rows: int = PREVIEW_ROWS, order: str | None = None) -> DataFrame:
     """First rows with NaN and infinities as null; with ``order``, the first in that order."""
     clean = sanitize(df)

@@ -219,7 +219,7 @@ def test_fingerprint_sees_copies(spark):
 
 def test_missing_ids(spark):
     rows = spark.createDataFrame([(0,), (2,), (2,), (-1,), (9,)], "id long")
-    assert sorted(r.id for r in reconcile.missing_ids(rows, 4).collect()) == [1, 3]
+    assert sorted(r.id for r in reconcile.missing_ids(rows, F.lit(4)).collect()) == [1, 3]
     assert reconcile.missing_id_count(rows, F.lit(4)).first().missing == 2
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from tallyward.operators import generate
 from tallyward.plans import experiments, reports
-from tallyward.sources import readers, sinks
-from tallyward.sources.warehouse import Warehouse
+from tallyward.sources import delimited, readers, sinks
+from tallyward.sources.results import Results
 
 CSV = "order_id,customer_id,amount,date\n1,c1,10.5,2024-01-01\n2,c2,20.0,2024-01-02\n3,c1,,2024-01-03\n"
 
@@ -54,6 +54,63 @@ def test_csv_line_break_in_quotes(spark, tmp_path):
     assert got.df.count() == 2 and _account(got)["total_rows"] == 2
 
 
+def _quoted_file(n, crlf=False):
+    lines = ["id,note,x"]
+    for i in range(n):
+        note = {0: "plain", 1: '"two\nlines"', 2: '"a ""b"",\n\n\nc"', 3: '"' + "long\n" * 40 + '"', 4: ""}[i % 5]
+        lines.append(f"{i},{note},{i / 2}")
+    return "\n".join(lines) + "\n"
+
+
+def test_quoted_line_breaks_in_many_tasks(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "q"
+    folder.mkdir()
+    for k, n in enumerate((700, 3, 250)):
+        (folder / f"{k}.csv").write_text(_quoted_file(n))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in old:
+            spark.conf.set(c, "1500")
+        got = readers.read_dataset(spark, str(folder), "csv", quotedLineBreaks=True)
+        assert delimited.record_texts(spark, str(folder)).select("_split").distinct().count() > 10
+        want = readers.read_dataset(spark, str(folder), "csv", multiLine=True)
+        key = lambda r: (r.id, str(r.note))
+        assert sorted(got.df.collect(), key=key) == sorted(want.df.collect(), key=key)
+        assert got.schema == want.schema == {"id": "int", "note": "string", "x": "double"}
+        assert _account(got)["total_rows"] == 953 and _account(got)["malformed_lines"] == 0
+        assert got.df.filter("note = 'a \"b\",\n\n\nc'").count() > 100
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_quoted_line_breaks_odd_files(spark, tmp_path):
+    read = lambda text, **o: readers.read_dataset(spark, _write(tmp_path / f"f{abs(hash(text))}.csv", text), quotedLineBreaks=True, **o)
+    bad = read('id,b\n1,"x\ny"\n2,3,4\n5\n"6",z\n')
+    assert _account(bad)["malformed_lines"] == 2 and sorted(r.id for r in bad.df.collect()) == [1, 2, 5, 6]
+    assert [tuple(r) for r in read('a;"b;c"\n1;"p\nq"\n', sep=";").df.collect()] == [(1, "p\nq")]
+    assert read('a;"b;c"\n1;2\n', sep=";").df.columns == ["a", "b;c"]
+    assert read("a,b\n").df.count() == 0 and read("").df.columns == []
+    typed = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.LongType())])
+    assert [tuple(r) for r in read('a,b\n1,"2"\n', schema=typed).df.collect()] == [("1", 2)]
+    assert read('1,"x\ny"\n2,z\n', header=False).df.columns == ["_c0", "_c1"]
+
+
+def test_json_documents_that_are_none_are_counted(spark, tmp_path):
+    folder = tmp_path / "j"
+    folder.mkdir()
+    for name, text in (("a", '[{"id": 1}, {"id": 2}]'), ("b", '{"id": 3}'), ("c", '{"id": '), ("d", '[{"id": 4}]')):
+        (folder / f"{name}.json").write_text(text)
+    got = readers.read_dataset(spark, str(folder), "json")
+    assert sorted(r.id for r in got.df.collect()) == [1, 2, 3, 4] and got.df.columns == ["id"]
+    assert _account(got)["malformed_lines"] == 1 and _account(got)["total_rows"] == 4
+
+
+def test_blank_lines_of_delimited_files_are_counted(spark, tmp_path):
+    got = readers.read_dataset(spark, _write(tmp_path / "b.csv", "a,b\n1,2\n\n  \n3,4\n"))
+    assert _account(got)["blank_lines"] == 2 and got.df.count() == 2
+
+
 def test_json_shapes(spark, tmp_path):
     array = _write(tmp_path / "a.json", json.dumps([{"id": 1}, {"id": 2}]))
     single = _write(tmp_path / "b.json", json.dumps({"id": 1, "x": None}))
@@ -116,7 +173,7 @@ def test_parquet_round_trip(spark, tmp_path):
 
 
 def test_registry(spark, tmp_path):
-    house = Warehouse(spark, str(tmp_path / "house"))
+    house = Results(spark, str(tmp_path / "house"))
     path = _write(tmp_path / "a.csv", CSV)
     scanned = readers.read_dataset(spark, path)
     outdated = scanned.accounting.withColumn("rows_processed", F.lit(1).cast("bigint"))
@@ -134,8 +191,37 @@ def test_registry(spark, tmp_path):
         house.rescan_dataset(99)
 
 
+def test_a_dataset_is_read_again_in_the_same_way(spark, tmp_path):
+    house = Results(spark, str(tmp_path / "house"))
+    path = _write(tmp_path / "s.csv", "id;b\n1;x\n")
+    declared = T.StructType([T.StructField("id", T.StringType()), T.StructField("b", T.StringType())])
+    first = readers.read_dataset(spark, path, schema=declared, sep=";")
+    house.register_dataset("s.csv", "csv", path, first, datetime(2024, 1, 1))
+    _write(tmp_path / "s.csv", "id;b\n1;x\n2;y\n")
+    again = house.rescan_dataset(1)
+    assert again.schema == first.schema == {"id": "string", "b": "string"} and again.options == {"sep": ";"}
+    assert [r.row_count for r in house.datasets().collect()] == [2]
+
+
+def test_one_log_entry_deletes_from_all_tables(spark, tmp_path):
+    house = Results(spark, str(tmp_path / "house"))
+    for run in (1, 2, 3):
+        house.append("experiment_runs", spark.createDataFrame([(run,)], "id long"))
+        for table in ("pipeline_results", "stage_checks"):
+            house.append(table, spark.createDataFrame([(run,), (run,)], "experiment_run_id long"))
+    house.delete_runs(spark.createDataFrame([(1,), (3,)], "id long"))
+    house.delete_run(3)
+    house.delete_run(99)
+    left = {r.table: r.rows for r in house.table_counts().collect()}
+    assert left == {"datasets": 0, "experiment_runs": 1, "pipeline_results": 2, "stage_checks": 2}
+    assert house.next_id("experiment_runs") == 4
+    assert sorted(p.name for p in (tmp_path / "house").iterdir()) == [
+        "datasets", "deleted_runs", "experiment_runs", "pipeline_results", "stage_checks",
+    ]
+
+
 def test_experiments_are_recorded_and_deleted(spark, tmp_path):
-    house = Warehouse(spark, str(tmp_path / "house"))
+    house = Results(spark, str(tmp_path / "house"))
     orders = generate.generate_orders(spark, 60)
     one = experiments.run_experiment(house, orders, "duplicated", "compare", dataset_id=1)
     two = experiments.run_experiment(house, orders, "clean", "proposed", dataset_id=1)
@@ -158,7 +244,7 @@ def test_experiments_are_recorded_and_deleted(spark, tmp_path):
 
 
 def test_failed_run_is_recorded(spark, tmp_path):
-    house = Warehouse(spark, str(tmp_path / "house"))
+    house = Results(spark, str(tmp_path / "house"))
     with pytest.raises(ValueError):
         experiments.run_experiment(house, spark.range(1), "no_such_scenario")
     with pytest.raises(Exception):
@@ -168,7 +254,7 @@ def test_failed_run_is_recorded(spark, tmp_path):
 
 
 def test_kpis_of_nothing_are_zero(spark, tmp_path):
-    house = Warehouse(spark, str(tmp_path / "house"))
+    house = Results(spark, str(tmp_path / "house"))
     row = reports.kpi_stats(house.read("experiment_runs"), house.read("pipeline_results")).first()
     assert tuple(row) == (0, 0.0, 0.0, 0, 0, 0.0)
 
