@@ -2,25 +2,25 @@
 
 A k-mer of code points is chosen where the least of the hashes of its inner s-mers is the first or the last of them.
 The choice looks at nothing but the k-mer, so an edit changes only the anchors that overlap it, and equal passages have
-equal anchors at any place. The fingerprint is the bottom sketch of the hashes of all anchors: the ``SKETCH`` least.
+equal anchors at any place. The fingerprint of a text is all its anchors with their positions. Two texts are matched by
+position: of the anchors they share, those that follow each other in the same order in both count.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import BLOCK_CHARS, blocks, span_hashes, table
+from tallyward.llm.common import BLOCK_CHARS, mix, span_hashes, staged, table, text_blocks
 
 K, S = 16, 8
-SKETCH = 64
-RANGES = 1024  # at most so many ranges of ids
-NONE = 0xFFFFFFFF
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -49,31 +49,75 @@ def anchors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, chosen - (ends - sizes)[owner], span_hashes(points, chosen, chosen + K)
 
 
-def sketches(texts: list[str]) -> list[np.ndarray]:
-    """The least distinct 32-bit anchor hashes of each text; of a text without anchors, its own hash; none if empty."""
-    owner, _, hashes = anchors(texts)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
+Anchors = tuple[np.ndarray, np.ndarray]  # positions and hashes, by position
+
+
+def fingerprint(texts: list[str]) -> list[Anchors]:
+    """All anchors of each text. A text without any has one at 0, the hash of the whole; an empty one has none."""
+    owner, position, hashes = anchors(texts)
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     out = []
     for i, text in enumerate(texts):
-        own = np.unique(short[cuts[i] : cuts[i + 1]])[:SKETCH]
-        if not len(own) and text:
+        own = slice(cuts[i], cuts[i + 1])
+        if cuts[i] == cuts[i + 1] and text:
             points = _code_points(text)
-            own = (span_hashes(points, np.array([0]), np.array([len(points)])) >> np.uint64(32)).astype(np.uint32)
-        out.append(own)
+            out.append((np.zeros(1, np.int64), span_hashes(points, np.array([0]), np.array([len(points)]))))
+        else:
+            out.append((position[own], hashes[own]))
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """The share of common hashes among the least of both sketches together; 1 for two empty ones."""
-    both = np.union1d(a, b)[:SKETCH]
-    if not len(both):
+def _by_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of anchors sorted by hash and then position, and how many of its hash come before each."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    starts = np.flatnonzero(new)
+    return order, np.arange(len(ranked)) - starts[np.cumsum(new) - 1]
+
+
+def matches(a: Anchors, b: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both fingerprints of anchors with equal hashes, by place in the first: the n-th of a hash with the n-th."""
+    if not len(a[1]) or not len(b[1]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    (first, again), (second, again_b) = _by_hash(a[1]), _by_hash(b[1])
+    # A hash and its count, mixed into one number.
+    left = a[1][first] + mix(again.astype(np.uint64))
+    right = b[1][second] + mix(again_b.astype(np.uint64))
+    _, i, j = np.intersect1d(left, right, assume_unique=True, return_indices=True)
+    i, j = first[i], second[j]
+    order = np.argsort(i)
+    return i[order], j[order]
+
+
+def longest_run(places: np.ndarray) -> int:
+    """Length of the longest increasing run of places, not necessarily of neighbours."""
+    if len(places) < 2 or (places[1:] > places[:-1]).all():
+        return len(places)
+    piles: list[int] = []
+    for p in places.tolist():
+        at = bisect_left(piles, p)
+        piles[at : at + 1] = [p]
+    return len(piles)
+
+
+def likeness(a: Anchors, b: Anchors) -> float:
+    """Anchors matched in the same order in both, as a share of all anchors of both; 1 for two empty fingerprints."""
+    n, m = len(a[1]), len(b[1])
+    if not n and not m:
         return 1.0
-    return float(np.isin(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).sum() / len(both))
+    common = longest_run(matches(a, b)[1])
+    return common / (n + m - common)
+
 
+def packed(marks: Anchors) -> bytes:
+    """A fingerprint as bytes: position (8) and hash (8) of each anchor, little-endian."""
+    return np.stack([marks[0].astype("<u8"), marks[1].astype("<u8")], axis=1).tobytes()
 
-def _hex(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+
+def _digest(marks: Anchors) -> str:
+    return hashlib.sha256(packed(marks)).hexdigest() if len(marks[1]) else ""
 
 
 def edited(text: str, following: str) -> str:
@@ -83,56 +127,47 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint of whole texts (null: empty), one row per document; other columns are ignored."""
+    """doc_id, fingerprint (binary, see ``packed``) of whole texts (null: empty), one row per document; other columns are
+    ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(batch.column(1).to_pylist()):
-                marks = pa.array([_hex(s) for s in sketches(texts)], pa.string())
+            for first, texts in text_blocks(batch.column(1)):
+                marks = pa.array([packed(m) for m in fingerprint(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), marks], ["doc_id", "fingerprint"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fingerprint string")
+    return narrow.mapInArrow(run, "doc_id long, fingerprint binary")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """range, place, doc_id, text so that in each range, by place, each row but the last precedes its follower.
+RESULT = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+    "near_next double, n_anchors long"
+)
+_LOWEST = -(1 << 63)
+
+
+def _compared(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    """Results of (doc_id, text, text of the next document); the next text of a row is mostly the text of the next row."""
+    ids, own, nxt = zip(*rows)
+    changed = [edited(a, b) for a, b in zip(own, nxt)]
+    marks, changed_marks = fingerprint(list(own)), fingerprint(changed)
+    strange = [i for i in range(len(own)) if i + 1 == len(own) or nxt[i] is not own[i + 1]]
+    follow = dict(zip(strange, fingerprint([nxt[i] for i in strange])))
+    columns = [
+        pa.array([None if i == _LOWEST else i for i in ids], pa.int64()),
+        pa.array(map(len, own), pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
+        pa.array([_digest(m) for m in marks]),
+        pa.array([_digest(m) for m in changed_marks]),
+        pa.array([likeness(a, b) for a, b in zip(marks, changed_marks)], pa.float64()),
+        pa.array([likeness(m, follow[i] if i in follow else marks[i + 1]) for i, m in enumerate(marks)], pa.float64()),
+        pa.array([len(m[1]) for m in marks], pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
-    Ids fall into ranges; the range holds its rows in descending order and, last (place 1), a copy of the first row of
-    the range below (after the lowest: of the highest). Texts are shuffled once.
-    """
-    spark = docs.sparkSession
-    lowest = -(1 << 63)
-    narrow = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    parts = min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    quantiles = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = sorted(set(narrow.select(F.percentile_approx("doc_id", quantiles, 10_000)).first()[0] or []))
-    bounds = F.lit([*cuts, (1 << 63) - 1])
-    ranged = narrow.withColumn("range", F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))))
-    # One row for each range: its highest id and, of the rows with that id, the one that comes first.
-    sha = F.sha2("text", 256)
-    heads = ranged.groupBy("range").agg(
-        F.max("doc_id").alias("doc_id"), F.max_by(sha, F.struct("doc_id", sha)).alias("sha")
-    )
-    order = sorted(heads.collect(), key=lambda r: -r.range)
-    above = {r.range: order[i - 1].range for i, r in enumerate(order)}
-    if not order:
-        return ranged.select("range", F.lit(0).alias("place"), "doc_id", "text")
-    rows = [(r.range, r.doc_id, r.sha, above[r.range]) for r in order]
-    first = spark.createDataFrame(rows, "range int, doc_id long, sha string, target int")
-    # At most RANGES rows.
-    copies = (
-        ranged.join(F.broadcast(first.select("range", "doc_id")), ["range", "doc_id"], "left_semi")
-        .withColumn("sha", F.sha2("text", 256))
-        .join(F.broadcast(first), ["range", "doc_id", "sha"])
-        .groupBy("range", "doc_id", "sha", "target")
-        .agg(F.first("text").alias("text"))
-        .select(F.col("target").alias("range"), F.lit(1).alias("place"), "doc_id", "text")
-    )
-    return ranged.select("range", F.lit(0).alias("place"), "doc_id", "text").unionByName(copies)
+
+_SEAM = "part int, first boolean, seam_id long, seam_text string"
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -140,56 +175,72 @@ def compare(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. Documents follow each other by descending doc_id (rows with one
     doc_id: by descending hash of their text; null ids last), the first follows the last; a single document follows
-    itself. A null text is empty. One row per document: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. Texts shorter than a k-mer have their own hash as fingerprint, empty ones
-    an empty string; two empty ones have likeness 1. An empty table gives no rows.
+    itself. A null text is empty. One row per document: doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint
+    (digests of all anchors with their positions), near_edited, near_next (share of anchors matched in order) and n_anchors.
+    Texts shorter than a k-mer have their own hash as only anchor, empty ones an empty fingerprint; two empty ones have
+    likeness 1. An empty table gives no rows.
+
+    Rows are range-partitioned by id and hash, so that equal and null ids spread as well; texts are shuffled once. Each
+    partition compares its neighbours and leaves its first and last row for the comparison across the seams.
     """
-    lowest = -(1 << 63)
-    followed = with_next(docs)
-    parts = min(RANGES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    followed = followed.repartition(parts, "range").sortWithinPartitions(
-        F.desc("range"), "place", F.desc("doc_id"), F.desc(F.sha2("text", 256))
-    )
-
-    def emit(rows: list[tuple[int, str, str]]) -> pa.RecordBatch:
-        ids, own, nxt = zip(*rows)
-        changed = [edited(a, b) for a, b in zip(own, nxt)]
-        marks = sketches([*own, nxt[-1]])
-        follow = [marks[i + 1] if i + 1 < len(own) and nxt[i] is own[i + 1] else None for i in range(len(own))]
-        missing = [i for i, f in enumerate(follow) if f is None]
-        for i, m in zip(missing, sketches([nxt[i] for i in missing])):
-            follow[i] = m
-        changed_marks = sketches(changed)
-        columns = {
-            "doc_id": pa.array([None if i == lowest else i for i in ids], pa.int64()),
-            "n_chars": pa.array(map(len, own), pa.int64()),
-            "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-            "fingerprint": pa.array([_hex(m) for m in marks[: len(own)]]),
-            "edited_fingerprint": pa.array([_hex(m) for m in changed_marks]),
-            "near_edited": pa.array([likeness(a, b) for a, b in zip(marks, changed_marks)], pa.float64()),
-            "near_next": pa.array([likeness(a, b) for a, b in zip(marks, follow)], pa.float64()),
-        }
-        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    narrow = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    ).withColumn("hash", F.sha2("text", 256))
+    order = [F.desc("doc_id"), F.desc("hash")]
+    ordered = narrow.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    names = [c.split()[0] for c in f"{RESULT}, {_SEAM}".split(", ")]
+    width = len(RESULT.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        types = [f.type for f in _compared([(0, "", "")]).schema] + [pa.int32(), pa.bool_(), pa.int64(), pa.string()]
+
+        def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nothing = [pa.nulls(batch.num_rows, t) for t in types[width:]]
+            return pa.RecordBatch.from_arrays([*batch.columns, *nothing], names)
+
+        def seam(first: bool, row: tuple[int, str]) -> pa.RecordBatch:
+            values = [None] * width + [part, first, *row]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
+
         held, rows, size = None, [], 0
         for batch in batches:
-            for rng, place, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if held is not None and held[0] == rng:
-                    rows.append((held[1], held[2], text))
-                    size += len(held[2])
-                held = (rng, doc_id, text) if place == 0 else None
-                if size > BLOCK_CHARS:
-                    yield emit(rows)
-                    rows, size = [], 0
+            ids = batch.column(0).to_pylist()
+            for low, texts in text_blocks(batch.column(1)):
+                for row in zip(ids[low:], texts):
+                    if held is None:
+                        yield seam(True, row)
+                    else:
+                        rows.append((*held, row[1]))
+                        size += len(held[1])
+                    held = row
+                    if size > BLOCK_CHARS:
+                        yield whole(_compared(rows))
+                        rows, size = [], 0
         if rows:
-            yield emit(rows)
+            yield whole(_compared(rows))
+        if held is not None:
+            yield seam(False, held)
+
+    # Results, which are small, and two texts a partition.
+    found = staged(ordered.mapInArrow(run, f"{RESULT}, {_SEAM}"), "fingerprints")
+    results = found.where("part is null").select(*names[:width])
+    seams = found.where("part is not null")
+    parts = seams.where("first").select("part")
+    # One number for each partition.
+    after = Window.orderBy("part")
+    every = after.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.select("part", F.coalesce(F.lead("part").over(after), F.min("part").over(every)).alias("next_part"))
+    heads = seams.where("first").select(F.col("part").alias("next_part"), F.col("seam_text").alias("next_text"))
+    ends = seams.where("not first").join(parts, "part").join(heads, "next_part").select("seam_id", "seam_text", "next_text")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _compared([tuple(c[0].as_py() for c in batch.slice(i, 1).columns)])
 
-    return followed.mapInArrow(
-        run,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double",
-    )
+    return results.unionByName(ends.mapInArrow(across, RESULT))
 
 
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
