@@ -1,20 +1,20 @@
 """Benchmark decontamination by templates: questions are found again though numbers, names and units were changed.
 
-Numbers, capitalised words and units become typed placeholders. Windows of ``WINDOW`` tokens are hashed and joined to
-those of the benchmark. Where windows of an item lie at one distance in a document, the slots behind the placeholders
-must agree: one value of the item always stands for one value of the document. Built-in functions alone.
+Numbers, capitalised words and units become typed placeholders. Windows of ``WINDOW`` tokens are hash-joined to those of
+the benchmark by their words without names. Where windows of an item lie at one distance in a document, the slots behind
+the placeholders must agree: one value of the item stands for one value of the document. Built-in functions alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyward.llm.common import staged, table
 
 WINDOW = 8
 LITERALS = 3  # words that a benchmark window must have besides placeholders
-SEEDS = (4, 2, 1)  # sizes of the runs of words by which windows are found whatever their case
+RUN = 4  # words of a run by which a window is found, where it has as many without a name
 COVERAGE = 0.5  # share of an item's windows that makes a document contaminated
 BROADCAST_ROWS = 1_000_000  # a benchmark of more windows is joined by a shuffle
 
@@ -41,21 +41,8 @@ def placeholder(token: Column) -> Column:
     )
 
 
-def canonical(words: Column) -> Column:
-    return F.transform(words, lambda w: F.coalesce(placeholder(w), w))
-
-
-def window_hashes(marks: Column, size: int) -> Column:
-    """Hashes of all windows of ``size`` from an array of token hashes."""
-    n = F.size(marks)
-    hashed = F.transform(
-        F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(F.lit(size), *(F.get(marks, i + k) for k in range(size)))
-    )
-    return F.when(n >= size, hashed).otherwise(F.array().cast("array<bigint>"))
-
-
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, windows (how many), at, size, hash, exact of each distinct item; shorter items are one window.
+    """item_id, words, windows (how many), at, size, exact of each distinct item; shorter items are one window.
 
     Windows with fewer than ``LITERALS`` words are left out, unless an item has no other (exact).
     """
@@ -72,67 +59,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     cuts = items.select("item_id", "words", size.alias("size"), at).select("*", rich.alias("rich"))
     most = cuts.groupBy("item_id").agg(F.sum(F.col("rich").cast("int")).alias("n_rich"), F.count("*").alias("n_all"))
     kept = cuts.join(most, "item_id").where("rich or n_rich = 0")
-    marks = F.transform(canonical(cut), lambda w: F.xxhash64(w))
-    sizes = [
-        F.when(F.col("size") == s, F.xxhash64(F.lit(s), *(F.get(marks, F.lit(k)) for k in range(s)))) for s in range(1, WINDOW + 1)
-    ]
     windows = F.when(F.col("n_rich") > 0, F.col("n_rich")).otherwise(F.col("n_all")).alias("windows")
     exact = (F.col("n_rich") == 0).alias("exact")
-    return kept.select("item_id", "words", windows, "at", "size", F.coalesce(*sizes).alias("hash"), exact)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """Documents that hold ``coverage`` of the windows of a benchmark item or more, whatever its parameters.
-
-    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. One row per pair: doc_id, item_id (of equal
-    items the least), windows (of the item), matched, changed (slots whose value is not the item's). Null ids and null
-    or empty texts match nothing; rows with one doc_id count as one document; either table may be empty.
-    """
-    items = staged(benchmark_windows(benchmark), "benchmark")
-    known = items.select("hash", "item_id", "at", "windows")
-    n, sizes = items.agg(F.count("*"), F.collect_set("size")).first()  # at most WINDOW sizes
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    marks = F.transform(canonical(tokens(F.col("text"))), lambda w: F.xxhash64(w))
-    marked = docs.where("doc_id is not null").select(doc_id, marks.alias("marks"))
-    # Each size of window on its own: the place of a window is that of its hash.
-    found = None
-    for size in sorted(sizes) or [WINDOW]:
-        rolled = marked.select("doc_id", F.posexplode(window_hashes(F.col("marks"), size)).alias("place", "hash"))
-        found = rolled if found is None else found.union(rolled)
-    hits = found.join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "hash")
-    grouped = hits.groupBy("doc_id", "item_id", "windows", (F.col("place") - F.col("at")).cast("int").alias("shift")).agg(
-        F.collect_set("at").alias("ats")
-    )
-    # A line of the benchmark has few windows, so each set is small; pairs that cannot reach the share go before texts come in.
-    grouped = staged(grouped, "shifts")
-    likely = grouped.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("most"), F.first("windows").alias("windows")
-    )
-    likely = likely.where(F.col("most") >= F.lit(coverage) * F.col("windows")).select("doc_id", "item_id")
-    grouped = staged(grouped.join(likely, ["doc_id", "item_id"]), "likely")
-    texts = docs.select(doc_id, tokens(F.col("text")).alias("doc_words")).join(
-        grouped.select("doc_id").distinct(), "doc_id", "left_semi"
-    )
-    once = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("size").alias("size"))
-    both = grouped.join(texts, "doc_id").join(once, "item_id")
-    slot = lambda at: F.transform(
-        F.sequence(at, at + F.col("size") - 1),
-        lambda k: F.struct(F.get("words", k).alias("item"), F.get("doc_words", k + F.col("shift")).alias("doc")),
-    )
-    slots = F.array_distinct(F.filter(F.flatten(F.transform("ats", slot)), lambda s: placeholder(s.item).isNotNull()))
-    checked = both.select("doc_id", "item_id", "windows", "ats", slots.alias("slots"))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.col("slots.item")))
-    return (
-        checked.where(consistent)
-        .select("*", F.size(F.filter("slots", lambda s: s.item != s.doc)).cast("long").alias("changed"))
-        .groupBy("doc_id", "item_id")
-        .agg(
-            F.first("windows").cast("long").alias("windows"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"),
-            F.min("changed").alias("changed"),
-        )
-        .where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
-    )
+    return kept.select("item_id", "words", windows, "at", "size", exact)
 
 
 def folded(word: Column) -> Column:
@@ -147,110 +76,148 @@ def _free(word: Column, exact: Column) -> Column:
 
 
 def _seed(cut: Column, exact: Column) -> Column:
-    """(size, off, hash) of the run of words without names by which a window is found: a long one with many literals."""
-    found = []
-    for size in SEEDS:
-        free = lambda i: F.exists(F.slice(cut, i + 1, F.lit(size)), lambda w: _free(w, exact))  # noqa: B023, E731
-        literals = lambda i: F.size(F.filter(F.slice(cut, i + 1, F.lit(size)), lambda w: placeholder(w).isNull()))  # noqa: B023, E731
-        runs = F.filter(F.sequence(F.lit(0), F.size(cut) - size), lambda i: ~free(i))  # noqa: B023
-        best = -F.array_max(F.transform(runs, lambda i: F.struct(literals(i).alias("n"), (-i).alias("at"))))["at"]  # noqa: B023
-        off = F.when(F.size(cut) >= size, best)
-        marks = (F.xxhash64(folded(F.get(cut, off + k))) for k in range(size))
-        run = F.struct(F.lit(size).alias("size"), off.alias("off"), F.xxhash64(F.lit(size), *marks).alias("hash"))
-        found.append(F.when(off.isNotNull(), run))
-    return F.coalesce(*found)
+    """(shape, off, hash) by which a window is found: a run of RUN words without names, else the two such words nearest to
+    each other, else the only one. The shape is the distance from the first to the last, negative for a run."""
+    n = F.size(cut)
+    fixed = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~_free(F.get(cut, i), exact))
+    literal = lambda i: F.when(placeholder(F.get(cut, i)).isNull(), 1).otherwise(0)
+    runs = F.filter(fixed, lambda i: F.forall(F.sequence(i, i + RUN - 1), lambda k: F.array_contains(fixed, k)))
+    literals = lambda i: sum((literal(i + k) for k in range(RUN)), F.lit(0))
+    run = -F.array_max(F.transform(runs, lambda i: F.struct(literals(i).alias("n"), (-i).alias("at"))))["at"]
+    # Of the pairs of neighbours among the fixed words: two literals before others, then the nearest, then the first.
+    place = F.sequence(F.lit(0), F.size(fixed) - 2)
+    pair = F.array_min(
+        F.transform(
+            place,
+            lambda p: F.struct(
+                (-literal(F.get(fixed, p)) - literal(F.get(fixed, p + 1))).alias("n"),
+                (F.get(fixed, p + 1) - F.get(fixed, p)).alias("d"),
+                F.get(fixed, p).alias("at"),
+            ),
+        )
+    )
+    mark = lambda i: F.xxhash64(folded(F.get(cut, i)))
+    entry = lambda shape, off, marks: F.struct(
+        shape.cast("int").alias("shape"), off.cast("int").alias("off"), F.xxhash64(shape.cast("int"), *marks).alias("hash")
+    )
+    return (
+        F.when((n >= RUN) & run.isNotNull(), entry(F.lit(-RUN), run, [mark(run + k) for k in range(RUN)]))
+        .when(F.size(fixed) >= 2, entry(pair["d"], pair["at"], [mark(pair["at"]), mark(pair["at"] + pair["d"])]))
+        .otherwise(entry(F.lit(0), F.get(fixed, F.lit(0)), [mark(F.get(fixed, F.lit(0)))]))
+    )
+
+
+def _shape_hashes(marks: Column, shape: int) -> Column:
+    """Hashes of all places of a shape in an array of token hashes."""
+    offsets = range(-shape) if shape < 0 else ((0, shape) if shape else (0,))
+    last = F.size(marks) - 1 - max(offsets)
+    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(shape), *(F.get(marks, i + k) for k in offsets)))
+    return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """As :func:`contaminated`, whatever the case of the document: its capitals tell nothing.
+    """Documents that hold ``coverage`` of the windows of a benchmark item or more, whatever its parameters and its case.
 
-    A window matches where its literals are the same in any case, numbers meet numbers, units units, and any word stands
-    in the place of a name of the item. Windows of an item without literals match its own words in any case alone.
+    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. One row per pair: doc_id, item_id (of equal
+    items the least), windows (of the item), matched, changed (slots whose value is not the item's). A window matches where
+    its literals are the same in any case, numbers meet numbers, units units, and any word stands in the place of a name of
+    the item, as a document's capitals tell nothing. Windows of an item without literals match its own words in any case
+    alone. Of the windows at one distance, those go whose slots contradict the value that is most frequent for the item's
+    slot (of ties the item's own, then the least). Null ids and null or empty texts match nothing; rows with one doc_id
+    count as one document; either table may be empty.
+
+    Rows stay small whatever the length of a document and however often it repeats an item: a hit is four numbers, and
+    only the words under the windows of pairs that can reach the share are looked up, one by one.
     """
     items = staged(benchmark_windows(benchmark), "benchmark")
     cut = F.slice("words", F.col("at") + 1, F.col("size"))
     seeds = items.select("item_id", "at", "windows", _seed(cut, F.col("exact")).alias("seed"))
     known = staged(
-        seeds.select("seed.hash", "seed.size", "item_id", "at", (F.col("at") + F.col("seed.off")).alias("seed_at"), "windows"), "seeds"
+        seeds.select("seed.hash", "seed.shape", "item_id", "at", (F.col("at") + F.col("seed.off")).alias("seed_at"), "windows"), "seeds"
     )
-    n, sizes = known.agg(F.count("*"), F.collect_set("size")).first()  # at most as many as SEEDS
-    known = known.drop("size")
+    n, shapes = known.agg(F.count("*"), F.collect_set("shape")).first()  # at most WINDOW + 1 shapes
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    marks = F.transform(tokens(F.col("text")), lambda w: F.xxhash64(folded(w)))
-    marked = docs.where("doc_id is not null").select(doc_id, marks.alias("marks"))
+    # Rows with one doc_id are told apart by their texts until the end.
+    body = F.xxhash64(F.col("text").cast("string")).alias("body")
+    named = docs.where("doc_id is not null").select(doc_id, body, tokens(F.col("text")).alias("words"))
+    marked = named.select("doc_id", "body", F.transform("words", lambda w: F.xxhash64(folded(w))).alias("marks"))
     found = None
-    for size in sorted(sizes) or [SEEDS[0]]:
-        rolled = marked.select("doc_id", F.posexplode(window_hashes(F.col("marks"), size)).alias("place", "hash"))
+    for shape in sorted(shapes) or [0]:
+        rolled = marked.select("doc_id", "body", F.posexplode(_shape_hashes(F.col("marks"), shape)).alias("place", "hash"))
         found = rolled if found is None else found.union(rolled)
-    hits = found.join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "hash")
-    shift = (F.col("place") - F.col("seed_at")).cast("int").alias("shift")
-    grouped = hits.groupBy("doc_id", "item_id", "windows", shift).agg(F.collect_set("at").alias("ats"))
-    # A window that matches has its run there, so pairs with too few runs go before texts come in.
-    grouped = staged(grouped, "shifts")
-    likely = grouped.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("most"), F.first("windows").alias("windows")
+    known = known.drop("shape")
+    hits = found.join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "hash").select(
+        "doc_id", "body", "item_id", "windows", "at", (F.col("place") - F.col("seed_at")).cast("int").alias("shift")
     )
-    likely = likely.where(F.col("most") >= F.lit(coverage) * F.col("windows")).select("doc_id", "item_id")
-    grouped = staged(grouped.join(likely, ["doc_id", "item_id"]), "likely")
-    texts = docs.select(doc_id, tokens(F.col("text")).alias("doc_words")).join(
-        grouped.select("doc_id").distinct(), "doc_id", "left_semi"
+    hits = staged(hits.where(F.col("shift") + F.col("at") >= 0), "hits")
+    # A window that matches has its seed there, so pairs with too few seeds go before words come in.
+    per_pair = hits.select("doc_id", "item_id", "windows", "at").distinct().groupBy("doc_id", "item_id", "windows").count()
+    likely = per_pair.where(F.col("count") >= F.lit(coverage) * F.col("windows")).select("doc_id", "item_id")
+    likely = staged(likely, "likely")
+    windows = hits.distinct().join(likely, ["doc_id", "item_id"], "left_semi")
+    # The words of items and of likely documents, one row each.
+    whole = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("size").alias("size"), F.first("exact").alias("exact"))
+    item_words = whole.select("item_id", "size", "exact", F.posexplode("words").alias("slot", "word"))
+    sizes = whole.select("item_id", "size")
+    under = windows.join(sizes, "item_id").select(
+        "doc_id", "body", "item_id", "windows", "shift", "at", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("slot")
     )
-    once = items.groupBy("item_id").agg(F.first("words").alias("words"), F.first("size").alias("size"), F.first("exact").alias("exact"))
-    both = grouped.join(texts, "doc_id").join(once, "item_id")
-
-    def same(k: Column) -> Column:
-        word, there = F.get("words", k), F.get("doc_words", k + F.col("shift"))
-        alike = F.when(F.col("exact"), F.lower(word) == F.lower(there)).otherwise(folded(word) == folded(there))
-        return there.isNotNull() & (_free(word, F.col("exact")) | alike)
-
-    places = lambda at: F.sequence(at, at + F.col("size") - 1)
-    aligned = both.withColumn("ats", F.filter("ats", lambda at: F.forall(places(at), same)))
-    slot = lambda k: F.struct(
-        k.alias("at"), F.get("words", k).alias("item"), F.lower(F.get("doc_words", k + F.col("shift"))).alias("doc")
+    doc_words = named.join(likely.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        "doc_id", "body", F.posexplode("words").alias("place", "there")
     )
-    at_slots = F.filter(
-        F.array_distinct(F.flatten(F.transform("ats", places))), lambda k: placeholder(F.get("words", k)).isNotNull()
+    met = (
+        under.join(item_words.drop("size"), ["item_id", "slot"])
+        .withColumn("place", F.col("shift") + F.col("slot"))
+        .join(doc_words.distinct(), ["doc_id", "body", "place"], "left")
     )
-    slotted = aligned.where(F.size("ats") > 0).select("doc_id", "item_id", "windows", "size", "ats", F.transform(at_slots, slot).alias("slots"))
-    # Staged as these few rows are used in nested expressions, which would compute them for each element anew.
-    slotted = staged(slotted, "slots")
-    # The value a slot has most often in the document, else the item's own, else the least, stands for the slot.
-    times = lambda s: F.size(F.filter("slots", lambda t: (t.item == s.item) & (t.doc == s.doc)))
-    own = lambda s: s.doc == F.lower(s.item)
-    ranked = F.transform(
-        "slots", lambda s: F.struct(s["at"].alias("at"), s.item.alias("item"), s.doc.alias("doc"), times(s).alias("n"), own(s).alias("own"))
+    alike = F.when(F.col("exact"), F.lower("word") == F.lower("there")).otherwise(folded(F.col("word")) == folded(F.col("there")))
+    same = F.col("there").isNotNull() & (_free(F.col("word"), F.col("exact")) | alike)
+    is_slot = placeholder(F.col("word")).isNotNull()
+    key = ["doc_id", "body", "item_id", "shift"]
+    lettered = met.select(
+        *key, "windows", "at", "slot", F.when(is_slot, F.col("word")).alias("item"), F.lower("there").alias("doc"),
+        F.coalesce(same, F.lit(False)).alias("same"),
+    )
+    per_window = lettered.groupBy(*key, "windows", "at").agg(
+        F.collect_set(F.when(F.col("same"), F.col("slot"))).alias("fits"),
+        F.count_distinct("slot").alias("n"),
+        # At most WINDOW slots, and a document's word for each.
+        F.collect_set(F.when(F.col("same") & F.col("item").isNotNull(), F.struct("slot", "item", "doc"))).alias("slots"),
     )
-    above = lambda t, s: (t.item == s.item) & ((t.n > s.n) | (t.n == s.n) & (t.own | (t.doc < s.doc)))
-    torn = F.filter("ranked", lambda s: ~s.own & F.exists("ranked", lambda t: above(t, s)))
-    inside = lambda k, at: (k >= at) & (k < at + F.col("size"))
-    kept = F.filter("ats", lambda at: ~F.exists("torn", lambda s: inside(s["at"], at)))
-    counted = F.filter("slots", lambda s: F.exists("kept", lambda at: inside(s["at"], at)) & (s.doc != F.lower(s.item)))
-    changed = F.size(F.array_distinct(F.transform(counted, lambda s: F.struct(s.item, s.doc)))).cast("long").alias("changed")
-    judged = (
-        staged(staged(slotted.withColumn("ranked", ranked), "ranked").withColumn("torn", torn), "torn")
-        .withColumn("kept", kept)
-        .where(F.size("kept") > 0)
-        .select("doc_id", "item_id", "windows", F.col("kept").alias("ats"), changed)
+    aligned = staged(per_window.where(F.size("fits") == F.col("n")).drop("fits", "n"), "aligned")
+    slots = aligned.select(*key, F.explode("slots").alias("s")).select(*key, "s.*").distinct()
+    own = (F.col("doc") == F.lower("item")).alias("own")
+    values = slots.groupBy(*key, "item", "doc").agg(F.count("*").alias("times")).select("*", own)
+    rank = F.struct((-F.col("times")).alias("n"), (~F.col("own")).alias("o"), "doc")
+    best = values.groupBy(*key, "item").agg(F.min(rank)["doc"].alias("best"))
+    torn = slots.join(best, [*key, "item"]).where((F.col("doc") != F.col("best")) & (F.col("doc") != F.lower("item")))
+    bad = torn.groupBy(*key, "slot").agg(F.lit(True).alias("torn"))
+    kept = (
+        aligned.select(*key, "windows", "at", F.explode_outer("slots").alias("s"))
+        .select(*key, "windows", "at", "s.*")
+        .join(bad, [*key, "slot"], "left")
+        .withColumn("clear", F.max(F.coalesce("torn", F.lit(False))).over(Window.partitionBy(*key, "at")) == F.lit(False))
+        .where("clear")
     )
-    return (
-        judged.groupBy("doc_id", "item_id")
-        .agg(
-            F.first("windows").cast("long").alias("windows"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("matched"),
-            F.min("changed").alias("changed"),
-        )
-        .where(F.col("matched") >= F.lit(coverage) * F.col("windows"))
+    changed = F.when(F.col("doc") != F.lower("item"), F.struct("item", "doc"))
+    per_shift = kept.groupBy(*key).agg(F.count_distinct(changed).alias("changed"))
+    least = per_shift.groupBy("doc_id", "item_id").agg(F.min("changed").cast("long").alias("changed"))
+    matched = kept.groupBy("doc_id", "item_id").agg(
+        F.max("windows").cast("long").alias("windows"), F.count_distinct("at").cast("long").alias("matched")
     )
+    return matched.where(F.col("matched") >= F.lit(coverage) * F.col("windows")).join(least, ["doc_id", "item_id"])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a benchmark item, with the item."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 _UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
 _DUCK_PLACE = f"""CASE WHEN w[1] BETWEEN '0' AND '9' THEN '<num>' WHEN w IN ({_UNIT_LIST}) THEN '<unit>'
     WHEN w[1] <> lower(w[1]) THEN '<name>' END"""
+_DUCK_FOLD = f"""CASE WHEN lower(w)[1] BETWEEN '0' AND '9' THEN '<num>' WHEN lower(w) IN ({_UNIT_LIST}) THEN '<unit>'
+    ELSE lower(w) END"""
 OP10_SQL = f"""
 WITH item_words AS (
   SELECT min(item_id)::BIGINT AS item_id, words
@@ -266,30 +233,55 @@ WITH item_words AS (
 ), counted AS (
   SELECT *, sum(rich::INT) OVER (PARTITION BY item_id) AS n_rich, count(*) OVER (PARTITION BY item_id) AS n_all FROM judged
 ), kept AS (
-  SELECT item_id, item_at, size, cut, [coalesce(({_DUCK_PLACE}), w) for w in cut] AS template,
-    CASE WHEN n_rich > 0 THEN n_rich ELSE n_all END AS windows
+  SELECT item_id, item_at, size, cut, n_rich = 0 AS exact, CASE WHEN n_rich > 0 THEN n_rich ELSE n_all END AS windows,
+    [CASE WHEN n_rich > 0 AND coalesce(({_DUCK_PLACE}) = '<name>', FALSE) THEN NULL ELSE ({_DUCK_FOLD}) END for w in cut] AS fixed
   FROM counted WHERE rich OR n_rich = 0
+), keyed AS (
+  SELECT *, [i for i in range(size) if fixed[i + 1] IS NOT NULL] AS spots FROM kept
+), known AS (
+  SELECT *, spots[1] AS off, coalesce(spots[2], spots[1]) - spots[1] AS gap, fixed[spots[1] + 1] AS one,
+    fixed[coalesce(spots[2], spots[1]) + 1] AS two
+  FROM keyed
 ), doc_words AS (
   SELECT doc_id, regexp_extract_all(text, '\\p{{L}}+|[0-9]+(?:[.,][0-9]+)*') AS words FROM documents WHERE doc_id IS NOT NULL
 ), doc_marks AS (
-  SELECT doc_id, words, [coalesce(({_DUCK_PLACE}), w) for w in words] AS marks FROM doc_words
-), rolled AS (
-  SELECT doc_id, size, place, marks[place + 1 : place + size] AS template, words[place + 1 : place + size] AS cut
-  FROM (SELECT doc_id, words, marks, size, unnest(range(len(words) - size + 1)) AS place
-        FROM doc_marks, (SELECT DISTINCT size FROM kept) WHERE len(words) >= size)
+  SELECT doc_id, words, [({_DUCK_FOLD}) for w in words] AS marks FROM doc_words
+), spaced AS (
+  SELECT doc_id, gap, place, marks[place + 1] AS one, marks[place + 1 + gap] AS two
+  FROM (SELECT doc_id, marks, gap, unnest(range(len(marks) - gap)) AS place
+        FROM doc_marks, (SELECT DISTINCT gap FROM known) WHERE len(marks) > gap)
 ), hits AS (
-  SELECT DISTINCT doc_id, item_id, windows, item_at, place - item_at AS shift, k.cut AS item_cut, r.cut AS doc_cut
-  FROM rolled r JOIN kept k USING (size, template)
+  SELECT DISTINCT doc_id, item_id, windows, item_at, size, exact, cut, fixed, place - off AS start
+  FROM spaced JOIN known USING (gap, one, two) WHERE place >= off
+), faced AS (
+  SELECT h.*, start - item_at AS shift, words[start + 1 : start + size] AS doc_cut, marks[start + 1 : start + size] AS doc_fixed
+  FROM hits h JOIN doc_marks USING (doc_id) WHERE start + size <= len(words)
+), aligned AS (
+  SELECT * FROM faced
+  WHERE len([i for i in range(size) if coalesce(fixed[i + 1] = doc_fixed[i + 1], TRUE)]) = size
+    AND (NOT exact OR [lower(w) for w in cut] = [lower(w) for w in doc_cut])
 ), slots AS (
-  SELECT DISTINCT doc_id, item_id, shift, p[1] AS w, p[2] AS d
-  FROM (SELECT doc_id, item_id, shift, unnest(list_zip(item_cut, doc_cut)) AS p FROM hits)
-), agreed AS (
-  SELECT doc_id, item_id, shift,
-    count(*) FILTER (WHERE ({_DUCK_PLACE}) IS NOT NULL) = count(DISTINCT w) FILTER (WHERE ({_DUCK_PLACE}) IS NOT NULL) AS fine,
-    count(*) FILTER (WHERE ({_DUCK_PLACE}) IS NOT NULL AND w <> d) AS changed
-  FROM slots GROUP BY ALL
+  SELECT DISTINCT doc_id, item_id, shift, item_at + i AS slot, cut[i + 1] AS w, lower(doc_cut[i + 1]) AS d
+  FROM (SELECT *, unnest(range(size)) AS i FROM aligned)
+), placed AS (
+  SELECT * FROM slots WHERE ({_DUCK_PLACE}) IS NOT NULL
+), ranked AS (
+  SELECT doc_id, item_id, shift, w, arg_min(d, row(-n, d <> lower(w), d)) AS best
+  FROM (SELECT doc_id, item_id, shift, w, d, count(*) AS n FROM placed GROUP BY ALL) GROUP BY doc_id, item_id, shift, w
+), torn AS (
+  SELECT DISTINCT doc_id, item_id, shift, slot FROM placed JOIN ranked USING (doc_id, item_id, shift, w)
+  WHERE d <> best AND d <> lower(w)
+), clear AS (
+  SELECT DISTINCT doc_id, item_id, windows, shift, item_at, size FROM aligned a WHERE NOT EXISTS (
+    SELECT 1 FROM torn t WHERE t.doc_id = a.doc_id AND t.item_id = a.item_id AND t.shift = a.shift
+      AND t.slot >= a.item_at AND t.slot < a.item_at + a.size)
+), changes AS (
+  SELECT c.doc_id, c.item_id, c.shift, count(DISTINCT CASE WHEN d <> lower(w) THEN row(w, d) END) AS changed
+  FROM clear c LEFT JOIN placed p ON c.doc_id = p.doc_id AND c.item_id = p.item_id AND c.shift = p.shift
+    AND p.slot >= c.item_at AND p.slot < c.item_at + c.size
+  GROUP BY ALL
 )
 SELECT doc_id, item_id, max(windows)::BIGINT AS windows, count(DISTINCT item_at)::BIGINT AS matched, min(changed)::BIGINT AS changed
-FROM hits JOIN agreed USING (doc_id, item_id, shift) WHERE fine
+FROM clear JOIN changes USING (doc_id, item_id, shift)
 GROUP BY doc_id, item_id HAVING count(DISTINCT item_at) >= {COVERAGE} * max(windows)
 """

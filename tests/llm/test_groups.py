@@ -2,6 +2,7 @@ import itertools
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -84,12 +85,12 @@ def test_templates(odd, frame, spark):
     changed = ITEM.replace("Anna", "Bert").replace("12", "40").replace("5", "7").replace("Paris", "Rome")
     torn = ITEM.replace("12 kg", "40 lb")
     rows = [*odd[0], (20, f"before. {ITEM} after"), (21, changed), (22, torn), (23, ITEM[:30]), (24, "here are two words to see"), (20, "again")]
-    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(rows), benchmark).collect()}
-    # In 22 one unit stands for two: its slots contradict each other.
-    assert set(got) == {(20, 1), (21, 1), (24, 5)}
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame(rows), benchmark).collect()}
+    # In 22 one unit stands for two: the windows with the rarer value contradict the others and go.
+    assert set(got) == {(20, 1), (21, 1), (22, 1), (24, 5)} and got[22, 1].matched < got[22, 1].windows
     assert got[20, 1].changed == 0 and got[21, 1].changed == 4 and got[21, 1].matched == got[21, 1].windows
-    assert decontaminate.contaminated(frame([]), benchmark).count() == 0
-    assert decontaminate.contaminated(frame(rows), benchmark.limit(0)).count() == 0
+    assert decontaminate.leaks(frame([]), benchmark).count() == 0
+    assert decontaminate.leaks(frame(rows), benchmark.limit(0)).count() == 0
 
 
 def test_quotes(spark):
@@ -218,6 +219,17 @@ def test_leaks_in_any_case(frame, spark):
     assert decontaminate.leaks(frame(rows), benchmark.limit(0)).count() == 0
 
 
+def test_hostile_documents_are_no_burden(frame, spark):
+    """Words between names, a very common word, an item many times over, two texts under one id."""
+    items = [(1, ITEM), (2, "the Alpha of Beta in Gamma by Delta"), (3, "Ann Bee Cee Dee Eff Gee Aitch and the"), (4, "end")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, "the " * 20_000), (2, f"{ITEM}. " * 1600), (3, "the " * 5000 + "the one of two in three by four"),
+            (4, ITEM[:48]), (4, ITEM[48:]), (5, "the of in by " * 3000)]
+    start = time.time()
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(rows), benchmark).collect()}
+    assert time.time() - start < 120 and got == {(2, 1), (3, 2)} == folded_matches(rows, items)
+
+
 def test_leaks_with_a_torn_slot(frame, spark):
     twice = "The red box of apples lies on the left side of a wall and below it The blue box of pears lies on the right side"
     rows = [(22, ITEM.replace("12 kg", "40 lb")), (23, twice.replace("The blue", "This blue")), (24, ITEM.replace("kg", "lb", 1)),
