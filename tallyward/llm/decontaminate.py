@@ -75,44 +75,56 @@ def _free(word: Column, exact: Column) -> Column:
     return ~exact & F.coalesce(placeholder(word) == "<name>", F.lit(False))
 
 
-def _seed(cut: Column, exact: Column) -> Column:
-    """(shape, off, hash) by which a window is found: a run of RUN words without names, else the two such words nearest to
-    each other, else the only one. The shape is the distance from the first to the last, negative for a run."""
-    n = F.size(cut)
-    fixed = F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~_free(F.get(cut, i), exact))
-    literal = lambda i: F.when(placeholder(F.get(cut, i)).isNull(), 1).otherwise(0)
-    runs = F.filter(fixed, lambda i: F.forall(F.sequence(i, i + RUN - 1), lambda k: F.array_contains(fixed, k)))
-    literals = lambda i: sum((literal(i + k) for k in range(RUN)), F.lit(0))
-    run = -F.array_max(F.transform(runs, lambda i: F.struct(literals(i).alias("n"), (-i).alias("at"))))["at"]
-    # Of the pairs of neighbours among the fixed words: two literals before others, then the nearest, then the first.
-    place = F.sequence(F.lit(0), F.size(fixed) - 2)
-    pair = F.array_min(
-        F.transform(
-            place,
-            lambda p: F.struct(
-                (-literal(F.get(fixed, p)) - literal(F.get(fixed, p + 1))).alias("n"),
-                (F.get(fixed, p + 1) - F.get(fixed, p)).alias("d"),
-                F.get(fixed, p).alias("at"),
-            ),
+def _seeds(items: DataFrame) -> DataFrame:
+    """(item_id, at, windows, shape, off, hash) by which a window is found: a run of RUN words without names, else the two
+    such words, neighbours among them, with most literals and then nearest to each other, else the only one.
+
+    The shape is the distance from the first to the last, negative for a run. The few windows of a benchmark are taken
+    apart into rows, one for each run or pair, of which the best stays.
+    """
+    cut = F.slice("words", F.col("at") + 1, F.col("size"))
+    word = (
+        items.select("item_id", "at", "windows", "exact", F.posexplode(cut).alias("k", "word"))
+        .where(~_free(F.col("word"), F.col("exact")))
+        .select(
+            "item_id", "at", "windows", "k", F.xxhash64(folded(F.col("word"))).alias("mark"),
+            placeholder(F.col("word")).isNull().cast("int").alias("literal"),
         )
+    )
+    # At most WINDOW rows each.
+    order = Window.partitionBy("item_id", "at").orderBy("k")
+    ahead = [F.lead("mark", i).over(order) for i in range(1, RUN)]
+    whole = F.lead("k", RUN - 1).over(order) == F.col("k") + RUN - 1
+    literals = sum((F.lead("literal", i).over(order) for i in range(1, RUN)), F.col("literal"))
+    gap = F.lead("k", 1).over(order) - F.col("k")
+    shaped = word.select(
+        "item_id", "at", "windows", "k", "mark", literals.alias("in_run"), whole.alias("run"), gap.alias("gap"),
+        (F.col("literal") + F.lead("literal", 1).over(order)).alias("in_pair"), F.array("mark", *ahead).alias("marks"),
+    )
+    hashed = lambda shape, n: F.xxhash64(F.lit(shape) if isinstance(shape, int) else shape, *(F.get("marks", F.lit(i)) for i in range(n)))
+    entry = lambda kind, rank, shape, n: F.struct(
+        F.lit(kind).alias("kind"), (-rank).alias("rank"),
+        (F.lit(0) if isinstance(shape, int) else shape).alias("near"), F.col("k").alias("off"),
+        (F.lit(shape) if isinstance(shape, int) else shape).cast("int").alias("shape"), hashed(shape, n).alias("hash"),
+    )
+    choice = (
+        F.when(F.col("run"), entry(0, F.col("in_run"), -RUN, RUN))
+        .when(F.col("gap").isNotNull(), entry(1, F.col("in_pair"), F.col("gap"), 2))
+        .otherwise(entry(2, F.lit(0), 0, 1))
     )
-    mark = lambda i: F.xxhash64(folded(F.get(cut, i)))
-    entry = lambda shape, off, marks: F.struct(
-        shape.cast("int").alias("shape"), off.cast("int").alias("off"), F.xxhash64(shape.cast("int"), *marks).alias("hash")
-    )
-    return (
-        F.when((n >= RUN) & run.isNotNull(), entry(F.lit(-RUN), run, [mark(run + k) for k in range(RUN)]))
-        .when(F.size(fixed) >= 2, entry(pair["d"], pair["at"], [mark(pair["at"]), mark(pair["at"] + pair["d"])]))
-        .otherwise(entry(F.lit(0), F.get(fixed, F.lit(0)), [mark(F.get(fixed, F.lit(0)))]))
-    )
+    best = shaped.groupBy("item_id", "at", "windows").agg(F.min(choice).alias("seed"))
+    return best.select("item_id", "at", "windows", "seed.shape", "seed.off", "seed.hash")
+
 
+def _place_hashes(marks: Column, shapes: list[int]) -> Column:
+    """For each place of an array of token hashes, those of all shapes that start there."""
 
-def _shape_hashes(marks: Column, shape: int) -> Column:
-    """Hashes of all places of a shape in an array of token hashes."""
-    offsets = range(-shape) if shape < 0 else ((0, shape) if shape else (0,))
-    last = F.size(marks) - 1 - max(offsets)
-    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(shape), *(F.get(marks, i + k) for k in offsets)))
-    return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
+    def one(i: Column, shape: int) -> Column:
+        offsets = range(-shape) if shape < 0 else ((0, shape) if shape else (0,))
+        return F.xxhash64(F.lit(shape), *(F.get(marks, i + k) for k in offsets))
+
+    hashed = F.transform(F.sequence(F.lit(0), F.size(marks) - 1), lambda i: F.array(*(one(i, s) for s in shapes)))
+    return F.when(F.size(marks) > 0, hashed).otherwise(F.array().cast("array<array<bigint>>"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -130,21 +142,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     only the words under the windows of pairs that can reach the share are looked up, one by one.
     """
     items = staged(benchmark_windows(benchmark), "benchmark")
-    cut = F.slice("words", F.col("at") + 1, F.col("size"))
-    seeds = items.select("item_id", "at", "windows", _seed(cut, F.col("exact")).alias("seed"))
-    known = staged(
-        seeds.select("seed.hash", "seed.shape", "item_id", "at", (F.col("at") + F.col("seed.off")).alias("seed_at"), "windows"), "seeds"
-    )
+    seeds = _seeds(items).withColumn("seed_at", F.col("at") + F.col("off"))
+    known = staged(seeds.select("hash", "shape", "item_id", "at", "seed_at", "windows"), "seeds")
     n, shapes = known.agg(F.count("*"), F.collect_set("shape")).first()  # at most WINDOW + 1 shapes
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     # Rows with one doc_id are told apart by their texts until the end.
     body = F.xxhash64(F.col("text").cast("string")).alias("body")
     named = docs.where("doc_id is not null").select(doc_id, body, tokens(F.col("text")).alias("words"))
     marked = named.select("doc_id", "body", F.transform("words", lambda w: F.xxhash64(folded(w))).alias("marks"))
-    found = None
-    for shape in sorted(shapes) or [0]:
-        rolled = marked.select("doc_id", "body", F.posexplode(_shape_hashes(F.col("marks"), shape)).alias("place", "hash"))
-        found = rolled if found is None else found.union(rolled)
+    placed = marked.select("doc_id", "body", F.posexplode(_place_hashes(F.col("marks"), sorted(shapes) or [0])).alias("place", "hashes"))
+    found = placed.select("doc_id", "body", "place", F.explode("hashes").alias("hash"))
     known = known.drop("shape")
     hits = found.join(F.broadcast(known) if n <= BROADCAST_ROWS else known, "hash").select(
         "doc_id", "body", "item_id", "windows", "at", (F.col("place") - F.col("seed_at")).cast("int").alias("shift")
