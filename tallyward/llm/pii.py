@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.llm import boosting
-from tallyward.llm.common import table
+from tallyward.llm.common import table, text_blocks
 
 KINDS = ("email", "ip", "card", "phone")
-EXAMPLES = 1500
+EXAMPLES = 1000
+RUN = 4096
 PRECISION = 0.98
 SEED = 20
 CONTEXT = 40
@@ -83,7 +86,10 @@ def _order(span: tuple[str, int, int]) -> tuple[int, int, int]:
 
 _AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[({] ?at ?[\])}] ?| at )[A-Za-z0-9-]{1,63}"
                  r"(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}")
-_NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9](?:[ ()./_  -]{0,3}[0-9]){6,18}(?![0-9A-Za-z])")
+_GROUP = re.compile(r"[0-9]+")
+# What may stand between the digit groups of one number, at most three of them.
+_BETWEEN = frozenset(" ()./_-\u00a0")
+GROUPS, DIGITS = 6, {"phone": (7, 15), "card": (12, 19)}
 _V6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _ENDING = re.compile(r"\W(com|org|net|edu|info|io|de|fr|es)$")
 _WORD = re.compile(r"[a-z]+")
@@ -98,41 +104,101 @@ AGAINST = ("order", "isbn", "invoice", "version", "date", "id", "ref", "serial",
            "number", "code", "ticket", "build", "license", "doi", "lot")
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Spans that may be personal data beyond the base ones; they may overlap."""
-    found = []
+Span = tuple[str, int, int]
+
+
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that spans cover, disjoint and ascending."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _free(start: int, end: int, covered: tuple[list[int], list[int]]) -> bool:
+    i = bisect_left(covered[0], end)
+    return i == 0 or covered[1][i - 1] <= start
+
+
+def _numbers(text: str, covered: tuple[list[int], list[int]]) -> Iterator[Span]:
+    """Every run of up to ``GROUPS`` digit groups outside base spans that has the digits of a phone or a card.
+
+    Groups follow one another over at most three separators. A run starts and ends next to no letter or digit; a plus or an
+    opening bracket before it is part of it. A start has at most ``GROUPS`` runs, so their number grows with the text.
+    """
+    groups: list[tuple[int, int]] = []
+    for m in _GROUP.finditer(text):
+        a, b = m.span()
+        if not _free(a, b, covered):
+            groups = []
+            continue
+        if groups and not (a - groups[-1][1] <= 3 and _BETWEEN.issuperset(text[groups[-1][1] : a])):
+            groups = []
+        groups = [*groups[1 - GROUPS :], (a, b)]
+        if text[b : b + 1].isalnum():
+            continue
+        digits = 0
+        for c, d in reversed(groups):
+            digits += d - c
+            if digits > DIGITS["card"][1]:
+                break
+            if text[c - 1 : c].isalnum() or digits < DIGITS["phone"][0]:
+                continue
+            while c and text[c - 1] in "+(" and _free(c - 1, b, covered):
+                c -= 1
+            for kind, (low, high) in DIGITS.items():
+                if low <= digits <= high:
+                    yield kind, c, b
+
+
+def candidates(text: str, base: list[Span] | None = None) -> Iterator[Span]:
+    """Spans that may be personal data beyond the base ones, none of which they touch; they overlap one another."""
+    covered = _merged(base_spans(text) if base is None else base)
+    found = [_numbers(text, covered)]
     if " at " in text or any(f"{c}at" in text or f"{c} at" in text for c in "[({"):
-        found += [("email", *m.span()) for m in _AT.finditer(text)]
-    for m in _NUMBER.finditer(text):
-        n = len(_digits(m[0]))
-        if 7 <= n <= 15:
-            found.append(("phone", *m.span()))
-        if 12 <= n <= 19:
-            found.append(("card", *m.span()))
+        found.append(("email", *m.span()) for m in _AT.finditer(text))
     if "::" in text or text.count(":") > 2:
-        found += [("ip", *m.span()) for m in _V6.finditer(text)]
-    return found
+        found.append(("ip", *m.span()) for m in _V6.finditer(text))
+    return (c for c in chain.from_iterable(found) if _free(c[1], c[2], covered))
+
+
+_INSIDE = re.compile(r"[0-9][^0-9]+(?=[0-9])")
+_BEFORE = re.compile(r"[0-9]([ ()./_\u00a0-]{1,3})$")
+_AFTER = re.compile(r"([ ()./_\u00a0-]{1,3})[0-9]")
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
-    """Format of the span and the words around it, as numbers."""
+    """Format of the span, the words around it, and how numbers next to it are set off."""
     span, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT // 2]
     d = _digits(span)
-    groups = [len(g) for g in re.findall("[0-9]+", span)]
+    groups = [len(g) for g in _GROUP.findall(span)]
     seps = [c for c in span if not c.isalnum()]
     left = _WORD.findall(before.lower())
     near = left[-3:] + _WORD.findall(after.lower())[:1]
+    inside = {m[0][1:] for m in _INSIDE.finditer(span)}
+    ahead, behind = _BEFORE.search(before), _AFTER.match(after)
+    at = span.find(" at ")
+    local = span[:at] if at > 0 else ""
     return [
         *(float(kind == k) for k in KINDS),
         len(span), len(d), len(groups), max(groups, default=0), min(groups, default=0), groups[-1] if groups else 0,
+        groups[0] if groups else 0, groups[1] if len(groups) > 1 else 0,
         len(seps), len(set(seps)), span.count("-"), span.count("."), span.count("/"), span.count("("), span.count(":"),
         float(luhn(d)) if d else -1.0,
-        len(set(d)), float(d[:1] == "0"), float(d[:1] in tuple("3456")), float(d[:2] in ("19", "20")),
+        len(set(d)), float(d[:1] == "0"), float(d[:1] in tuple("3456")), float(d[:2] in ("19", "20")), float(span[0] == "+"),
+        float(span.count("(") == span.count(")")),
         *(float(any(w in CUES[k] for w in near)) for k in KINDS),
         float(any(w in AGAINST for w in near)),
         float(before[-1:] in ("=", "#", "/", "$", ":", '"')), float(after[:1] in ("/", "%", '"', ":")),
         float("[" in span or "(at" in span or "{" in span), float(" dot " in span), float(bool(_ENDING.search(span))),
+        float(at > 0), float(any(not c.isalpha() for c in local)),
         float(groups[:3] == [3, 3, 4]), float(len(set(groups[:4])) == 1 and len(groups) >= 4),
+        0.0 if ahead is None else 1.0 + (ahead[1] in inside), 0.0 if behind is None else 1.0 + (behind[1] in inside),
     ]
 
 
@@ -149,45 +215,72 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
 
     def positive(kind: str) -> str:
         if kind == "email":
-            at, dot = rng.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("{at}", ".")))
-            return f"{word()}.{word()}{num(rng.choice((0, 2)))}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', 'de'))}"
+            name = f"{word()}{rng.choice('._-')}{word()}" if rng.random() < 0.6 else f"{word()}{num(2)}"
+            at, dot = rng.choice(((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("{at}", "."),
+                                  (" at ", ".")))
+            if rng.random() < 0.3 and (at, dot) != (" at ", "."):
+                name = word()
+            return f"{name}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', 'de'))}"
         if kind == "ip":
             return ":".join("%x" % rng.randint(0, 65535) for _ in range(8)) if rng.random() < 0.6 else f"2001:db8::{rng.randint(1, 65535):x}:{rng.randint(1, 65535):x}"  # noqa: E501
         if kind == "card":
-            return card(rng.choice((".", "/", " ", "_", "  ")))
+            return card(rng.choice((".", "/", "_", "  ", " - ")))
         return rng.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}",
-                           f"00{num(2)} {num(3)} {num(7)}", f"0{num(3)} / {num(7)}", f"0{num(2)} {num(4)} {num(4)}"))
+                           f"{num(3)} {num(3)} {num(4)}", f"({num(3)}){num(3)}-{num(4)}", f"({num(3)}) {num(3)} {num(4)}",
+                           f"00{num(2)} {num(3)} {num(7)}", f"0{num(3)} / {num(7)}", f"0{num(2)}/{num(7)}",
+                           f"0{num(2)} {num(4)} {num(4)}", f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}"))
 
     def negative(kind: str) -> str:
         if kind == "email":
-            return f"{word()} at {word()}.{word().title()}" if rng.random() < 0.6 else f"{word()} at {word()} dot {word()}"
+            site = f"{word()}.{rng.choice(('com', 'org', 'net', 'de', 'io'))}"
+            return rng.choice((f"{word()} at {word()}.{word().title()}", f"{word()} at {word()} dot {word()}",
+                               f"{word()} at {site}", f"{word().title()} at {site}", f"{word()} at www.{site}"))
         if kind == "ip":
             return f"{rng.randint(0, 23):02d}:{num(2)}:{num(2)}" if rng.random() < 0.8 else f"{num(1)}:{num(1)}:{num(1)}"
         if kind == "card":
             return rng.choice((num(13), num(16), num(19), f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(8)}-{num(4)}",
                                ".".join(num(4) for _ in range(4)), f"{num(4)} {num(4)} {num(4)} {num(4)}"))
-        return rng.choice((f"20{num(2)}-0{rng.randint(1, 9)}-1{num(1)}", f"19{num(2)}/{num(2)}/{num(2)}", num(8), num(10), num(13),
-                           f"{num(4)}.{num(4)}", f"{num(2)}.{num(2)}.20{num(2)}", f"20{num(2)}-20{num(2)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}",
-                           f"{num(16)}", f"{num(3)} {num(3)} {num(3)}"))
+        return rng.choice((day(), f"{day()} {day()}", num(8), num(10), num(13), f"{num(4)}.{num(4)}", f"{num(3)}, {num(4)}",
+                           f"20{num(2)}-20{num(2)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(16)}",
+                           f"{num(3)} {num(3)} {num(3)}", " ".join(num(rng.randint(1, 5)) for _ in range(rng.randint(3, 8))),
+                           f"{num(2)}.{num(2)} {num(2)}.{num(2)} {num(2)}.{num(2)}", f"{day()} {num(2)}.{num(2)}.{num(2)}"))
+
+    def day() -> str:
+        y, m, d = f"{rng.choice((19, 20))}{num(2)}", f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 28):02d}"
+        return rng.choice((f"{y}-{m}-{d}", f"{y}/{m}/{d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}", f"{y}{m}{d}"))
+
+    def neighbour() -> str:
+        return rng.choice((day(), num(1), num(2), num(3), num(4), f"{num(1)}.{num(1)}", f"{num(2)}/{num(2)}"))
 
     rows, labels, kinds = [], [], []
     for kind in KINDS:
         for i in range(n):
             good = i % 2 == 0
             cue = rng.random()
-            lead = rng.choice(CUES[kind]) if cue < (0.5 if good else 0.05) else rng.choice(AGAINST) if cue > (0.99 if good else 0.5) else word()  # noqa: E501
+            lead = rng.choice(CUES[kind]) if cue < (0.5 if good else 0.05) else rng.choice(AGAINST) if cue > (0.99 if good else 0.5) else word()  # noqa: E731,E501
             mark = rng.choice(("", "", ":")) if good else rng.choice(("", "", ":", "="))
-            text = f"{word()} {word()} {lead}{mark} {positive(kind) if good else negative(kind)} {word()}, {word()}."
+            text, planted = f"{word()} {word()} {lead}{mark} ", set()
+            # Numbers stand beside one another: a neighbour before, after, or a second one of the kind.
+            beside = kind in ("card", "phone") and rng.random() < 0.5
+            if beside and rng.random() < 0.5:
+                text += f"{neighbour()} "
+            for again in range(1 + (beside and rng.random() < 0.5)):
+                text += " " * again + (made := positive(kind) if good else negative(kind))
+                if good:
+                    planted.add((kind, len(text) - len(made), len(text)))
+            if beside and rng.random() < 0.5:
+                text += f" {neighbour()}"
+            text += f" {word()}, {word()}."
             for span in candidates(text):
                 rows.append(features(text, *span))
-                labels.append(float(good and span[0] == kind))
+                labels.append(float(span in planted))
                 kinds.append(span[0])
     return np.array(rows), np.array(labels), kinds
 
 
 @cache
 def trained():
-    """The trees, and for each kind the lowest score above which unseen examples are right ``PRECISION`` of the time."""
+    """The trees, and for each kind the score down to which unseen examples are right ``PRECISION`` of the time."""
     x, y, kinds = examples()
     fold = np.arange(len(y)) % 3 == 0
     model = boosting.fit(x[~fold], y[~fold], trees=40)
@@ -197,27 +290,37 @@ def trained():
         s, t = score[own], y[fold][own]
         order = np.argsort(-s, kind="stable")
         right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(right >= PRECISION)
-        cut[kind] = max(0.5, float(s[order][good[-1]])) if len(good) else 1.1
+        good = np.flatnonzero((right >= PRECISION) & (t[order] == 1))
+        cut[kind] = 1.1
+        if len(good):
+            # Halfway from the last right one to the next score below it.
+            lower = s[s < s[order][good[-1]]]
+            cut[kind] = float(s[order][good[-1]] + lower.max(initial=0)) / 2
     return model, cut
 
 
-def all_spans(text: str, base: list[tuple[str, int, int]], model) -> list[tuple[str, int, int]]:
+def all_spans(text: str, base: list[Span], model) -> list[Span]:
     """Base spans and the candidates that the trees accept: best score first, none that overlaps one taken before."""
-    more = [c for c in candidates(text) if not any(c[1] < b[2] and b[1] < c[2] for b in base)]
-    if not more:
-        return base
     trees, cut = model
-    scores = boosting.predict(trees, np.array([features(text, *c) for c in more]))
+    accepted = []
+    # Judged in runs, so that a text full of numbers holds the features of one run alone.
+    for run in batched(candidates(text, base), RUN):
+        scores = boosting.predict(trees, np.array([features(text, *c) for c in run]))
+        accepted += [(-s, *c) for s, c in zip(scores.tolist(), run) if s >= cut[c[0]]]
+    if not accepted:
+        return base
+    starts: list[int] = []
+    ends: list[int] = []
     taken = list(base)
-    for i in sorted(range(len(more)), key=lambda i: (-scores[i], _order(more[i]))):
-        kind, start, end = more[i]
-        if scores[i] >= cut[kind] and not any(start < b[2] and b[1] < end for b in taken):
-            taken.append(more[i])
+    for _, kind, start, end in sorted(accepted, key=lambda c: (c[0], _order(c[1:]))):
+        i = bisect_left(starts, end)
+        if i == 0 or ends[i - 1] <= start:
+            starts.insert(i, start)
+            ends.insert(i, end)
+            taken.append((kind, start, end))
     return sorted(taken, key=_order)
 
 
-
 def find(docs: DataFrame) -> DataFrame:
     """Personal data in whole texts.
 
@@ -231,12 +334,17 @@ def find(docs: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for batch in batches:
-            base = [base_spans(t or "") for t in batch.column(1).to_pylist()]
-            every = [all_spans(t or "", b, model) for t, b in zip(batch.column(1).to_pylist(), base)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(map(as_rows, base), kind), pa.array(map(as_rows, every), kind)],
-                ["doc_id", "base", "spans"],
-            )
+            for first, texts in text_blocks(batch.column(1)):
+                base = [base_spans(t) for t in texts]
+                every = [all_spans(t, b, model) for t, b in zip(texts, base)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(texts)),
+                        pa.array(map(as_rows, base), kind),
+                        pa.array(map(as_rows, every), kind),
+                    ],
+                    ["doc_id", "base", "spans"],
+                )
 
     kind = "array<struct<kind: string, start: long, end: long>>"
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -261,17 +369,17 @@ def redact(docs: DataFrame) -> DataFrame:
     model, names = trained(), docs.columns
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                None if t is None else redacted(t, all_spans(t, base_spans(t), model))
-                for t in batch.column(names.index("text")).to_pylist()
-            ]
-            columns = dict(zip(names, batch.columns))
-            columns["text"] = pa.array(texts, columns["text"].type)
-            if "n_chars" in columns:
-                counts = [n if t is None else len(t) for t, n in zip(texts, columns["n_chars"].to_pylist())]
-                columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+        for whole in batches:
+            for first, run in text_blocks(whole.column(names.index("text"))):
+                batch = whole.slice(first, len(run))
+                nulls = batch.column(names.index("text")).is_null().to_pylist()
+                texts = [None if null else redacted(t, all_spans(t, base_spans(t), model)) for t, null in zip(run, nulls)]
+                columns = dict(zip(names, batch.columns))
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if "n_chars" in columns:
+                    counts = [n if t is None else len(t) for t, n in zip(texts, columns["n_chars"].to_pylist())]
+                    columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     return docs.mapInArrow(replace, docs.schema)
 
