@@ -25,7 +25,7 @@ FEATURES = 256  # cosine features
 GAMMA = 0.02
 RIDGE = 3.0
 SEED = 3
-SUMS = 16  # partial sums that reach the driver
+FAN = 16  # partial sums added by one task, and those that reach the driver at most
 THRESHOLD = 0.3
 CLIP = 5.0
 RAW = (-1.0, 2.0)
@@ -75,7 +75,7 @@ def described(docs: DataFrame) -> DataFrame:
 def summed(parts: DataFrame) -> np.ndarray | None:
     """The sum of a column ``s`` of equally long arrays of doubles, one row for each partition that made it.
 
-    Partials are added in ``SUMS`` streams, and those on the driver.
+    Partials are added ``FAN`` at a time, level by level, until so many are left; those are added on the driver.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,9 +85,14 @@ def summed(parts: DataFrame) -> np.ndarray | None:
                 s = np.frombuffer(raw)
                 total = s.copy() if total is None else total + s
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
-
-    rows = parts.repartition(SUMS, "part").mapInArrow(add, "s binary").collect()
+            part = pa.array([TaskContext.get().partitionId()], pa.int32())
+            yield pa.RecordBatch.from_arrays([part, pa.array([total.tobytes()], pa.binary())], ["part", "s"])
+
+    left = parts.rdd.getNumPartitions()
+    while left > FAN:
+        left = -(-left // FAN)
+        parts = parts.repartition(left, F.floor(F.col("part") / FAN)).mapInArrow(add, "part int, s binary")
+    rows = parts.select("s").collect()
     return np.sum([np.frombuffer(r.s) for r in rows], axis=0) if rows else None
 
 
