@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.llm import calibration
-from tallyward.llm.common import fold, table
-from tallyward.llm.crf import forward_backward
+from tallyward.llm.common import fold, table, text_blocks
+from tallyward.llm.crf import chained_marginals, forward_backward
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000  # labelled documents the field is fitted to, chosen by hash
 SAMPLE_CHARS = 20_000  # labelled documents up to this length may be chosen for the fit; all lengths are scored
 CALIBRATE = 2000  # labelled documents for the calibration, chosen by hash
-STEPS = 64
-CHAINS = 10_000  # chains in the fit
+STEPS = 64  # tokens of a row: messages pass from row to row of a text; the fit takes rows as pieces
+CHAINS = 10_000  # pieces in the fit at most, of the documents above
 SHARED = 3  # words that a beginning must have to be a feature
 CHANCE, PURITY = 0.01, 0.95
 ROUNDS = 40
@@ -129,11 +129,11 @@ class Field:
         return got
 
     def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of label 1 in rows of ``STEPS``, and the text of each row."""
+        """Marginals of label 1, each text being one chain, in rows of ``STEPS``, and the text of each row."""
         get, of = self.cache.get, self.potential
         flat = np.array([of(w) if (v := get(w)) is None else v for words in texts for w in words], float)
         unary, owner = chains(flat, np.array([len(w) for w in texts], np.int64), np.nan)
-        return (forward_backward(unary, self.trans)[0] if len(unary) else unary), owner
+        return (chained_marginals(unary, self.trans, owner) if len(unary) else unary), owner
 
     def evidence(self, texts: list[list[str]]) -> np.ndarray:
         """Log of the summed squares of the marginals in each text: sure tokens count, faint ones hardly add up."""
@@ -239,10 +239,12 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     picked = docs.sparkSession.createDataFrame([(r.doc_id, r.y, r.calibrate) for r in wanted], "doc_id long, y int, calibrate boolean")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = (
+        # Of texts with the same id, the least in binary order.
         docs.select(doc_id.alias("doc_id"), text.alias("text"))
         .where(F.length("text") <= SAMPLE_CHARS)
         .join(F.broadcast(picked), "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.first("y").alias("y"), F.first("calibrate").alias("calibrate"))
         .collect()
     )
     if not rows:
@@ -280,40 +282,30 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            scores = _scores(model, texts)
-            found = [
-                [{"start": a, "end": b} for a, b in spans(model.field, t)] if s >= THRESHOLD else []
-                for t, s in zip(texts, scores)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "spans"]
-            )
+            for first, texts in text_blocks(batch.column(1)):
+                scores = model.score([tokens_of(t) for t in texts])
+                found = [
+                    [{"start": a, "end": b} for a, b in spans(model.field, t)] if s >= THRESHOLD else []
+                    for t, s in zip(texts, scores)
+                ]
+                ids = batch.column(0).slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(scores, pa.float64()), pa.array(found, kind)], ["doc_id", "score", "spans"]
+                )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, score double, spans array<struct<start: long, end: long>>")
 
 
-def _scores(model: Model, texts: list[str]) -> list[float]:
-    out: list[float] = []
-    run, size = [], 0
-    for i, text in enumerate(texts):
-        run.append(tokens_of(text))
-        size += len(run[-1])
-        if size > 100_000 or i == len(texts) - 1:
-            out += model.score(run).tolist()
-            run, size = [], 0
-    return out
-
-
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose score is under the threshold, all columns as they are; no row is shuffled."""
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _scores(model, [t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
+            for first, texts in text_blocks(batch.column(at)):
+                clean = model.score([tokens_of(t) for t in texts]) < THRESHOLD
+                yield batch.slice(first, len(texts)).filter(pa.array(clean))
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -67,6 +67,18 @@ def test_runs_of_numbers_equal_brute_force():
         assert {c for c in pii.candidates(text, []) if c[0] in pii.DIGITS} == want, text
 
 
+def test_messages_pass_over_the_rows_of_a_chain():
+    rng = np.random.default_rng(4)
+    trans = rng.normal(size=(2, 2)) * 2
+    values = [rng.normal(size=n) * 3 for n in (500, 1, 64, 65, 128, 7)]
+    rows, owner = toxicity.chains(np.concatenate(values), np.array([len(v) for v in values]), np.nan)
+    got = crf.chained_marginals(rows, trans, owner)
+    for k, v in enumerate(values):
+        whole = crf.forward_backward(v[None], trans)[0][0]
+        assert np.allclose(got[owner == k].ravel()[: len(v)], whole, atol=1e-9)
+        assert not got[owner == k].ravel()[len(v) :].any()
+
+
 # Made by hand, apart from the generator of the training examples: what is personal in each text, base spans left out.
 BY_HAND = [
     ("212-555-0199 212-555-0143", ["212-555-0199", "212-555-0143"]),
