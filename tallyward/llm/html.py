@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from functools import cache
 from html import unescape
 
@@ -18,17 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm.common import table
+from tallyward.llm.common import table, text_blocks
 from tallyward.llm.crf import forward_backward, viterbi
 
 PAGES = 700
-ROUNDS = 120
+ROUNDS = 160
 SEED = 6
 
+# No attempt runs past the next "<" in vain; tags it does not match are read by _tag_end.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
+    r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^<\"]*+\"|'[^<']*+')*+>)?",
     re.S,
 )
+_STOP = re.compile("[>\"']")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN, _UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)"), re.compile(r"display\s*:\s*none")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 # Fixed sets of HTML: elements whose content is no text, elements without content, inline elements.
@@ -42,71 +47,160 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _SCOPES = frozenset("ul ol dl table article section div body aside nav form main header footer blockquote".split())
 
 
-def blocks_of(page: str) -> list[tuple[str, list[tuple[str, str]], int]]:
-    """(text, ancestors as (tag, words of class, id and role), characters inside links) of each leaf block, in order."""
+def _hides(attributes: str) -> bool:
+    """Whether an element with these attributes is not shown."""
+    low = attributes.lower()
+    if "hidden" in low and _HIDDEN.search(_QUOTED.sub('""', low)):
+        return True
+    return "none" in low and bool(_UNSEEN.search(low))
+
+
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag ends whose attributes start at ``at``: behind the next ">" outside quotes, or the next at all; -1 if none.
+
+    A quote from which no such end was found is remembered in ``dead``, so a page is not read again for each of its tags.
+    """
+    seen, place = [], at
+    while (m := _STOP.search(page, place)) and m.start() not in dead:
+        if m[0] == ">":
+            return m.end()
+        seen.append(m.start())
+        place = page.find(m[0], m.end()) + 1
+        if not place:
+            break
+    dead.update(seen)
+    return page.find(">", at) + 1 or -1
+
+
+def blocks_of(page: str, known: Container[str] | None = None) -> list[tuple[str, list[tuple[str, str]], int]]:
+    """(text, ancestors as (tag, words of class, id and role), characters inside links) of each leaf block, in order.
+
+    Ancestors are distinct, the innermost last; with ``known``, only those with features in it and the innermost. Text of
+    hidden elements and of controls is no block and ends none. However deep or broken, a page takes time in proportion to
+    its length, times the distinct ancestors of a block.
+    """
     out: list[tuple[str, list[tuple[str, str]], int]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, bool]] = []
+    distinct: list[tuple[str, str]] = []
+    times: Counter[tuple[str, str]] = Counter()
+    is_open: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = at = 0
+    linked = links = at = hidden = 0
+    inline_hidden: list[str] = []
+    dead: set[int] = set()
+    endless: set[str] = set()
+    last = page.rfind(">")
+    ancestors: list[tuple[str, str]] | None = None
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, ancestors
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, [x for x in stack if x[0] not in _INLINE], min(linked, len(text))))
+                if ancestors is None:
+                    ancestors = [x for x in distinct if x != stack[-1][:2]] + [x[:2] for x in stack[-1:]]
+                out.append((text, ancestors, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def cut(place: int) -> None:
+        nonlocal hidden, ancestors
+        for tag, named, was_hidden in reversed(stack[place:]):
+            is_open[tag] -= 1
+            hidden -= was_hidden
+            times[tag, named] -= 1
+            if not times[tag, named]:
+                del times[tag, named]
+                if distinct and distinct[-1] == (tag, named):
+                    distinct.pop()
+        del stack[place:]
+        ancestors = None
+
     while True:
         m = _MARKUP.search(page, at)
+        if m and m[2] and m.start() > last:
+            # No tag can end any more, so all that follows is text but for comments.
+            m = _COMMENT.search(page, m.start())
         text = page[at : m.start()] if m else page[at:]
-        if text:
+        if text and not hidden and not inline_hidden:
             parts.append(text)
             linked += len(text.strip()) if links else 0
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower() if m.re is _MARKUP else ""
         if not tag:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if m[3] is None:
+            start, at = at, _tag_end(page, at, dead)
+            attributes = page[start : at - 1]
+        else:
+            attributes = m[3][:-1]
+        closing = m[1]
         if tag == "br":
             parts.append(" ")
             continue
         if tag == "a":
             links = 0 if closing else 1
         if not closing and tag in _SILENT:
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
+            end = None if tag in endless else _closing(tag).search(page, at)
+            if end is None:
+                endless.add(tag)
             if end or tag in ("script", "style"):
                 at = end.end() if end else len(page)
-            if tag not in _INLINE:
+            if tag in _APART:
                 flush()
             continue
         if tag in _INLINE:
+            if inline_hidden and closing and tag == inline_hidden[-1]:
+                inline_hidden.pop()
+            elif not closing and tag not in _VOID and (inline_hidden[-1:] == [tag] or _hides(attributes)):
+                inline_hidden.append(tag)
             continue
         flush()
         links = 0
+        inline_hidden.clear()
         if closing:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if is_open[tag]:
+                place = len(stack) - 1
+                while stack[place][0] != tag:
+                    place -= 1
+                cut(place)
         elif tag not in _VOID:
             shut = _CLOSES.get(tag, ())
             if tag not in _CLOSES and stack and stack[-1][0] == "p":
-                stack.pop()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPES:
-                    break
+                cut(len(stack) - 1)
+            if any(is_open[x] for x in shut):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in shut:
+                        cut(i)
+                        break
+                    if stack[i][0] in _SCOPES:
+                        break
             named = " ".join(a or b or c for _, a, b, c in _NAMED.findall(attributes)).lower() if attributes else ""
-            stack.append((tag, " ".join(_PART.findall(named))))
+            unseen = _hides(attributes)
+            names = " ".join(w for w in _PART.findall(named) if known is None or "is=" + w in known)
+            if not times[tag, names] and (known is None or names or "in=" + tag in known):
+                distinct.append((tag, names))
+            times[tag, names] += 1
+            stack.append((tag, names, unseen))
+            is_open[tag] += 1
+            hidden += unseen
+            ancestors = None
     flush()
     return out
 
 
+@cache
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}(?![a-zA-Z0-9-])[^>]*+>", re.I)
+
+
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+# Silent elements between blocks; the others stand inside a line.
+_APART = frozenset("title template noscript iframe".split())
+
+
 # Words that speak of page furniture, in the languages of the corpus.
 FURNITURE = frozenset(
     "copyright cookie cookies subscribe login newsletter privacy advertisement sponsored share comments reply impressum datenschutz".split()
@@ -208,6 +302,15 @@ def training_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[int
             block_text = pick(("&copy; ", "© 2024 ", "Copyright ", "")) + words(2, 25)
             within(opening, closing, lambda: (block(block_text, 0, *pick((("", ""), ("<p>", "</p>")))), links("li") if chance() < 0.3 else None))
 
+        def furniture() -> None:
+            """What the tag alone, or a rare name with a telling part, sets apart from the text around it."""
+            opening, closing = pick((("<nav>", "</nav>"), ("<aside>", "</aside>"), ("<form>", "</form>"), ("<footer>", "</footer>"),
+                                     named("div", "disqus_thread", "user-feedback", "reader-comments", "feedback", "thread", "pager")))
+            fill = pick((lambda: block(words(1, 12), 0), lambda: some(1, 3, 2, 40), lambda: links(pick(("li", "div", "p")))))
+            if opening == "<form>":
+                fill = lambda: some(1, 2, 1, 12, pick(("p", "div", "fieldset")))
+            within(opening, closing, fill)
+
         def article() -> None:
             plain = chance() < 0.12
             opening, closing = pick((("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ("<article>", "</article>"),
@@ -220,20 +323,22 @@ def training_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[str, list[int
                     block(words(2, 12), 1, "<h1>", "</h1>")
                 for _ in range(rng.randint(1, 14)):
                     kind = chance()
-                    if kind < 0.75:
+                    if kind < 0.72:
                         block(words(1, 8) if chance() < 0.3 else words(8, 90), 1, "<p>", pick(("</p>", "</p>", "")))
-                    elif kind < 0.82:
+                    elif kind < 0.79:
                         block(words(2, 8), 1, "<h2>", "</h2>")
-                    elif kind < 0.88:
+                    elif kind < 0.85:
                         within("<ul>", "</ul>", lambda: [block(words(2, 20), 1, "<li>", "</li>") for _ in range(rng.randint(2, 4))])
-                    elif kind < 0.91:
+                    elif kind < 0.88:
                         block(words(5, 40), 1, "<blockquote>", "</blockquote>")
-                    elif kind < 0.94:
+                    elif kind < 0.91:
                         within("<table><tr>", "</tr></table>", lambda: [block(words(1, 3), 1, "<td>", "</td>") for _ in range(3)])
-                    elif kind < 0.96 and not plain:
+                    elif kind < 0.925 and not plain:
                         advert()
-                    elif kind < 0.98 and not plain:
+                    elif kind < 0.94 and not plain:
                         sidebar()
+                    elif kind < 0.99 and not plain:
+                        furniture()
                     else:
                         block(words(3, 12), 1, "<p>", "</p>")
                 if chance() < 0.1 and not plain:
@@ -287,7 +392,7 @@ def trained() -> tuple[dict[str, float], list[list[float]]]:
 
 def main_text(page: str, model) -> str:
     weights, trans = model
-    found = blocks_of(page)
+    found = blocks_of(page, weights)
     get = weights.get
     unary = [sum(get(f, 0.0) for f in features(*b, i, len(found))) for i, b in enumerate(found)]
     return "\n".join(b[0] for b, label in zip(found, viterbi(unary, trans)) if label)
@@ -304,11 +409,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p or "", model) for p in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
-            )
+            for first, run_pages in text_blocks(batch.column(2)):
+                texts = [main_text(p, model) for p in run_pages]
+                ids, urls = (batch.column(k).slice(first, len(texts)) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, urls, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                    ["page_id", "url", "text", "n_chars"],
+                )
 
     narrow = pages.select(
         F.col("page_id").cast("long").alias("page_id"),

@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -262,3 +264,84 @@ def test_extract_frame(spark):
     )
     got = html.extract(pages).collect()
     assert sorted(r.text for r in got) == ["", "", "Only this text here."] and html.extract(pages.limit(0)).count() == 0
+
+
+class Splitter(HTMLParser):
+    """Leaf blocks by the parser of the standard library, for well-formed pages without hidden elements or controls."""
+
+    def __init__(self):
+        super().__init__()
+        self.done, self.parts = [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.done += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in html._INLINE:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag not in html._INLINE:
+            self.flush()
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+def test_blocks_equal_those_of_the_standard_parser():
+    rng = random.Random(11)
+    pages = [page for page, _ in html.training_pages(60, seed=5)]
+    tags = ("p", "div", "b", "a", "ul", "li", "span", "section")
+    for _ in range(300):
+        made, opened = [], []
+        for _ in range(rng.randint(1, 40)):
+            kind = rng.random()
+            if kind < 0.4:
+                made.append(rng.choice(("some text", " ", "a &amp; b", "&lt;x&gt;", "<br>", "<!-- <p>no</p> -->", "\n")))
+            elif kind < 0.75 or not opened:
+                opened.append(rng.choice(tags))
+                made.append(f"<{opened[-1]}{rng.choice(('', ' class=x', ' title=\"a > b\"', ' title=\'<p>\'', ' data-x=\"<\"'))}>")
+            else:
+                made.append(f"</{opened.pop()}>")
+        pages.append("".join(made))
+    for page in pages:
+        plain = Splitter()
+        plain.feed(page)
+        plain.close()
+        plain.flush()
+        assert [b[0] for b in html.blocks_of(page)] == plain.done, page
+
+
+def test_furniture_inside_the_article():
+    lines = ["The council met on Monday evening to discuss the new bridge over the river, which has been planned for years.",
+             "Several speakers, among them the mayor, asked for more time and a second report on the costs of the work.",
+             "A vote is expected in spring, and building could start in the autumn of the same year."]
+    extra = ["<nav>Prev Next</nav>", "<aside>Subscribe to our list today.</aside>", "<form><p>Your name</p></form>",
+             '<div id="disqus_thread"><p>I do not agree with this at all, sorry.</p></div>',
+             '<div class="user-feedback"><p>Great article, thank you very much.</p></div>',
+             '<p style="display: none">Not to be seen.</p>', "<p hidden>Nor is this to be seen.</p>"]
+    for gap in extra:
+        page = f"<html><body><article><p>{lines[0]}</p><p>{lines[1]}</p>{gap}<p>{lines[2]}</p></article></body></html>"
+        if gap.startswith("<div"):
+            page = f"<html><body><article><p>{lines[0]}</p><p>{lines[1]}</p><p>{lines[2]}</p>{gap}</article></body></html>"
+        assert html.main_text(page, html.trained()) == "\n".join(lines), gap
+    assert [b[0] for b in html.blocks_of("<p>Press <button>OK</button>now, <span hidden>never</span>please do it.</p>")] == ["Press now, please do it."]
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a '\">", '<a ">"', "<option>", "<!x", "<p", "<div></x>", "<h1><p>", "<li><h1>", "<div>x", "</p>", "&", "<!--", '<a b="<'])
+def test_hostile_pages_take_linear_time(unit):
+    page, began = unit * (2_000_000 // len(unit)), time.process_time()
+    for tail in ("", ">", '">'):
+        html.blocks_of(page + tail, html.trained()[0])
+    assert time.process_time() - began < 45
+
+
+def test_partial_sums_level_by_level(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 1000, 1, 70).select(F.array(F.col("id").cast("double")).alias("x"), F.lit(1.0).alias("y"))
+    assert quality.partition_sums(rows, lambda x, y: np.array([x.sum(), y.sum()])).tolist() == [499500.0, 1000.0]
