@@ -798,6 +798,39 @@ def _reconcile(out: dict[str, str]) -> None:
     w = With()
     src = events(w)
     ann = annotated(w, inject(w, "schema_drift"))
+    out["accounted_write"] = w.select(
+        f"""SELECT count(*) AS written_rows, count(*) AS stored_rows, true AS complete FROM {ann} WHERE outcome = 'stored'"""
+    )
+    rules = {
+        "line_is_key": ("l_orderkey, l_linenumber", "n > 1"),
+        "part_once_an_order": ("l_orderkey, l_partkey", "n > 1"),
+        "line_decides_part_and_price": (
+            "l_orderkey, l_linenumber",
+            "count(DISTINCT l_partkey) > 1 OR count(DISTINCT l_extendedprice) > 1",
+        ),
+        "part_decides_supplier": ("l_partkey", "count(DISTINCT l_suppkey) > 1"),
+        "order_decides_shipdate": ("l_orderkey", "count(DISTINCT l_shipdate) > 1"),
+        "status_decides_flag": ("l_linestatus", "count(DISTINCT l_returnflag) > 1"),
+    }
+    out["group_rule_violations"] = " UNION ALL ".join(
+        f"""SELECT '{name}' AS rule, count(*) AS groups, count_if(bad) AS violating_groups,
+            CAST(coalesce(sum(CASE WHEN bad THEN n END), 0) AS BIGINT) AS violating_rows
+        FROM (SELECT count(*) AS n, {bad} AS bad FROM lineitem GROUP BY {by})"""
+        for name, (by, bad) in rules.items()
+    )
+    out["mixed_json_profile"] = """WITH docs AS (SELECT CASE event_id % 50
+            WHEN 0 THEN '{"k": "' || event_type || '", "o": {"a": 1.5, "b": [1, "{t[", null]}}'
+            WHEN 1 THEN '[' || props || ', {"k": true}]' WHEN 2 THEN '{"k": ' WHEN 3 THEN NULL ELSE props END AS doc FROM events),
+        found AS (
+            SELECT regexp_replace(replace(t.fullkey, '"', ''), '\\[[0-9]+\\]', '[*]', 'g') AS path,
+                CASE WHEN t.type IN ('BIGINT', 'UBIGINT') THEN 'integer' WHEN t.type = 'DOUBLE' THEN 'number'
+                    WHEN t.type = 'VARCHAR' THEN 'string' ELSE lower(t.type) END AS type
+            FROM (SELECT doc FROM docs WHERE json_valid(doc)) d, json_tree(CAST(d.doc AS JSON)) t
+            UNION ALL SELECT '$', CASE WHEN doc IS NULL THEN 'absent' ELSE 'malformed' END FROM docs
+            WHERE doc IS NULL OR NOT json_valid(doc))
+        SELECT path, type, count(*) AS "values",
+            sum(CASE WHEN type IN ('null', 'malformed', 'absent') THEN 0 ELSE 1 END) OVER (PARTITION BY path) > 1 AS mixed
+        FROM found GROUP BY path, type"""
     out["row_count_reconcile"] = w.select(
         f"""SELECT status, source_rows, target_rows, target_rows - source_rows AS difference,
             source_rows = target_rows AS matches

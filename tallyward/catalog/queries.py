@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions import digests
-from tallyward.operators import checks, digest_tree, faults, generate, integrity, key_sketch, reconcile
+from tallyward.operators import checks, digest_tree, faults, generate, group_rules, integrity, json_profile, key_sketch, reconcile
 from tallyward.operators.checks import STORED, annotate
 from tallyward.plans import ab, baseline, experiments, proposed, reports, scenarios
 from tallyward.plans.combine import combine
@@ -541,6 +541,44 @@ def arrival_inversions(spark, sf):
     return reconcile.inversions(timed, "second", by=["customer_id"])
 
 
+LINE_RULES = (
+    group_rules.GroupRule("line_is_key", ("l_orderkey", "l_linenumber")),
+    group_rules.GroupRule("part_once_an_order", ("l_orderkey", "l_partkey")),
+    group_rules.GroupRule("line_decides_part_and_price", ("l_orderkey", "l_linenumber"), ("l_partkey", "l_extendedprice")),
+    group_rules.GroupRule("part_decides_supplier", ("l_partkey",), ("l_suppkey",)),
+    group_rules.GroupRule("order_decides_shipdate", ("l_orderkey",), ("l_shipdate",)),
+    group_rules.GroupRule("status_decides_flag", ("l_linestatus",), ("l_returnflag",)),
+)
+
+
+@query
+def group_rule_violations(spark, sf):
+    """Keys and functional dependencies of order lines."""
+    return group_rules.group_rule_violations(spread(table(spark, sf, "lineitem")), LINE_RULES)
+
+
+@query
+def mixed_json_profile(spark, sf):
+    """Paths and types of event properties, some of which were sent in another form."""
+    part = F.pmod("event_id", F.lit(50))
+    document = (
+        F.when(part == 0, F.format_string('{"k": "%s", "o": {"a": 1.5, "b": [1, "{t[", null]}}', F.col("event_type")))
+        .when(part == 1, F.format_string('[%s, {"k": true}]', F.col("props")))
+        .when(part == 2, F.lit('{"k": '))
+        .when(part == 3, F.lit(None))
+        .otherwise(F.col("props"))
+    )
+    events = table(spark, sf, "events").select(document.alias("document"))
+    return json_profile.json_profile(spread(events), "document")
+
+
+@query
+def accounted_write(spark, sf):
+    """Rows that the write of the curated events counted, and those that are stored."""
+    path = f"{checkpoint_root(spark)}/tallyward-accounted-{uuid.uuid4().hex}"
+    return sinks.write_accounted(proposed.kept_rows(faults.inject_schema_drift(_events(spark, sf), 0.2), AS_OF), path)
+
+
 @query
 def row_count_reconcile(spark, sf):
     events = _events(spark, sf)

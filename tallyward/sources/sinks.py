@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.functions.scalars import percent_text
@@ -20,6 +22,31 @@ def write_curated(rows: DataFrame, path: str, partition_by: str | None = None) -
     writer.parquet(path)
 
 
+def write_observed(rows: DataFrame, path: str, **measures: Column) -> dict[str, object]:
+    """Replace the Parquet table at ``path`` and return what was written: ``rows`` and the aggregates ``measures``.
+
+    The aggregates are computed by the write itself, so the rows are evaluated once; of a task that ran again after a
+    failure only the attempt that succeeded counts.
+    """
+    seen = Observation(f"write-{uuid.uuid4().hex}")
+    counted = rows.observe(seen, F.count("*").alias("rows"), *[m.alias(n) for n, m in measures.items()])
+    counted.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    return dict(seen.get)
+
+
+def write_accounted(rows: DataFrame, path: str, expected: int | None = None) -> DataFrame:
+    """One row: rows written by this write, rows that Parquet footers at ``path`` hold after it, and whether they are equal.
+
+    With ``expected`` they must also equal it.
+    """
+    written = write_observed(rows, path)["rows"]
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(path).agg(F.count("*").alias("stored_rows"))
+    same = F.col("stored_rows") == written
+    if expected is not None:
+        same &= F.lit(expected == written)
+    return stored.select(F.lit(written).cast("bigint").alias("written_rows"), "stored_rows", same.alias("complete"))
+
+
 def read_curated(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CURATED_EVENT).parquet(path)
 

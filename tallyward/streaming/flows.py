@@ -139,6 +139,29 @@ def duplicate_counts_stream(events: DataFrame, horizon: str, window: str = "1 da
     )
 
 
+def reconciled_stream(source: DataFrame, received: DataFrame, horizon: str) -> DataFrame:
+    """(event_id, event_ts, status): ids that only one side has, across micro-batches.
+
+    An id counts as ``missing`` (sent, not received) or ``unexpected`` (received, not sent) once the watermarks of both
+    streams have passed its event time by the horizon, so a row that arrives late but within it is no difference. Event
+    times do not change on the way. Copies are dropped first, as :func:`deduplicated_stream` does, so a hot id is one row.
+    """
+
+    def ids(events: DataFrame, side: str) -> DataFrame:
+        return deduplicated_stream(events, horizon).select(
+            F.col("event_id").alias(f"{side}_id"), F.col("event_ts").alias(f"{side}_ts")
+        )
+
+    sent, got = ids(source, "sent"), ids(received, "got")
+    paired = sent.join(got, (sent.sent_id == got.got_id) & (sent.sent_ts == got.got_ts), "full_outer")
+    alone = paired.where("sent_id is null or got_id is null")
+    return alone.select(
+        F.coalesce("sent_id", "got_id").alias("event_id"),
+        F.coalesce("sent_ts", "got_ts").alias("event_ts"),
+        F.when(F.col("got_id").isNull(), "missing").otherwise("unexpected").alias("status"),
+    )
+
+
 def stale_stream(events: DataFrame, as_of: str, horizon: str, window: str = "1 day") -> DataFrame:
     """Rows and stale rows per event-time window."""
     age = F.timestamp_diff("SECOND", F.col("event_ts"), F.lit(as_of).cast("timestamp"))

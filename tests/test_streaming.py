@@ -123,3 +123,30 @@ def test_late_rows_are_left_out(spark, feed, tmp_path):
          .option("checkpointLocation", str(tmp_path / "chk")))
     first = spark.read.parquet(out).orderBy("window_start").first()
     assert first.rows == 5
+
+
+def test_reconciled_across_batches(spark, tmp_path):
+    def feed(name, parts):
+        folder = tmp_path / name
+        for i, part in enumerate(parts):
+            made = tmp_path / f"{name}-{i}"
+            part.coalesce(1).write.parquet(str(made))
+            folder.mkdir(exist_ok=True)
+            shutil.copy(next(made.glob("*.parquet")), folder / f"f{i:03d}.parquet")
+        return flows.read_events(spark, str(folder), files_per_trigger=1)
+
+    events = generate.generate_orders(spark, 300)
+    raw = events.select(*flows.RAW_EVENT.names)
+    # The last row of each side only moves the watermark on.
+    last = raw.where("seq = 0").withColumns({"event_id": F.lit("end"), "event_time": F.lit("2031-01-01T00:00:00")})
+    renamed = F.when(F.col("seq") % 50 == 0, F.concat("event_id", F.lit("?"))).otherwise(F.col("event_id"))
+    got = raw.where("seq % 7 <> 3").withColumn("event_id", renamed)
+    early, late = got.where("seq % 2 = 0"), got.where("seq % 2 = 1")
+    source = feed("sent", [raw.where("seq < 150"), raw.where("seq >= 150"), last, last])
+    received = feed("got", [early, late.unionByName(early.where("seq < 40")), last, last])
+    alone = flows.reconciled_stream(source, received, "1 day")
+    _run(alone.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")))
+    found = {(r.event_id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    sent, there = ({r.event_id for r in df.collect()} for df in (raw, got))
+    assert found == {(i, "missing") for i in sent - there} | {(i, "unexpected") for i in there - sent}
+    assert len(spark.read.parquet(str(tmp_path / "out")).collect()) == len(found)
