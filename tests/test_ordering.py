@@ -78,3 +78,23 @@ def test_positional_mismatch_counts_surplus_target_rows(spark):
     target = spark.createDataFrame([(1, "a"), (2, "c"), (9, "d")], "seq long, event_time string")
     got = reconcile.positional_mismatch_rate(source, target).first()
     assert (got.mismatches, got.source_rows, got.mismatch_rate) == (2, 2, 1.0)
+
+
+def test_inversions_of_small_and_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(reconcile, "SMALL_GROUP_ROWS", 50)
+    rnd = random.Random(3)
+    rows = [(i, "hot" if i % 2 else f"k{i % 38}", rnd.randint(0, 90)) for i in range(400)]
+    rows += [(400, "tie", 5), (400, "tie", 1), (1, None, 9), (2, None, 1), (None, "k0", 1), (7, "k0", None)]
+    got = reconcile.inversions(spark.createDataFrame(rows, "seq long, k string, v long"), "v", by=["k"]).collect()
+    placed = [r for r in rows if None not in r]
+    want = {k: 0 for _, k, _ in rows}
+    for s, k, v in placed:
+        want[k] += sum(k == x and s < t and v > w for t, x, w in placed)
+    assert {r.k: r.inversions for r in got} == want
+
+
+def test_rows_of_small_groups_are_shuffled_before_they_are_multiplied(spark):
+    df = spark.range(100).selectExpr("id % 9 AS k", "id AS _order", "id * 7 % 31 AS _value")
+    plan = reconcile._pairs_in_small_groups(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
