@@ -22,7 +22,7 @@ class GroupRule:
 def group_rule_violations(df: DataFrame, rules: Sequence[GroupRule]) -> DataFrame:
     """Per rule: rule, groups, violating_groups and violating_rows (all rows of these groups).
 
-    Rules with the same columns ``by`` share a grouping set, and all sets share one scan and one shuffle. Groups are
+    Rules with the same columns ``by`` share a set, and all sets share one scan and one shuffle. Groups are
     aggregated before that shuffle, so a group that holds a third of the rows costs one row per task. Agreement is that of
     128-bit digests, the least and the greatest of a group being the same. A null is a value like any other. A rule over
     an empty table has no groups and no violations.
@@ -33,31 +33,42 @@ def group_rule_violations(df: DataFrame, rules: Sequence[GroupRule]) -> DataFram
         raise ValueError("a rule needs columns to group by")
     sets = list(dict.fromkeys(tuple(sorted(set(r.by))) for r in rules))
     columns = sorted({c for s in sets for c in s})
-    # Grouping blanks the columns it leaves out, so what is compared or counted stands under names of its own.
     group = {c: f"_by{i}" for i, c in enumerate(columns)}
-    digests = {}
-    for i, rule in enumerate(r for r in rules if r.decides):
-        for j in (0, 1):
-            # xxhash64 skips nulls, so whether a value is there is hashed as well.
-            parts = [x for c in rule.decides for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-            digests[rule.name, j] = (f"_d{i}_{j}", F.xxhash64(F.lit(f"group rule {j}"), *parts))
-    narrow = df.select(*[F.col(f"`{c}`").alias(n) for c, n in group.items()], *[d.alias(n) for n, d in digests.values()])
-    bounds = [f(n).alias(f"{n}_{f.__name__}") for n, _ in digests.values() for f in (F.min, F.max)]
-    # One bit per grouping column, the first being the highest; set where the column is left out.
-    set_bits = {s: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s) for s in sets}
-    grouped = narrow.groupingSets(
-        [[group[c] for c in s] for s in sets], *[group[c] for c in columns]
-    ).agg(F.grouping_id().alias("_set"), F.count("*").alias("_rows"), *bounds)
+    # The rules of a set take its slots in turn, so a row of a set carries the digests of its own rules and no others.
+    slots: dict[str, int] = {}
+    deciding: dict[tuple[str, ...], list[GroupRule]] = {s: [] for s in sets}
+    for rule in rules:
+        if rule.decides:
+            mine = deciding[tuple(sorted(set(rule.by)))]
+            slots[rule.name] = len(mine)
+            mine.append(rule)
+    digests = [(k, j) for k in range(max(map(len, deciding.values()))) for j in (0, 1)]
+
+    def digest(rule: GroupRule, j: int) -> Column:
+        # xxhash64 skips nulls, so whether a value is there is hashed as well.
+        parts = [x for c in rule.decides for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+        return F.xxhash64(F.lit(f"group rule {j}"), *parts)
+
+    def member(i: int, s: tuple[str, ...]) -> Column:
+        """A row as a member of the set: columns and slots that the set does not have are null."""
+        nothing = F.lit(None).cast("bigint")
+        keys = [(F.col(f"`{c}`") if c in s else F.lit(None).cast(df.schema[c].dataType)).alias(n) for c, n in group.items()]
+        held = [(digest(deciding[s][k], j) if k < len(deciding[s]) else nothing).alias(f"_d{k}_{j}") for k, j in digests]
+        return F.struct(F.lit(i).alias("_set"), *keys, *held)
+
+    members = df.select(F.inline(F.array(*[member(i, s) for i, s in enumerate(sets)])))
+    bounds = [f(f"_d{k}_{j}").alias(f"_d{k}_{j}_{f.__name__}") for k, j in digests for f in (F.min, F.max)]
+    grouped = members.groupBy("_set", *group.values()).agg(F.count("*").alias("_rows"), *bounds)
 
     def broken(rule: GroupRule) -> Column:
         if not rule.decides:
             return F.col("_rows") > 1
-        names = [digests[rule.name, j][0] for j in (0, 1)]
+        names = [f"_d{slots[rule.name]}_{j}" for j in (0, 1)]
         return reduce(Column.__or__, [F.col(f"{n}_min") != F.col(f"{n}_max") for n in names])
 
     totals = []
     for i, rule in enumerate(rules):
-        mine = F.col("_set") == set_bits[tuple(sorted(set(rule.by)))]
+        mine = F.col("_set") == sets.index(tuple(sorted(set(rule.by))))
         totals += [
             F.count_if(mine).alias(f"groups{i}"),
             F.count_if(mine & broken(rule)).alias(f"bad{i}"),

@@ -56,6 +56,14 @@ def test_rules_share_one_scan_and_one_shuffle_by_key(spark, tmp_path):
     assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_a_set_carries_the_digests_of_its_own_rules(spark):
+    rules = [GroupRule("k", ("a",)), GroupRule("x", ("a", "b"), ("c",)), GroupRule("y", ("b",), ("c",))]
+    df = spark.createDataFrame([(1, 1, 1), (1, 1, 2), (2, 1, 1), (2, 2, 1)], "a int, b int, c int")
+    plan = group_rule_violations(df, rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_min(") == 2
+    assert counted(df, rules) == {"k": (2, 2, 4), "x": (3, 1, 2), "y": (2, 1, 3)}
+
+
 def test_rules_are_checked(spark):
     df = spark.range(1)
     for rules in ([], [GroupRule("n", ())], [GroupRule("n", ("id",)), GroupRule("n", ("id",), ("id",))]):
