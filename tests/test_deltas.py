@@ -121,3 +121,12 @@ def test_too_many_mixes(spark, orders100):
         deltas.formed(orders100, {str(i): FaultMix() for i in range(61)})
     with pytest.raises(ValueError):
         deltas.formed(orders100, {"x": FaultMix(out_of_order=0.6)})
+
+
+def test_stored_rows_serve_instead_of_the_events(spark, messy, registered, tmp_path):
+    names = ["broken", "swaps"]
+    deltas.contents(messy, {n: MIXES[n] for n in names}, AS_OF, ["part"]).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    anew = experiments.true_scores(messy, AS_OF, names, ["part"])
+    stored = experiments.true_scores(messy, AS_OF, names, ["part"], rows=rows)
+    assert rows_of(stored) == rows_of(anew)
